@@ -73,7 +73,7 @@ v AS (
 SELECT ord AS instr_id, snapshot_id, ord AS seq, callsign, itype,
        flight_level * 100 AS target_altitude, flight_level, heading, target_speed, runway,
        CASE WHEN ord % 13 = 0 THEN 'PILOT' ELSE 'ATCO' END AS speaker,
-       concat(coalesce(concat(callsign, ' '), ''),
+       concat(coalesce(callsign || ' ', ''),
          CASE itype WHEN 'descent' THEN concat('descend to FL', lpad(CAST(flight_level AS STRING), 3, '0'))
               WHEN 'climb' THEN concat('climb to FL', lpad(CAST(flight_level AS STRING), 3, '0'))
               WHEN 'heading' THEN concat('turn left heading ', lpad(CAST(heading AS STRING), 3, '0'))
@@ -119,6 +119,75 @@ FROM {instruction} i JOIN {snapshot} s ON i.snapshot_id = s.snapshot_id
 """
 
 
+def sql_spoken(expr: str) -> str:
+    """A digit string as words, in SQL."""
+    words = "zero one two three four five six seven eight nine".split()
+    for d, w in enumerate(words):
+        expr = f"replace({expr}, '{d}', '{w} ')"
+    return f"trim({expr})"
+
+
+FIXTURES["utterance"] = f"""
+WITH s AS (SELECT *, CASE substr(callsign, 1, 3) WHEN 'AAL' THEN 'american' WHEN 'UAL' THEN 'united airlines'
+    WHEN 'DAL' THEN 'delta' WHEN 'JBU' THEN 'jetblue' ELSE 'zulu' END AS airline FROM {{instruction}})
+SELECT instr_id * 10 AS utt_id, raw_text AS text FROM s
+UNION ALL
+SELECT instr_id * 10 + 1, concat(coalesce(airline || ' ' || {sql_spoken("substr(callsign, 4)")} || ' ', ''),
+  CASE itype WHEN 'descent' THEN concat('descend to flight level ', {sql_spoken("lpad(CAST(flight_level AS STRING), 3, '0')")})
+   WHEN 'climb' THEN concat('climb and maintain ', {sql_spoken("CAST(target_altitude AS STRING)")}, ' feet')
+   WHEN 'heading' THEN concat('turn right heading ', {sql_spoken("lpad(CAST(heading AS STRING), 3, '0')")}, ' now')
+   WHEN 'takeoff_clearance' THEN concat('cleared for takeoff runway ', {sql_spoken("substr(runway, 1, 2)")}, ' left')
+   ELSE concat('reduce speed to ', {sql_spoken("CAST(target_speed AS STRING)")}, ' knots') END) FROM s
+UNION ALL
+SELECT instr_id * 10 + 2, concat(raw_text, CASE instr_id % 8 WHEN 0 THEN ', ILS16R vor115 app'
+  WHEN 1 THEN ' contact tower 118.75 niner' WHEN 2 THEN '; SQUAWK 4521 wx ahead'
+  WHEN 3 THEN ' Runway 16R FL90 AB12' WHEN 4 THEN '. thirty five ten one twenty'
+  WHEN 5 THEN ' BORDO maintain 5000 ft' WHEN 6 THEN ' W1676 31236 nm HDG 090'
+  ELSE ' BA12 KLM445 rwy 8-0-0' END) FROM s
+UNION ALL
+SELECT -(conv_id * 1000 + turn) - 1, text FROM {{conversations}}
+"""
+
+FIXTURES["console"] = """
+SELECT instr_id AS utt_id, CASE instr_id % 25
+  WHEN 0 THEN concat(raw_text, ' go around')
+  WHEN 1 THEN concat(coalesce(callsign, 'X'), ' taxi via alpha bravo to runway 04L')
+  WHEN 2 THEN concat(coalesce(callsign, 'X'), ' line up and wait runway 27R')
+  WHEN 3 THEN concat(coalesce(callsign, 'X'), ' hold short runway 09')
+  WHEN 4 THEN concat(coalesce(callsign, 'X'), ' proceed direct to bordo')
+  WHEN 5 THEN concat(coalesce(callsign, 'X'), ' squawk 4521')
+  WHEN 6 THEN concat('mayday mayday ', coalesce(callsign, 'X'))
+  WHEN 7 THEN concat(coalesce(callsign, 'X'), ' pan pan')
+  WHEN 8 THEN concat(coalesce(callsign, 'X'), ' contact ground 121.9')
+  WHEN 9 THEN concat(coalesce(callsign, 'X'), ' monitor tower')
+  WHEN 10 THEN concat(coalesce(callsign, 'X'), ' maintain altitude 8000')
+  WHEN 11 THEN concat(coalesce(callsign, 'X'), ' climb to 12000 feet')
+  WHEN 12 THEN concat(coalesce(callsign, 'X'), ' cleared to land runway 22R')
+  WHEN 13 THEN concat(coalesce(callsign, 'X'), ' increase speed 290')
+  WHEN 14 THEN concat(coalesce(callsign, 'X'), ' turn right 270')
+  WHEN 15 THEN concat(coalesce(callsign, 'X'), ' line up runway 27R')
+  WHEN 16 THEN concat(coalesce(callsign, 'X'), ' hold position')
+  WHEN 17 THEN concat(coalesce(callsign, 'X'), ' emergency descent')
+  WHEN 18 THEN concat(coalesce(callsign, 'X'), ' descend FL080')
+  WHEN 19 THEN concat(coalesce(callsign, 'X'), ' level FL 110')
+  ELSE raw_text END AS text FROM {instruction}
+UNION ALL SELECT -(conv_id * 1000 + turn) - 1, text FROM {conversations}
+"""
+
+FIXTURES["ner_span"] = """
+SELECT instr_id * 10 AS utt_id, instr_id * 10 + k.k AS ord,
+  CASE k.k WHEN 0 THEN 'callsign' WHEN 1 THEN 'command' WHEN 2 THEN 'value' ELSE 'callsign' END AS entity_group,
+  CASE WHEN k.k IN (0, 3) THEN lower(coalesce(callsign, 'american one two')) WHEN k.k = 1 THEN
+       CASE itype WHEN 'descent' THEN 'descend' WHEN 'climb' THEN 'climb' WHEN 'heading' THEN 'turn left'
+            WHEN 'takeoff_clearance' THEN 'cleared for' ELSE 'slow' END
+       ELSE CASE itype WHEN 'descent' THEN 'flight level two four zero' WHEN 'climb' THEN 'flight level one zero zero'
+            WHEN 'heading' THEN 'heading two seven zero' WHEN 'takeoff_clearance' THEN 'runway zero four left'
+            ELSE 'two five zero knots' END END AS word,
+  round(CAST((instr_id * (k.k + 3)) % 100 AS double) / CAST(100 AS double), 2) AS score
+FROM {instruction} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k
+"""
+
+
 def _deps(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 

@@ -19,6 +19,11 @@ def replace_each(text: Column, pattern: str, change: Callable[[Column], Column])
     )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a value once: lambdas inside array functions would otherwise repeat its whole expression."""
+    return F.transform(F.array(value), body)[0]
+
+
 def lookup(key: Column, table: Mapping[str, str]) -> Column:
     """Fixed small dictionary as a map literal."""
     pairs = [F.lit(x) for kv in table.items() for x in kv]
