@@ -188,6 +188,129 @@ FROM {instruction} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT
 """
 
 
+FIXTURES["expected"] = """
+SELECT CAST(floor(doc_id / 10.0) AS bigint) AS case_id, concat('RULE', lpad(CAST(doc_id % 10 AS STRING), 3, '0')) AS rule_id,
+       quality = 1 AS exp_satisfied, CASE doc_id % 5 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'Medium' WHEN 2 THEN 'low'
+       WHEN 3 THEN 'CRITICAL' END AS exp_severity
+FROM {labels}
+"""
+
+FIXTURES["actual"] = """
+SELECT CAST(floor(doc_id / 10.0) AS bigint) AS case_id, concat('RULE', lpad(CAST(doc_id % 10 AS STRING), 3, '0')) AS rule_id,
+       k.strategy, CASE WHEN k.k = 0 THEN toxic = 0 ELSE (doc_id * 7) % 5 < 3 END AS act_satisfied,
+       CASE (doc_id * (k.k + 2)) % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'LOW' END AS act_severity,
+       CAST((doc_id * 13 + k.k) % 97 AS double) AS latency_ms
+FROM {labels} CROSS JOIN (SELECT 0 AS k, 'compiled' AS strategy UNION ALL SELECT 1, 'generic') k
+WHERE (doc_id + k.k) % 9 <> 0
+"""
+
+FIXTURES["generated"] = """
+SELECT CAST(floor(doc_id / 12.0) AS bigint) AS case_id, concat('RULE', lpad(CAST(doc_id % 14 AS STRING), 3, '0')) AS rule_id,
+       CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'critical' END AS severity, doc_id AS ord, doc_id % 2 AS src
+FROM {documents}
+"""
+
+FIXTURES["latency"] = """
+SELECT CASE l_returnflag WHEN 'A' THEN 'native' WHEN 'N' THEN 'compiled' ELSE 'generic' END AS component,
+       concat('R', CAST(l_suppkey AS STRING)) AS rule_id, CAST(l_orderkey % 500 AS bigint) AS case_id,
+       CAST(l_linenumber - 1 AS int) AS iteration,
+       CASE WHEN l_partkey % 11 = 0 THEN CAST(0 AS double) ELSE l_quantity END AS ms
+FROM {lineitem}
+"""
+
+
+def _num(prefix: str, expr: str) -> str:
+    """Identifier with at least three digits."""
+    return f"concat('{prefix}', CASE WHEN {expr} < 1000 THEN lpad(CAST({expr} AS STRING), 3, '0') ELSE CAST({expr} AS STRING) END)"
+
+
+_RUNS = "(SELECT 0 AS k, 'gt' AS run UNION ALL SELECT 1, 'm1' UNION ALL SELECT 2, 'm2') k"
+
+FIXTURES["entity"] = f"""
+SELECT k.run, CAST(floor(p_partkey / 20.0) AS double) AS page, CAST(floor((p_partkey % 20) / 10.0) AS int) AS chunk,
+  CAST(p_partkey % 10 AS int) AS idx, p_partkey AS seq,
+  CASE WHEN k.k = 0 THEN {_num('E', '(p_partkey % 1000)')} WHEN p_partkey % 41 = 0 THEN '' WHEN p_partkey % 43 = 0 THEN 'X12'
+       WHEN p_partkey % 47 = 0 THEN '77' WHEN p_partkey % 23 = 0 THEN {_num('E', '((p_partkey - 1) % 1000)')}
+       ELSE {_num('E', '(p_partkey % 1000)')} END AS id,
+  CASE WHEN k.k > 0 AND p_partkey % 59 = 0 THEN {_num('E', '(p_partkey % 1000)')}
+       WHEN k.k > 0 AND p_partkey % 5 = 0 THEN concat(p_name, ' unit') WHEN k.k = 2 AND p_partkey % 7 = 0 THEN upper(p_name)
+       ELSE p_name END AS text,
+  CASE WHEN k.k = 2 AND p_partkey % 6 = 0 THEN 'Other' ELSE p_brand END AS label, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS subtype,
+  CASE WHEN k.k > 0 AND p_partkey % 31 = 0 THEN '' WHEN k.k > 0 AND p_partkey % 37 = 0 THEN 'N/A' ELSE concat('the ', p_name) END AS context,
+  CASE WHEN p_partkey % 29 = 0 THEN 'None' WHEN p_partkey % 4 = 0 THEN concat(p_name, ' means it') END AS formal_definition
+FROM {{part}} CROSS JOIN {_RUNS} WHERE k.k = 0 OR p_partkey % (11 - k.k) <> 1
+"""
+
+FIXTURES["relationship"] = f"""
+SELECT k.run, CAST(floor(o_orderkey / 20.0) AS double) AS page, CAST(floor((o_orderkey % 20) / 10.0) AS int) AS chunk,
+  CAST(o_orderkey % 10 AS int) AS idx, o_orderkey AS seq,
+  CASE WHEN k.k > 0 AND o_orderkey % 71 = 0 THEN '' WHEN k.k > 0 AND o_orderkey % 73 = 0 THEN 'Q1' ELSE {_num('R', '(o_orderkey % 1000)')} END AS id,
+  CASE WHEN k.k > 0 AND o_orderkey % 61 = 0 THEN 'X9' ELSE {_num('E', '(o_orderkey % 1000)')} END AS subject_id,
+  concat('item ', CAST(o_orderkey % 37 AS STRING), ' of ', o_orderstatus) AS subject_text,
+  CASE WHEN k.k > 0 AND o_orderkey % 4 = 0 THEN 'requires' ELSE lower(o_orderpriority) END AS predicate,
+  {_num('E', '((o_orderkey + 1) % 1000)')} AS object_id, concat('place ', CAST(o_custkey AS STRING)) AS object_text,
+  CASE WHEN k.k = 2 AND o_orderkey % 5 = 0 THEN 'causal' ELSE 'spatial' END AS relation_type
+FROM {{orders}} CROSS JOIN {_RUNS} WHERE k.k = 0 OR o_orderkey % (13 - k.k) <> 2
+"""
+
+FIXTURES["event"] = f"""
+SELECT k.run, CAST(floor(c_custkey / 20.0) AS double) AS page, CAST(floor((c_custkey % 20) / 10.0) AS int) AS chunk,
+  CAST(c_custkey % 10 AS int) AS idx, c_custkey AS seq,
+  CASE WHEN k.k > 0 AND c_custkey % 39 = 0 THEN 'V2' ELSE {_num('EV', '(c_custkey % 1000)')} END AS id, lower(c_mktsegment) AS event_type,
+  CASE WHEN k.k > 0 AND c_custkey % 3 = 0 THEN concat(c_name, ' departs') ELSE c_name END AS trigger_text,
+  CASE WHEN k.k > 0 AND c_custkey % 27 = 0 THEN 'E001,Z9' WHEN c_custkey % 4 = 0 THEN '' ELSE {_num('E', '(c_custkey % 1000)')} END AS actors_csv,
+  CASE WHEN c_custkey % 6 = 0 THEN '' ELSE concat({_num('E', '(c_custkey % 1000)')}, ',', {_num('E', '((c_custkey + 3) % 1000)')}) END AS targets_csv,
+  CASE c_custkey % 3 WHEN 0 THEN 'climb' WHEN 1 THEN 'cruise' ELSE 'taxi' END AS phase,
+  CASE WHEN c_custkey % 5 = 0 THEN 'before departure' END AS temporal_context
+FROM {{customer}} CROSS JOIN {_RUNS} WHERE k.k = 0 OR c_custkey % (9 - k.k) <> 3
+"""
+
+FIXTURES["krule"] = f"""
+SELECT k.run, CAST(floor(s_suppkey / 5.0) AS double) AS page, 0 AS chunk, CAST(s_suppkey % 5 AS int) AS idx, s_suppkey AS seq,
+  {_num('RULE', '(s_suppkey % 1000)')} AS id,
+  CASE s_suppkey % 3 WHEN 0 THEN 'prohibition' WHEN 1 THEN 'obligation' ELSE 'permission' END AS rule_type,
+  CASE s_suppkey % 4 WHEN 0 THEN 'shall_not' WHEN 1 THEN 'must' WHEN 2 THEN 'should' END AS modality,
+  CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE 'strong' END AS deontic_strength,
+  CASE s_suppkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'critical' END AS severity, s_suppkey % 2 = 0 AS safety_critical,
+  CASE s_suppkey % 13 WHEN 0 THEN 'Aircraft below 5000 feet near E001' WHEN 1 THEN 'When conflict is predicted' WHEN 2 THEN 'Runway occupied on runway 09L'
+    WHEN 3 THEN 'Aircraft above FL240' WHEN 4 THEN 'Lateral distance under 5 NM' WHEN 5 THEN 'Visibility is poor'
+    WHEN 6 THEN 'Crew on duty' WHEN 7 THEN 'Speed over 250 knots' WHEN 8 THEN 'Turn right near E002' WHEN 9 THEN 'Taxi clearance at holding point'
+    WHEN 10 THEN 'Two aircraft within 1000 feet vertical' WHEN 11 THEN '' ELSE 'See RULE001 and (E003)' END AS trigger_text,
+  CASE s_suppkey % 5 WHEN 0 THEN 'Keep clear of E004' WHEN 1 THEN 'Stop at R005' WHEN 2 THEN 'Wait' ELSE 'Report E999' END AS constraint_text,
+  CASE s_suppkey % 4 WHEN 0 THEN 'occupied(E001)' WHEN 1 THEN 'state is open' WHEN 2 THEN 'less than minimum' ELSE 'moving' END AS if_cond,
+  CASE s_suppkey % 4 WHEN 0 THEN 'hold' WHEN 1 THEN 'advise the station' ELSE 'give way' END AS then_act,
+  CASE WHEN s_suppkey % 10 = 0 THEN NULL ELSE 'keeps order' END AS explainability,
+  concat({_num('E', '(s_suppkey % 1000)')}, CASE WHEN k.k > 0 AND s_suppkey % 8 = 0 THEN ',K1' ELSE '' END) AS trigger_entities_csv,
+  CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE {_num('E', '((s_suppkey * 3) % 1000)')} END AS action_entities_csv,
+  concat({_num('E', '(s_suppkey % 1000)')}, ',', {_num('E', '((s_suppkey * 3) % 1000)')}, ',E99999') AS linked_entities_csv,
+  concat({_num('R', '(s_suppkey % 1000)')}, ',', {_num('RULE', '(s_suppkey % 1000)')}) AS linked_relationships_csv
+FROM {{supplier}} CROSS JOIN {_RUNS} WHERE k.k = 0 OR s_suppkey % (8 - k.k) <> 4
+"""
+
+FIXTURES["procedure"] = f"""
+SELECT k.run, CAST(floor(s_suppkey / 5.0) AS double) AS page, 0 AS chunk, CAST(s_suppkey % 5 AS int) AS idx, s_suppkey AS seq,
+  CASE WHEN k.k > 0 AND s_suppkey % 6 = 0 THEN 'RULE001' ELSE {_num('P', '(s_suppkey % 1000)')} END AS id,
+  CASE WHEN k.k > 0 AND s_suppkey % 4 = 0 THEN concat(s_name, ' v2') ELSE s_name END AS name,
+  concat('serves nation ', CAST(s_nationkey AS STRING)) AS purpose, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE 'arrival' END AS context,
+  CASE WHEN k.k > 0 AND s_suppkey % 5 = 0 THEN 'R001' ELSE {_num('RULE', '(s_suppkey % 1000)')} END AS linked_rules_csv
+FROM {{supplier}} CROSS JOIN {_RUNS} WHERE k.k = 0 OR s_suppkey % (7 - k.k) <> 1
+"""
+
+RECORD_TYPES = ("entity", "relationship", "event", "krule", "procedure")
+
+
+def records(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The five record tables with id lists as arrays."""
+    out = {}
+    for name in RECORD_TYPES:
+        df = table(spark, sf_dir, name)
+        for c in [c for c in df.columns if c.endswith("_csv")]:
+            parts = F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, ","))
+            df = df.withColumn(c[:-4], parts).drop(c)
+        out[name] = df
+    return out
+
+
 def _deps(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 

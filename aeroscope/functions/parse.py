@@ -124,13 +124,13 @@ def spoken_params(text: Column) -> Column:
     """Parameters from spoken words."""
     low = F.lower(text)
     level = words_to_digits(first_group(low, rf"flight\s+level\s+({HEARD}(?:\s+{HEARD}){{1,2}})"))
-    level = F.when(F.length(level).isin(2, 3), level.cast("int"))
+    level = F.when(F.length(level).isin(2, 3), level.try_cast("int"))
     feet = first_int(low, r"(\d+)\s*(?:thousand\s+)?feet")
     feet = F.when(low.contains("thousand"), feet * 1000).otherwise(feet)
     said = words_to_digits(
         first_group(low, rf"(?:(?:descend|climb)\s+to|at|maintain|level)\s+({HEARD}(?:\s+{HEARD})+)")
     )
-    said = F.when(F.length(said) >= 3, said.cast("int"))
+    said = F.when(F.length(said) >= 3, said.try_cast("int"))
     tail = first_group(low, r"runway\s+(.+)")
     side = F.when(tail.contains("left"), "L").when(tail.contains("right"), "R").otherwise("")
     rwy = F.nullif(words_to_digits(tail), F.lit(""))
@@ -141,11 +141,11 @@ def spoken_params(text: Column) -> Column:
         flight_level=level,
         target_altitude=F.coalesce(level * 100, feet, said),
         runway=F.concat(rwy, side),
-        heading=F.when(F.length(hdg) == 3, hdg.cast("int")),
+        heading=F.when(F.length(hdg) == 3, hdg.try_cast("int")),
         target_speed=F.coalesce(
             first_int(low, r"(\d+)\s*knots?"),
-            F.nullif(words_to_digits(knots), F.lit("")).cast("int"),
-            F.nullif(words_to_digits(plain), F.lit("")).cast("int"),
+            F.nullif(words_to_digits(knots), F.lit("")).try_cast("int"),
+            F.nullif(words_to_digits(plain), F.lit("")).try_cast("int"),
         ),
     )
 

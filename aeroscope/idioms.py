@@ -36,7 +36,7 @@ def first_group(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def first_int(text: Column, pattern: str, group: int = 1) -> Column:
-    return first_group(text, pattern, group).cast("int")
+    return first_group(text, pattern, group).try_cast("int")
 
 
 def ratio(num: Column, den: Column, empty: float = 0.0) -> Column:
@@ -115,3 +115,74 @@ def pair_ranges(
         F.explode(F.sequence(F.floor(low / width).cast("bigint"), F.floor(high / width).cast("bigint"))),
     )
     return left.join(right, "bucket").where((value >= low) & (value < high)).drop("bucket")
+
+
+def join_nulls(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be null (null equals null); keys are kept once, from the left."""
+    l, r = left.alias("l"), right.alias("r")
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    rest = [c for c in right.columns if c not in keys]
+    return l.join(r, cond, how).select(*[F.col(f"l.{c}") for c in left.columns], *[F.col(f"r.{c}") for c in rest])
+
+
+def top_k_cosine(
+    queries: DataFrame,
+    items: DataFrame,
+    k: Column | int,
+    before: bool = False,
+    epsilon: float = 0.0,
+    block: int = 2048,
+    salts: int = 8,
+) -> DataFrame:
+    """Exact top-k items per query by cosine, inside the same `grp`.
+
+    Queries: grp, q_id, q_seq (bigint, unique), q_vec, q_k. Items: grp, i_id, i_seq (bigint), i_vec (null = -1).
+    Both sides are packed into blocks of at most `block` rows; block pairs meet in numpy and give only their
+    own best k per query, so the full pair set is never written. `before` keeps items with i_seq < q_seq.
+    Ties go to the lower i_seq. `epsilon` is added to the denominator (0: a zero norm divides by 1e-12).
+    """
+    import numpy as np
+    import pandas as pd
+
+    k_col = k if isinstance(k, Column) else F.lit(k)
+    q = queries.withColumn("q_k", k_col.cast("int")).withColumn("qb", F.floor(F.col("q_seq") / block).cast("bigint"))
+    i = items.withColumn("ib", F.floor(F.col("i_seq") / block).cast("bigint"))
+    qp = q.groupBy("grp", "qb").agg(
+        F.collect_list(F.struct("q_id", "q_seq", "q_vec", "q_k")).alias("qs"), F.max("q_seq").alias("q_top")
+    )
+    ip = i.groupBy("grp", "ib").agg(
+        F.collect_list(F.struct("i_id", "i_seq", "i_vec")).alias("is"), F.min("i_seq").alias("i_low")
+    )
+    qp, ip = salted(qp, ip, salts, ["grp", "qb"])
+    pairs = qp.join(ip, ["grp", "salt"])
+    if before:
+        pairs = pairs.where(F.col("i_low") < F.col("q_top"))
+
+    def best(batches):
+        for batch in batches:
+            out = []
+            for grp, qs, its in zip(batch["grp"], batch["qs"], batch["is"]):
+                iseq = np.array([x["i_seq"] for x in its], dtype=np.int64)
+                dim = len(qs[0]["q_vec"])
+                missing = np.array([x["i_vec"] is None for x in its])
+                m = np.array([np.zeros(dim) if x["i_vec"] is None else x["i_vec"] for x in its], dtype=np.float64)
+                norm = np.linalg.norm(m, axis=1)
+                for x in qs:
+                    v = np.asarray(x["q_vec"], dtype=np.float64)
+                    den = norm * np.linalg.norm(v)
+                    den = den + epsilon if epsilon else np.where(den == 0, 1e-12, den)
+                    score = np.where(missing, -1.0, (m @ v) / den)
+                    ok = np.nonzero(iseq < x["q_seq"])[0] if before else np.arange(len(iseq))
+                    pick = ok[np.lexsort((iseq[ok], -score[ok]))][: x["q_k"]]
+                    out.extend((grp, x["q_id"], x["q_k"], its[p]["i_id"], int(iseq[p]), float(score[p])) for p in pick)
+            yield pd.DataFrame(out, columns=["grp", "q_id", "q_k", "i_id", "i_seq", "score"])
+
+    fields = {f.name: f.dataType.simpleString() for f in [*queries.schema, *items.schema]}
+    schema = (
+        f"grp {fields['grp']}, q_id {fields['q_id']}, q_k int, i_id {fields['i_id']}, i_seq bigint, score double"
+    )
+    local = pairs.select("grp", "qs", "is").mapInPandas(best, schema)
+    w = Window.partitionBy("grp", "q_id").orderBy(F.desc("score"), "i_seq")
+    return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= F.col("q_k")).drop("q_k")
