@@ -296,6 +296,40 @@ SELECT k.run, CAST(floor(s_suppkey / 5.0) AS double) AS page, 0 AS chunk, CAST(s
 FROM {{supplier}} CROSS JOIN {_RUNS} WHERE k.k = 0 OR s_suppkey % (7 - k.k) <> 1
 """
 
+FIXTURES["truth"] = """
+SELECT CAST(instr_id AS bigint) AS sample_id, raw_text AS text FROM {instruction}
+UNION ALL SELECT -(conv_id * 1000 + turn) - 1, text FROM {conversations}
+"""
+
+FIXTURES["transcript"] = """
+SELECT k.model, t.sample_id, CASE k.k WHEN 0 THEN text WHEN 1 THEN replace(replace(text, ' to ', ' '), ' de ', ' ')
+       WHEN 2 THEN replace(replace(text, 'an', 'on'), 'turn left', 'turn the left') ELSE CASE WHEN sample_id % 7 = 0 THEN '' ELSE text END END AS text
+FROM {truth} t CROSS JOIN (SELECT 0 AS k, 'm0' AS model UNION ALL SELECT 1, 'm1' UNION ALL SELECT 2, 'm2' UNION ALL SELECT 3, 'm3') k
+WHERE sample_id % 9 <> 4 AND (k.k < 3 OR sample_id % 8 <> 3)
+"""
+
+FIXTURES["asr_score"] = """
+SELECT CASE l_linestatus WHEN 'F' THEN 'tower' ELSE 'ground' END AS dataset, concat('m', CAST(l_linenumber % 4 AS STRING)) AS model,
+  l_orderkey * 10 + l_linenumber AS sample_id, CAST(l_quantity AS int) AS num_ref_words, CAST(l_quantity AS int) + CAST(l_partkey % 3 AS int) AS num_hyp_words,
+  CAST(l_partkey % 4 AS int) AS substitutions, CAST(l_suppkey % 3 AS int) AS deletions, CAST(l_partkey % 3 AS int) AS insertions,
+  CAST(l_quantity AS int) AS hits,
+  CAST(l_partkey % 4 + l_suppkey % 3 + l_partkey % 3 AS double) / l_quantity AS wer,
+  CAST(l_partkey % 4 + l_suppkey % 3 + l_partkey % 3 AS double) / (l_quantity + 9) AS mer, l_tax AS wil, 1 - l_tax AS wip
+FROM {lineitem}
+"""
+
+FIXTURES["pair_verdict"] = """
+SELECT a.run, 'entity' AS kind, a.seq AS i, b.seq AS j, CAST(50 + (a.seq * 7 + b.seq * 3) % 50 AS double) / CAST(100 AS double) AS score,
+  (a.seq * 7 + b.seq * 3) % 50 >= 25 AS is_duplicate
+FROM {entity} a JOIN {entity} b ON a.run = b.run AND a.page = b.page AND a.seq < b.seq AND (a.seq + b.seq) % 11 = 0
+"""
+
+FIXTURES["semantic_verdict"] = """
+SELECT k.model, CAST(floor(doc_id / 8.0) AS double) AS page, CAST(doc_id % 4 AS int) AS chunk, k.kind,
+  CASE WHEN (doc_id + k.k) % 6 <> 0 THEN CAST((doc_id * 3 + k.k) % 100 AS double) / CAST(100 AS double) END AS score, (doc_id + k.k) % 17 = 0 AS both_empty
+FROM {documents} CROSS JOIN (SELECT 0 AS k, 'm1' AS model, 'entity' AS kind UNION ALL SELECT 1, 'm1', 'event' UNION ALL SELECT 2, 'm2', 'entity' UNION ALL SELECT 3, 'm2', 'krule') k
+"""
+
 RECORD_TYPES = ("entity", "relationship", "event", "krule", "procedure")
 
 
@@ -358,3 +392,21 @@ def with_fixtures(body: str) -> str:
     elif body.upper().startswith("WITH"):
         body = ", " + body[len("WITH"):]
     return head + ",\n".join(ctes) + "\n" + body
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """True chunks (lines of the documents) and the chunks of two models that shift and merge them."""
+    docs = table(spark, sf_dir, "documents")
+    lines = docs.select(
+        "doc_id", F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: s != "").alias("l")
+    ).where(F.size("l") > 0)
+    truth = lines.select(F.col("doc_id").cast("double").alias("page"), F.posexplode("l").alias("chunk", "text"))
+    cut_head = F.when(F.col("chunk") == 0, F.expr("substring(text, 1 + int(page) % 4)")).otherwise(F.col("text"))
+    m1 = truth.select(F.lit("m1").alias("model"), "page", "chunk", cut_head.alias("text"))
+    group = F.col("chunk") - F.when((F.col("chunk") % 6 == 5), 1).otherwise(0)
+    m2 = (
+        truth.withColumn("g", group).groupBy("page", "g")
+        .agg(F.array_sort(F.collect_list(F.struct("chunk", "text"))).alias("x"))
+        .select(F.lit("m2").alias("model"), "page", F.col("g").alias("chunk"), F.array_join("x.text", " ").alias("text"))
+    )
+    return truth, m1.unionByName(m2)

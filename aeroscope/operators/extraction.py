@@ -12,6 +12,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aeroscope.idioms import latest, running, top_k_cosine
 
@@ -432,7 +433,7 @@ def _first_balanced(text: Column) -> Column:
     return F.when(text.contains("{"), _scan_texts(text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _scan_texts(texts: pd.Series) -> pd.Series:
     return texts.map(_scan_balanced)
 
