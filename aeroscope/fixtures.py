@@ -398,7 +398,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """True chunks (lines of the documents) and the chunks of two models that shift and merge them."""
     docs = table(spark, sf_dir, "documents")
     lines = docs.select(
-        "doc_id", F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: s != "").alias("l")
+        "doc_id", F.filter(F.transform(F.split("text", "\n"), lambda t: F.trim(t)), lambda s: s != "").alias("l")
     ).where(F.size("l") > 0)
     truth = lines.select(F.col("doc_id").cast("double").alias("page"), F.posexplode("l").alias("chunk", "text"))
     cut_head = F.when(F.col("chunk") == 0, F.expr("substring(text, 1 + int(page) % 4)")).otherwise(F.col("text"))

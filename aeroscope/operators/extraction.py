@@ -309,7 +309,7 @@ def segments(text: Column, granularity: str) -> Column:
         parts = F.split(text, r"(?<=[.!?])\s+")
     else:
         parts = F.split(text, "\n")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda t: F.trim(t)), lambda s: s != "")
 
 
 def range_errors(ranges: DataFrame) -> DataFrame:
@@ -420,7 +420,7 @@ def is_json_value(text: Column) -> Column:
 
 def first_json(text: Column) -> Column:
     """First valid JSON in a model answer: fenced blocks first, then balanced braces."""
-    fenced = F.transform(F.regexp_extract_all(text, F.lit(FENCED), F.lit(1)), F.trim)
+    fenced = F.transform(F.regexp_extract_all(text, F.lit(FENCED), F.lit(1)), lambda t: F.trim(t))
     in_fence = F.try_element_at(F.filter(fenced, is_json_value), F.lit(1))
     return F.coalesce(in_fence, _first_balanced(text))
 

@@ -106,7 +106,7 @@ def read_info(spark: SparkSession, path: str) -> DataFrame:
     line = r"(?m)^\s*(\S[^\n]*?)\s* : ([^\n]*)$"
     spoken = F.map_from_arrays(
         F.regexp_extract_all(section, F.lit(line), F.lit(1)),
-        F.transform(F.regexp_extract_all(section, F.lit(line), F.lit(2)), F.trim),
+        F.transform(F.regexp_extract_all(section, F.lit(line), F.lit(2)), lambda t: F.trim(t)),
     )
     return whole.select(
         source_name(file_path()).alias("sample_id"),
