@@ -526,7 +526,7 @@ def x17(spark, sf):
     return ex.chunk_audit(acc, rec["relationship"].select("run", "page", "chunk").distinct())
 
 
-@query("X18_json")
+@query("X18_json", "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN props END AS json FROM events")
 def x18(spark, sf):
     e = table(spark, sf, "events")
     t = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```\ndone"))).when(

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from aeroscope.functions import vocab
-from aeroscope.idioms import first_group, lookup, replace_each
+from aeroscope.idioms import first_group, let, lookup, replace_each
 
 # (?U): word boundaries, digits and spaces follow Unicode, so accented words keep together.
 UNI = "(?U)"
@@ -102,9 +102,18 @@ def runway(text: Column) -> Column:
     return replace_each(text, ANY + r"\b(?:runway\s+)?\d{1,2}[LR]\b", change)
 
 
+def _if_any(text: Column, words: Iterable[str], chain: Callable[[Column], Column]) -> Column:
+    """Run a chain of replacements only on texts that hold one of the words."""
+    hit = ANY + rf"\b(?:{'|'.join(words)})\b"
+    return let(text, lambda t: F.when(t.rlike(hit), chain(t)).otherwise(t))
+
+
 def abbreviations(text: Column) -> Column:
-    return reduce(
-        lambda c, kv: F.regexp_replace(c, ANY + rf"\b{kv[0]}\b", kv[1]), vocab.ABBREVIATIONS.items(), text
+    return _if_any(
+        text, vocab.ABBREVIATIONS,
+        lambda t: reduce(
+            lambda c, kv: F.regexp_replace(c, ANY + rf"\b{kv[0]}\b", kv[1]), vocab.ABBREVIATIONS.items(), t
+        ),
     )
 
 
@@ -113,15 +122,21 @@ def all_numbers(text: Column) -> Column:
 
 
 def compound_numbers(text: Column) -> Column:
-    return reduce(
-        lambda c, kv: F.regexp_replace(c, ANY + rf"\b{kv[0]}\s+({DIGIT_WORD})\b", kv[1] + " $1"),
-        vocab.TENS.items(), text,
+    return _if_any(
+        text, vocab.TENS,
+        lambda t: reduce(
+            lambda c, kv: F.regexp_replace(c, ANY + rf"\b{kv[0]}\s+({DIGIT_WORD})\b", kv[1] + " $1"),
+            vocab.TENS.items(), t,
+        ),
     )
 
 
 def lone_tens(text: Column) -> Column:
-    return reduce(
-        lambda c, kv: F.regexp_replace(c, ANY + rf"\b{kv[0]}\b", kv[1] + " zero"), vocab.TENS.items(), text
+    return _if_any(
+        text, vocab.TENS,
+        lambda t: reduce(
+            lambda c, kv: F.regexp_replace(c, ANY + rf"\b{kv[0]}\b", kv[1] + " zero"), vocab.TENS.items(), t
+        ),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from aeroscope.functions.fuzzy import word_edits
 from aeroscope.functions.normalize import normalize
-from aeroscope.idioms import running
+from aeroscope.idioms import running, salted
 
 
 def words(text: Column, spoken_form: bool = True) -> Column:
@@ -24,7 +24,10 @@ def measures(pairs: DataFrame, spoken_form: bool = True) -> DataFrame:
 
     An empty reference scores WER 1 with no reference words and no other measures.
     """
-    rows = pairs.withColumns({"rw": words(F.col("ref"), spoken_form), "hw": words(F.col("hyp"), spoken_form)})
+    names = [c for c in pairs.columns if c not in ("rw", "hw")]
+    rows = pairs
+    if "rw" not in pairs.columns:
+        rows = pairs.withColumns({"rw": words(F.col("ref"), spoken_form), "hw": words(F.col("hyp"), spoken_form)})
     rows = rows.withColumns({"num_ref_words": F.size("rw"), "num_hyp_words": F.size("hw")})
     rows = rows.withColumn("e", word_edits("rw", "hw"))
     some = F.col("num_ref_words") > 0
@@ -32,7 +35,7 @@ def measures(pairs: DataFrame, spoken_form: bool = True) -> DataFrame:
     nr, nh = F.col("num_ref_words"), F.col("num_hyp_words")
     wip = F.when(nh > 0, h / nr * (h / nh)).otherwise(F.lit(0.0))
     return rows.select(
-        *pairs.columns, "num_ref_words", "num_hyp_words",
+        *names, "num_ref_words", "num_hyp_words",
         F.when(some, s).alias("substitutions"), F.when(some, d).alias("deletions"),
         F.when(some, i).alias("insertions"), F.when(some, h).alias("hits"),
         F.when(some, (s + d + i) / nr).otherwise(1.0).alias("wer"),
@@ -42,31 +45,43 @@ def measures(pairs: DataFrame, spoken_form: bool = True) -> DataFrame:
     )
 
 
-def pair_samples(truth: DataFrame, transcript: DataFrame, mode: str = "intersection") -> DataFrame:
+def pair_samples(
+    truth: DataFrame, transcript: DataFrame, mode: str = "intersection", spoken_form: bool | None = None
+) -> DataFrame:
     """Reference and hypothesis per (model, sample).
 
     'intersection': ids on both sides per model. 'any_model': every model gets each id that the truth and at
-    least one model have; a missing hypothesis is ''.
+    least one model have; a missing hypothesis is ''. With `spoken_form` set the words to compare come along
+    as rw and hw; each text is then normalised once, before it is paired.
     """
-    ref = truth.select("sample_id", F.col("text").alias("ref"))
-    hyp = transcript.select("model", "sample_id", F.col("text").alias("hyp"))
-    if mode == "intersection":
-        return hyp.join(ref, "sample_id").select("model", "sample_id", "ref", "hyp")
-    # one row per sample holds its hypotheses by model (few), then each model is given its own
-    per_sample = hyp.groupBy("sample_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("model", F.coalesce("hyp", F.lit("")).alias("hyp")))).alias("by_model")
+    def split(text: Column) -> list[Column]:
+        return [] if spoken_form is None else [words(text, spoken_form)]
+
+    if spoken_form is not None:
+        # the shuffle of the join comes first, so the costly normalisation runs evenly on its partitions
+        truth, transcript = truth.repartition("sample_id"), transcript.repartition("sample_id")
+    ref = truth.select("sample_id", F.col("text").alias("ref"), *[w.alias("rw") for w in split(F.col("text"))])
+    hyp = transcript.select(
+        "model", "sample_id", F.col("text").alias("hyp"), *[w.alias("hw") for w in split(F.col("text"))]
     )
-    names = [r["model"] for r in hyp.select("model").distinct().collect()]  # bounded: one row per model
-    every = F.explode(F.array(*[F.lit(m) for m in sorted(names)]))
-    return (
-        ref.join(per_sample, "sample_id")
-        .withColumn("model", every)
-        .select("model", "sample_id", "ref", F.coalesce(F.try_element_at("by_model", F.col("model")), F.lit("")).alias("hyp"))
+    extra = [] if spoken_form is None else ["rw", "hw"]
+    if mode == "intersection":
+        return hyp.join(ref, "sample_id").select("model", "sample_id", "ref", "hyp", *extra)
+    ids = hyp.select("sample_id").distinct()
+    models = hyp.select("model").distinct()
+    # every model has a row for every sample: an equi-join on a salt, the few model names sit on each salt
+    left, right = salted(ref.join(ids, "sample_id", "left_semi"), models, 16, ["sample_id"])
+    grid = left.join(right, "salt").drop("salt")
+    fill = {"hyp": F.coalesce("hyp", F.lit(""))}
+    if extra:
+        fill["hw"] = F.coalesce("hw", F.array().cast("array<string>"))
+    return grid.join(hyp, ["model", "sample_id"], "left").withColumns(fill).select(
+        "model", "sample_id", "ref", "hyp", *extra
     )
 
 
 def score_asr(truth: DataFrame, transcript: DataFrame, mode: str = "intersection", spoken_form: bool = True) -> DataFrame:
-    return measures(pair_samples(truth, transcript, mode), spoken_form)
+    return measures(pair_samples(truth, transcript, mode, spoken_form), spoken_form)
 
 
 def summarise(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,7 +26,7 @@ def _twins(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def scored_pairs(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], threshold: float, salts: int = 8
+    left: DataFrame, right: DataFrame, keys: Sequence[str], threshold: float, salts: int = 4
 ) -> DataFrame:
     """Pairs of different texts at or above the threshold.
 
@@ -49,16 +49,24 @@ def scored_pairs(
     return texts.join(l, [*keys, "a"]).join(r, [*keys, "b"]).select(*keys, "i", "j", "score")
 
 
-def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-    rows = pairs.sort_values(["score", "i", "j"], ascending=[False, True, True])
-    used_i, used_j, keep = set(), set(), []
-    for i, j in zip(rows["i"], rows["j"]):
-        ok = i not in used_i and j not in used_j
-        if ok:
-            used_i.add(i)
-            used_j.add(j)
-        keep.append(ok)
-    return rows[keep]
+def _choose(keys: list[str]):
+    """Pass over pairs sorted by keys and rank; only the ids taken in the group at hand are kept."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, used_i, used_j = None, set(), set()
+        for batch in batches:
+            keep = []
+            for g, i, j in zip(zip(*[batch[k] for k in keys]), batch["i"], batch["j"]):
+                if g != group:
+                    group, used_i, used_j = g, set(), set()
+                ok = i not in used_i and j not in used_j
+                if ok:
+                    used_i.add(i)
+                    used_j.add(j)
+                keep.append(ok)
+            yield batch[keep]
+
+    return run
 
 
 def greedy_pairs(pairs: DataFrame, keys: Sequence[str], small: int = SMALL_GROUP) -> DataFrame:
@@ -72,7 +80,8 @@ def greedy_pairs(pairs: DataFrame, keys: Sequence[str], small: int = SMALL_GROUP
     sizes = pairs.groupBy(*keys).agg(F.count("*").alias("size"))
     big_keys = sizes.where(F.col("size") > small).select(*keys)
     few = pairs.join(big_keys, keys, "left_anti")
-    done = few.groupBy(*keys).applyInPandas(_greedy, pairs.schema)
+    ranked = few.repartition(*keys).sortWithinPartitions(*keys, F.desc("score"), "i", "j")
+    done = ranked.mapInPandas(_choose(keys), pairs.schema)
     rest = cut(pairs.join(big_keys, keys, "left_semi"))
     while not rest.isEmpty():
         order = F.struct((-F.col("score")).alias("s"), "i", "j")
