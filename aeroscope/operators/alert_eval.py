@@ -192,41 +192,41 @@ def latency_stats(df: DataFrame, by: Sequence[str], value: str = "ms") -> DataFr
     by = list(by)
     counts = (
         df.where(F.col(value) > 0)
-        .groupBy(*by, F.col(value).alias("v"))
-        .agg(F.count("*").alias("c"))
-        .withColumn("b", F.floor(F.log("v") * 64).cast("bigint"))
+        .groupBy(*by, F.col(value).alias("_v"))
+        .agg(F.count("*").alias("_c"))
+        .withColumn("_b", F.floor(F.log("_v") * 64).cast("bigint"))
     )
-    buckets = counts.groupBy(*by, "b").agg(
-        F.sum("c").alias("bc"), F.sum(F.col("v") * F.col("c")).alias("bs"),
-        F.min("v").alias("lo"), F.max("v").alias("hi"),
+    buckets = counts.groupBy(*by, "_b").agg(
+        F.sum("_c").alias("_bc"), F.sum(F.col("_v") * F.col("_c")).alias("_bs"),
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
     )
     whole = Window.partitionBy(*by)
-    upto = whole.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = buckets.withColumns({"n": F.sum("bc").over(whole), "end": F.sum("bc").over(upto)}).withColumn(
-        "start", F.col("end") - F.col("bc")
+    upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = buckets.withColumns({"_n": F.sum("_bc").over(whole), "_end": F.sum("_bc").over(upto)}).withColumn(
+        "_start", F.col("_end") - F.col("_bc")
     )
     ranks = {
-        name: (F.floor(F.col("n") / 2) if q is None else F.least(F.floor(F.col("n") * F.lit(q)), F.col("n") - 1)).cast("bigint")
+        name: (F.floor(F.col("_n") / 2) if q is None else F.least(F.floor(F.col("_n") * F.lit(q)), F.col("_n") - 1)).cast("bigint")
         for name, q in QUANTILES.items()
     }
     wanted = F.filter(
-        F.array(*[F.struct(F.lit(k).alias("q"), r.alias("rank")) for k, r in ranks.items()]),
-        lambda x: (x["rank"] >= F.col("start")) & (x["rank"] < F.col("end")),
+        F.array(*[F.struct(F.lit(k).alias("_q"), r.alias("_rank")) for k, r in ranks.items()]),
+        lambda x: (x["_rank"] >= F.col("_start")) & (x["_rank"] < F.col("_end")),
     )
-    holders = placed.withColumn("w", wanted).where(F.size("w") > 0).select(*by, "b", "start", "w")
-    inside = Window.partitionBy(*by, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    holders = placed.withColumn("_w", wanted).where(F.size("_w") > 0).select(*by, "_b", "_start", "_w")
+    inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     picked = (
-        join_nulls(counts, holders, [*by, "b"])
-        .withColumn("end", F.col("start") + F.sum("c").over(inside))
-        .withColumn("start", F.col("end") - F.col("c"))
-        .withColumn("x", F.explode("w"))
-        .where((F.col("x.rank") >= F.col("start")) & (F.col("x.rank") < F.col("end")))
+        join_nulls(counts, holders, [*by, "_b"])
+        .withColumn("_end", F.col("_start") + F.sum("_c").over(inside))
+        .withColumn("_start", F.col("_end") - F.col("_c"))
+        .withColumn("_x", F.explode("_w"))
+        .where((F.col("_x._rank") >= F.col("_start")) & (F.col("_x._rank") < F.col("_end")))
         .groupBy(*by)
-        .agg(*[F.max(F.when(F.col("x.q") == k, F.col("v"))).alias(k) for k in QUANTILES])
+        .agg(*[F.max(F.when(F.col("_x._q") == k, F.col("_v"))).alias(k) for k in QUANTILES])
     )
     basics = buckets.groupBy(*by).agg(
-        F.sum("bc").alias("count"), (F.sum("bs") / F.sum("bc")).alias("avg_ms"),
-        F.min("lo").alias("min_ms"), F.max("hi").alias("max_ms"),
+        F.sum("_bc").alias("count"), (F.sum("_bs") / F.sum("_bc")).alias("avg_ms"),
+        F.min("_lo").alias("min_ms"), F.max("_hi").alias("max_ms"),
     )
     return join_nulls(basics, picked, by)
 

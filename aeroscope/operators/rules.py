@@ -300,8 +300,8 @@ def registered_rules() -> list[dict[str, str]]:
     return [{"rule_id": r, "category": c} for r, (c, _) in USER_RULES.items()]
 
 
-def user_rules(targets: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """All registered predicates in one pass over the targets: an array of hits is exploded."""
+def user_hits(only: list[str] | None = None) -> list[Column]:
+    """One nullable violation struct per registered predicate."""
     hits = []
     for rule_id, (category, fn) in USER_RULES.items():
         if only is not None and rule_id not in only:
@@ -313,14 +313,17 @@ def user_rules(targets: DataFrame, only: list[str] | None = None) -> DataFrame:
             F.lit(rule_id).alias("rule_id"),
             F.lit(f"COMPILED_{category}").alias("condition_type"),
             level.alias("severity"),
+            F.lit(None).cast("string").alias("other"),
             out.get("explanation", F.lit("")).alias("explanation"),
         )
         hits.append(F.when(~F.coalesce(out["satisfied"], F.lit(True)), hit))
-    found = F.filter(F.array(*hits), lambda h: h.isNotNull())
-    return targets.withColumn("h", F.explode(found)).select(
-        "target_id", "snapshot_id", "callsign", "h.rule_id", "h.condition_type", "h.severity",
-        F.lit(None).cast("string").alias("other"), "h.explanation",
-    )
+    return hits
+
+
+def user_rules(targets: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """All registered predicates in one pass over the targets: an array of hits is exploded."""
+    found = F.array_compact(F.array(*user_hits(only)))
+    return targets.withColumn("h", F.explode(found)).select("target_id", "snapshot_id", "callsign", "h.*")
 
 
 def rule_errors(rules: DataFrame) -> DataFrame:

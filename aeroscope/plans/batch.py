@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aeroscope.functions.geo import dist_nm
 from aeroscope.operators import alerts, lookahead, rules
+from aeroscope.operators.traffic import neighbours
 
 
 def gate(projected: DataFrame, flags: DataFrame) -> DataFrame:
@@ -35,22 +37,6 @@ def as_targets(gated: DataFrame, snapshot: DataFrame) -> DataFrame:
     )
 
 
-def violations(targets: DataFrame, aircraft: DataFrame, runways: DataFrame, with_user_rules: bool = True) -> DataFrame:
-    """Violations of the default rules and of the registered user rules."""
-    default = targets.sparkSession.createDataFrame(
-        [("MSA_RULE", "ALTITUDE", "MSA_CHECK", None), ("SEPARATION_RULE", "SEPARATION", None, "BOTH")],
-        "rule_id string, condition_type string, check_type string, separation_type string",
-    )
-    branches = [
-        rules.msa(targets, default),
-        rules.separation_both(rules.near_pairs(targets.where("run_separation"), aircraft), default),
-        rules.runway_sweep(targets.where("run_runway"), runways),
-    ]
-    if with_user_rules and rules.USER_RULES:
-        branches.append(rules.user_rules(targets))
-    return reduce(DataFrame.unionByName, branches)
-
-
 def fallback_violations(
     targets: DataFrame, separations: DataFrame, runways: DataFrame, missing: set[str]
 ) -> DataFrame:
@@ -92,38 +78,112 @@ def fallback_violations(
     return reduce(DataFrame.unionByName, branches).withColumn("fallback", F.lit(True))
 
 
-def decide(gated: DataFrame, alert_rows: DataFrame) -> DataFrame:
-    """One row per instruction: counts, decision and whether the new state is applied.
+def _neighbour_facts(projected: DataFrame, aircraft: DataFrame) -> DataFrame:
+    """Per instruction, from one neighbour join: predicted conflict and the first neighbour of each standard
+    separation check."""
+    moving = projected.where(F.col("error").isNull()).select(
+        "instr_id", "snapshot_id", F.col("a_callsign").alias("callsign"), "lat", "lon", "new_altitude", "track"
+    )
+    near = neighbours(moving, aircraft, lookahead.SEARCH_NM)
+    clash = F.exists(
+        "track",
+        lambda w: (F.abs(w["altitude"] - F.col("o_altitude")) < lookahead.MIN_VERTICAL_FT)
+        & (dist_nm(w["lat"], w["lon"], F.col("o_lat"), F.col("o_lon")) < lookahead.MIN_HORIZONTAL_NM),
+    )
+    close = F.col("dist_nm") <= rules.SEARCH_NM
+    facts = near.select(
+        "instr_id", clash.alias("clash"),
+        F.struct("o_callsign", F.abs(F.col("new_altitude") - F.col("o_altitude")).alias("gap_ft"), "dist_nm").alias("hit"),
+        "o_ord", close.alias("close"),
+    )
+    low = F.col("close") & (F.col("hit.gap_ft") < rules.VERTICAL_STD_FT)
+    side = F.col("close") & (F.col("hit.dist_nm") < rules.HORIZONTAL_STD_NM)
+    return facts.groupBy("instr_id").agg(
+        F.bool_or("clash").alias("has_conflict"),
+        F.min_by("hit", F.when(low, F.col("o_ord"))).alias("v"),
+        F.min_by("hit", F.when(side, F.col("o_ord"))).alias("h"),
+    )
+
+
+def _hit(rule_id: str, kind: str | Column, severity: str, other: Column, text: Column) -> Column:
+    return F.struct(
+        F.lit(rule_id).alias("rule_id"), (F.lit(kind) if isinstance(kind, str) else kind).alias("condition_type"),
+        F.lit(severity).alias("severity"), other.cast("string").alias("other"), text.alias("explanation"),
+    )
 
-    An instruction that cannot be projected ends early with ROLLBACK."""
-    base = gated.select(F.col("instr_id").alias("target_id"), "error", "has_conflict")
-    out = alerts.summary(base, alert_rows)
+
+def assess(aircraft: DataFrame, snapshot: DataFrame, runways: DataFrame, instruction: DataFrame, minutes: int = 10) -> DataFrame:
+    """One row per instruction with its violations as an array: the default rules and the user rules.
+
+    Runways are few per snapshot and join as one small array; each other input is joined once.
+    """
+    projected = lookahead.project(aircraft, instruction, minutes)
+    facts = _neighbour_facts(projected, aircraft)
+    held = runways.where(F.col("occupied") & (F.coalesce("occupied_by", F.lit("")) != "")).groupBy("snapshot_id").agg(
+        F.sort_array(F.collect_list(F.struct("ord", "runway_id", "occupied_by"))).alias("held")
+    )
+    rows = (
+        projected.drop("track").join(facts, "instr_id", "left")
+        .join(snapshot, "snapshot_id", "left").join(held, "snapshot_id", "left")
+        .withColumn("has_conflict", F.coalesce("has_conflict", F.lit(False)))
+        .withColumn("callsign", F.coalesce("a_callsign", "callsign"))
+        .withColumn("altitude", F.col("new_altitude"))
+    )
+    ok = F.col("error").isNull()
+    none = F.lit(None).cast("string")
+    low = F.when(
+        ok & (F.col("msa") != 0) & (F.col("altitude") < F.col("msa")),
+        _hit("MSA_RULE", "MSA_VIOLATION", "CRITICAL", none, F.format_string("CRITICAL: Aircraft %s at %dft is below MSA (%dft)", "callsign", "altitude", "msa")),
+    )
+    first = F.coalesce("v", "h")
+    vertical = F.col("v").isNotNull()
+    sep = F.when(
+        ok & F.col("has_conflict") & first.isNotNull(),
+        _hit(
+            "SEPARATION_RULE", F.when(vertical, "SEPARATION_VERTICAL").otherwise("SEPARATION_HORIZONTAL"), "HIGH", first["o_callsign"],
+            F.when(vertical, F.format_string("Vertical separation between %s and %s is %dft, below minimum 1000ft", "callsign", first["o_callsign"], first["gap_ft"]))
+            .otherwise(F.format_string("Horizontal separation between %s and %s is %.1fNM, below minimum 5NM", "callsign", first["o_callsign"], first["dist_nm"])),
+        ),
+    )
+    clearance = ok & F.col("itype").isin(*lookahead.RUNWAY_TYPES) & (F.coalesce("runway", F.lit("")) != "")
+    others = F.filter("held", lambda r: r["occupied_by"] != F.col("callsign"))
+    sweep = F.transform(
+        others,
+        lambda r: _hit("RUNWAY_RULE", "RUNWAY_AVAILABLE", "CRITICAL", r["occupied_by"], F.concat(F.lit("Runway "), r["runway_id"], F.lit(" occupied by "), r["occupied_by"])),
+    )
+    own = [F.when(ok, h) for h in rules.user_hits()]
+    single = F.array_compact(F.array(low, sep, *own))
+    found = F.when(clearance & sweep.isNotNull(), F.concat(single, sweep)).otherwise(single)
+    return rows.select(
+        F.col("instr_id").alias("target_id"), "snapshot_id", "callsign", "error", "has_conflict", found.alias("violations")
+    )
+
+
+def violation_rows(assessed: DataFrame) -> DataFrame:
+    return assessed.select("target_id", "snapshot_id", "callsign", F.explode("violations").alias("x")).select(
+        "target_id", "snapshot_id", "callsign", "x.*"
+    )
+
+
+def decisions(assessed: DataFrame) -> DataFrame:
+    """Counts, decision and applied flag straight from the violation array."""
     bad = F.col("error").isNotNull()
-    return out.select(
-        F.col("target_id").alias("instr_id"), "error", "alert_count", "has_critical", "has_conflict",
-        F.when(bad, "ROLLBACK").otherwise(alerts.decision(F.col("has_critical"))).alias("decision"),
-        (~bad & alerts.applied(F.col("has_critical"), F.col("has_conflict"))).alias("applied"),
+    critical = F.exists("violations", lambda v: v["severity"] == "CRITICAL")
+    return assessed.select(
+        F.col("target_id").alias("instr_id"), "error", F.size("violations").cast("bigint").alias("alert_count"),
+        critical.alias("has_critical"), "has_conflict",
+        F.when(bad, "ROLLBACK").otherwise(alerts.decision(critical)).alias("decision"),
+        (~bad & alerts.applied(critical, F.col("has_conflict"))).alias("applied"),
     )
 
 
 def run(
     aircraft: DataFrame, snapshot: DataFrame, runways: DataFrame, instruction: DataFrame, minutes: int = 10
 ) -> dict[str, DataFrame]:
-    """All stages as lazy tables."""
-    projected = lookahead.project(aircraft, instruction, minutes)
-    sep = lookahead.separation(projected, aircraft)
-    gated = gate(projected, lookahead.conflict_flags(sep))
-    targets = as_targets(gated, snapshot)
-    found = violations(targets, aircraft, runways)
-    alert_rows = alerts.to_alerts(found)
-    return {
-        "projected": projected,
-        "separation": sep,
-        "targets": targets,
-        "violations": found,
-        "alerts": alert_rows,
-        "decisions": decide(gated, alert_rows),
-    }
+    """Violations, alerts and decisions as lazy tables over one assessment."""
+    assessed = assess(aircraft, snapshot, runways, instruction, minutes)
+    found = violation_rows(assessed)
+    return {"assessed": assessed, "violations": found, "alerts": alerts.to_alerts(found), "decisions": decisions(assessed)}
 
 
 def step_status(decisions: DataFrame) -> DataFrame:
