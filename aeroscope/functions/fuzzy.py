@@ -8,29 +8,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def lcs_length(a: str, b: str) -> int:
-    """Longest common subsequence with one machine-word row per character of b (bit-parallel)."""
+def _places(a: str) -> dict[str, int]:
+    """Bit set of the positions of each character."""
     where: dict[str, int] = {}
     for pos, c in enumerate(a):
         where[c] = where.get(c, 0) | (1 << pos)
+    return where
+
+
+def lcs_length(a: str, b: str, where: dict[str, int] | None = None) -> int:
+    """Longest common subsequence, one big-integer row per character of b (bit-parallel)."""
+    get = (_places(a) if where is None else where).get
     full = (1 << len(a)) - 1
     row = full
     for c in b:
-        hit = row & where.get(c, 0)
-        row = ((row + hit) | (row - hit)) & full
+        hit = row & get(c, 0)
+        if hit:
+            row = ((row + hit) | (row - hit)) & full
     return len(a) - row.bit_count()
 
 
-def ratio_of(a: str, b: str) -> float:
+def ratio_of(a: str, b: str, where: dict[str, int] | None = None) -> float:
     """Normalised indel similarity 2 * LCS / (len a + len b); two empty texts give 1."""
     if a == b:
         return 1.0
-    return 2.0 * lcs_length(a, b) / (len(a) + len(b))
+    return 2.0 * lcs_length(a, b, where) / (len(a) + len(b))
 
 
 @F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio_of(x, y) for x, y in zip(a, b)], dtype="float64")
+    out, last, where = [], None, {}
+    for x, y in zip(a, b):
+        if x != last:
+            last, where = x, _places(x)
+        out.append(ratio_of(x, y, where))
+    return pd.Series(out, dtype="float64")
 
 
 COST, SUB, DEL, INS = 1 << 60, 1 << 40, 1 << 20, 1

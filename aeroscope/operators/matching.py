@@ -105,7 +105,7 @@ def greedy_pairs(pairs: DataFrame, keys: Sequence[str], small: int = SMALL_GROUP
 def greedy_match(left: DataFrame, right: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
     """Match left (keys, i, txt) and right (keys, j, txt) by indel ratio at or above the threshold."""
     keys = list(keys)
-    twins = _twins(left, right, keys)
+    twins = cut(_twins(left, right, keys))  # read three times below
     rest_l = left.join(twins.select(*keys, "i"), [*keys, "i"], "left_anti")
     rest_r = right.join(twins.select(*keys, "j"), [*keys, "j"], "left_anti")
     return twins.unionByName(greedy_pairs(scored_pairs(rest_l, rest_r, keys, threshold), keys))
