@@ -108,7 +108,8 @@ def greedy_match(left: DataFrame, right: DataFrame, keys: Sequence[str], thresho
     twins = cut(_twins(left, right, keys))  # read three times below
     rest_l = left.join(twins.select(*keys, "i"), [*keys, "i"], "left_anti")
     rest_r = right.join(twins.select(*keys, "j"), [*keys, "j"], "left_anti")
-    return twins.unionByName(greedy_pairs(scored_pairs(rest_l, rest_r, keys, threshold), keys))
+    # a match table is small next to its inputs and read by several metrics
+    return cut(twins.unionByName(greedy_pairs(scored_pairs(rest_l, rest_r, keys, threshold), keys)))
 
 
 def fuzzy_score(a: Column, b: Column) -> Column:
