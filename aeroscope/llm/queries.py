@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeroscope.llm import mixing, packing, quality, simhash, tokens
+from aeroscope.llm import mixing, packing, quality, simhash, tokens, toxicity
 from aeroscope.llm.common import table
 from aeroscope.llm.registry import query
 
@@ -53,3 +53,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *quality.SIGNALS[:5], "base_failed", "kept", "posterior")
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.judge(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
