@@ -83,7 +83,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     text whose every line is a repeat becomes empty, its row stays. An empty table gives no rows.
     """
     found = repeated_spans(df, id_col, text_col, run)
-    keyed = df.withColumn("_hash", F.xxhash64(*df.columns))
-    joined = keyed.join(found, (keyed["_hash"] == found["_row"]) & keyed[id_col].eqNullSafe(found["_id"]), "left")
-    text = F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col("spans")))
-    return joined.select(*[text.alias(c) if c == text_col else keyed[c] for c in df.columns], F.col("spans").alias("_spans"))
+    keyed = df.withColumn("__hash", F.xxhash64(*df.columns))
+    joined = keyed.join(found, (keyed["__hash"] == found["_row"]) & keyed[id_col].eqNullSafe(found["_id"]), "left")
+    text = F.when(found["spans"].isNull(), keyed[text_col]).otherwise(without(keyed[text_col], found["spans"]))
+    return joined.select(*[text.alias(c) if c == text_col else keyed[c] for c in df.columns], found["spans"].alias("_spans"))
