@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeroscope.llm import lines, mixing, packing, quality, simhash, tokens, toxicity
+from aeroscope.llm import lines, media, mixing, packing, quality, simhash, tokens, toxicity
 from aeroscope.llm.common import table
 from aeroscope.llm.registry import query
 
@@ -78,3 +78,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", F.aggregate(spans, F.lit(0), lambda n, s: n + s["last"] - s["first"] + 1).alias("n_removed"),
         F.size(spans).alias("n_runs"), F.sha2("text", 256).alias("kept_sha256"),
     )
+
+
+@query("op1_media")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.through_archives(table(spark, sf_dir, "documents"))
