@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeroscope.llm import lines, media, mixing, packing, quality, simhash, tokens, toxicity
+from aeroscope.llm import licenses, lines, media, mixing, packing, quality, simhash, tokens, toxicity
 from aeroscope.llm.common import table
 from aeroscope.llm.registry import query
 
@@ -83,3 +83,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_media")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.through_archives(table(spark, sf_dir, "documents"))
+
+
+@query("op9_license_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
