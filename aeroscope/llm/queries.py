@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeroscope.llm import licenses, lines, media, mixing, packing, quality, simhash, tokens, toxicity
+from aeroscope.llm import chat, licenses, lines, media, mixing, packing, quality, simhash, tokens, toxicity
 from aeroscope.llm.common import table
 from aeroscope.llm.registry import query
 
@@ -88,3 +88,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_license_scan")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op5_chat", """WITH s AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, speaker, text) - 1 AS place FROM s),
+w AS (SELECT DISTINCT conv_id, speaker AS perspective FROM s WHERE speaker NOT IN ('system', 'tool')),
+r AS (SELECT p.conv_id, perspective, place, turn, text,
+  CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker IN ('system', 'tool') THEN speaker ELSE 'user' END AS role,
+  CASE WHEN speaker <> perspective AND speaker NOT IN ('system', 'tool') THEN speaker END AS name FROM p JOIN w ON p.conv_id IS NOT DISTINCT FROM w.conv_id),
+m AS (SELECT *, '<|im_start|>' || role || CASE WHEN name IS NULL THEN '' ELSE ' name=' || name END || chr(10) || text || '<|im_end|>' || chr(10) AS rendered FROM r),
+e AS (SELECT *, (sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY place))::BIGINT AS "end" FROM m)
+SELECT conv_id, perspective, place, turn, role, name, rendered, "end" - length(rendered) AS start, "end",
+ CASE WHEN role = 'assistant' THEN "end" - length(text) - 11 END AS mask_start, CASE WHEN role = 'assistant' THEN "end" END AS mask_end FROM e""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
