@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeroscope.llm import chat, licenses, lines, media, mixing, packing, quality, simhash, tokens, toxicity
+from aeroscope.llm import chat, licenses, lines, media, mixing, packing, quality, simhash, suffixes, tokens, toxicity
 from aeroscope.llm.common import table
 from aeroscope.llm.registry import query
 
@@ -102,3 +102,8 @@ SELECT conv_id, perspective, place, turn, role, name, rendered, "end" - length(r
  CASE WHEN role = 'assistant' THEN "end" - length(text) - 11 END AS mask_start, CASE WHEN role = 'assistant' THEN "end" END AS mask_end FROM e""")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+@query("op6_suffix_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
