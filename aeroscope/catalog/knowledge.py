@@ -114,37 +114,37 @@ LATEST_E = "le AS (SELECT run, id, max_by(text, page * 100 + chunk * 10 + idx) A
 LATEST_R = "lr AS (SELECT run, id, max_by(concat(subject_text, ' ', predicate, ' ', object_text), page * 100 + chunk * 10 + idx) AS said FROM relationship GROUP BY 1, 2)"
 
 
-@query("K8_resolve_arrays", f"""WITH {LATEST_E}, x AS (SELECT run, id, unnest(string_split(linked_entities_csv, ',')) AS ref, generate_subscripts(string_split(linked_entities_csv, ','), 1) AS pos FROM krule)
-SELECT x.run, x.id, string_agg(coalesce(said, ref), '|' ORDER BY pos) AS resolved FROM x LEFT JOIN le ON x.run = le.run AND x.ref = le.id GROUP BY 1, 2""")
+@query("K8_resolve_arrays", f"""WITH {LATEST_E}, x AS (SELECT run, page, chunk, idx, id, unnest(string_split(linked_entities_csv, ',')) AS ref, generate_subscripts(string_split(linked_entities_csv, ','), 1) AS pos FROM krule)
+SELECT x.run, page, chunk, idx, x.id, string_agg(coalesce(said, ref), '|' ORDER BY pos) AS resolved FROM x LEFT JOIN le ON x.run = le.run AND x.ref = le.id GROUP BY 1, 2, 3, 4, 5""")
 def k8(spark, sf):
     rec = records(spark, sf)
     out = kn.resolve_ids(rec["krule"], "linked_entities", rec["entity"], F.col("text"))
-    return out.select("run", "id", F.array_join("resolved", "|").alias("resolved"))
+    return out.select(*kn.RECORD, "id", F.array_join("resolved", "|").alias("resolved"))
 
 
-@query("K8_resolve_relationships", f"""WITH {LATEST_R}, x AS (SELECT run, id, unnest(string_split(linked_relationships_csv, ',')) AS ref, generate_subscripts(string_split(linked_relationships_csv, ','), 1) AS pos FROM krule)
-SELECT x.run, x.id, string_agg(coalesce(said, ref), '|' ORDER BY pos) AS resolved FROM x LEFT JOIN lr ON x.run = lr.run AND x.ref = lr.id GROUP BY 1, 2""")
+@query("K8_resolve_relationships", f"""WITH {LATEST_R}, x AS (SELECT run, page, chunk, idx, id, unnest(string_split(linked_relationships_csv, ',')) AS ref, generate_subscripts(string_split(linked_relationships_csv, ','), 1) AS pos FROM krule)
+SELECT x.run, page, chunk, idx, x.id, string_agg(coalesce(said, ref), '|' ORDER BY pos) AS resolved FROM x LEFT JOIN lr ON x.run = lr.run AND x.ref = lr.id GROUP BY 1, 2, 3, 4, 5""")
 def k8_rel(spark, sf):
     rec = records(spark, sf)
     out = kn.resolve_ids(rec["krule"], "linked_relationships", rec["relationship"], kn.relation_text())
-    return out.select("run", "id", F.array_join("resolved", "|").alias("resolved"))
+    return out.select(*kn.RECORD, "id", F.array_join("resolved", "|").alias("resolved"))
 
 
 RESOLVE_SQL = f"""{LATEST_E}, {LATEST_R}, al AS (SELECT * FROM le UNION ALL SELECT * FROM lr),
-tk AS (SELECT run, id, generate_subscripts(p, 1) AS pos, unnest(p) AS tok FROM (SELECT run, id, string_split(regexp_replace(src, '(\\b[ER]\\d{{3}}\\b)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS p FROM src0)),
-rs AS (SELECT tk.run, tk.id, string_agg(CASE WHEN pos % 2 = 0 THEN coalesce('"' || said || '"', tok) ELSE tok END, '' ORDER BY pos) AS resolved_text
-  FROM tk LEFT JOIN al ON tk.run = al.run AND tk.tok = al.id GROUP BY 1, 2)"""
+tk AS (SELECT run, page, chunk, idx, id, generate_subscripts(p, 1) AS pos, unnest(p) AS tok FROM (SELECT run, page, chunk, idx, id, string_split(regexp_replace(src, '(\\b[ER]\\d{{3}}\\b)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS p FROM src0)),
+rs AS (SELECT tk.run, page, chunk, idx, tk.id, string_agg(CASE WHEN pos % 2 = 0 THEN coalesce('"' || said || '"', tok) ELSE tok END, '' ORDER BY pos) AS resolved_text
+  FROM tk LEFT JOIN al ON tk.run = al.run AND tk.tok = al.id GROUP BY 1, 2, 3, 4, 5)"""
 
 
-@query("K9_resolve_text", f"""WITH src0 AS (SELECT run, id, trigger_text || ' / ' || constraint_text AS src FROM krule), {RESOLVE_SQL}
-SELECT rs.run, rs.id, resolved_text, regexp_matches(src, '\\w[ER]\\d{{3}}|[ER]\\d{{3}}\\w') AS inside_word FROM rs JOIN src0 ON rs.run = src0.run AND rs.id = src0.id""")
+@query("K9_resolve_text", f"""WITH src0 AS (SELECT run, page, chunk, idx, id, trigger_text || ' / ' || constraint_text AS src FROM krule), {RESOLVE_SQL}
+SELECT rs.run, rs.page, rs.chunk, rs.idx, rs.id, resolved_text, regexp_matches(src, '\\w[ER]\\d{{3}}|[ER]\\d{{3}}\\w') AS inside_word FROM rs JOIN src0 ON rs.run = src0.run AND rs.page = src0.page AND rs.chunk = src0.chunk AND rs.idx = src0.idx""")
 def k9(spark, sf):
     rec = records(spark, sf)
-    src = rec["krule"].select("run", "id", F.concat_ws(" / ", "trigger_text", "constraint_text").alias("src"))
-    return kn.resolve_text(src, "src", rec["entity"], rec["relationship"]).select("run", "id", "resolved_text", "inside_word")
+    src = rec["krule"].select(*kn.RECORD, "id", F.concat_ws(" / ", "trigger_text", "constraint_text").alias("src"))
+    return kn.resolve_text(src, "src", rec["entity"], rec["relationship"]).select(*kn.RECORD, "id", "resolved_text", "inside_word")
 
 
-@query("K10_complete", f"""WITH src0 AS (SELECT run, id, concat_ws(' ', trigger_text, constraint_text, if_cond, then_act, explainability) AS src FROM krule
+@query("K10_complete", f"""WITH src0 AS (SELECT run, page, chunk, idx, id, concat_ws(' ', trigger_text, constraint_text, if_cond, then_act, explainability) AS src FROM krule
  WHERE modality IS NOT NULL AND deontic_strength IS NOT NULL AND explainability IS NOT NULL), {RESOLVE_SQL}
 SELECT run, id FROM rs WHERE NOT regexp_matches(resolved_text, '\\b[ER]\\d{{3}}\\b')""")
 def k10(spark, sf):
@@ -194,7 +194,7 @@ TAGGED = f"tg AS (SELECT *, array_to_string({TOPIC_LIST}, ',') AS topic_set FROM
 RULE_TXT = f"""rt AS (SELECT *, {TOPIC_LIST} AS tl FROM (SELECT id AS rule_id, seq AS rule_seq, lower(concat_ws(' ', nullif(trigger_text, ''), nullif(constraint_text, ''), if_cond)) AS low FROM krule WHERE run = 'gt'))"""
 CAND = """st AS (SELECT DISTINCT topic_set FROM tg), cd0 AS (SELECT topic_set, rule_id, rule_seq FROM st JOIN rt ON topic_set <> '' AND (list_has_any(string_split(topic_set, ','), tl) OR trim(low) = '')),
 cd AS (SELECT * FROM cd0 UNION ALL SELECT topic_set, rule_id, rule_seq FROM st JOIN rt ON topic_set NOT IN (SELECT topic_set FROM cd0))"""
-VECS = """iv AS (SELECT tg.instr_id, topic_set, embedding AS vec FROM tg JOIN embeddings ON vec_id = instr_id % 500),
+VECS = """iv AS (SELECT tg.instr_id, topic_set, embedding AS vec FROM tg JOIN embeddings ON vec_id = instr_id % (SELECT count(*) FROM embeddings)),
 rv AS (SELECT rule_id, rule_seq, embedding AS vec FROM rt LEFT JOIN embeddings ON vec_id = rule_seq * 3 AND rule_seq % 10 <> 0)"""
 RANKED = f"""WITH {TAGGED}, {RULE_TXT}, {CAND}, {VECS},
 sc AS (SELECT iv.instr_id, cd.rule_id, cd.rule_seq, coalesce(list_dot_product(iv.vec::double[], rv.vec::double[]) / (sqrt(list_dot_product(iv.vec::double[], iv.vec::double[])) * sqrt(list_dot_product(rv.vec::double[], rv.vec::double[])) + 1e-8), -1.0) AS score
@@ -213,7 +213,7 @@ def _generic(spark, sf):
 def _vectors(spark, sf):
     """Instruction and rule vectors taken from the embeddings table."""
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
-    i = table(spark, sf, "instruction").withColumn("vec_id", F.col("instr_id") % 500).join(e, "vec_id")
+    i = table(spark, sf, "instruction").withColumn("vec_id", F.col("instr_id") % e.agg(F.count("*")).scalar()).join(e, "vec_id")
     r = _generic(spark, sf).select("rule_id", F.col("ord").alias("rule_seq"), F.when(F.col("ord") % 10 != 0, F.col("ord") * 3).alias("vec_id"))
     return i, r.join(e, "vec_id", "left").drop("vec_id")
 
@@ -265,8 +265,8 @@ def f6(spark, sf):
 KEY_SQL = {
     "entity": "trim(lower(text))",
     "relationship": "trim(lower(concat(subject_text, ':', predicate, ':', object_text)))",
-    "event": "trim(lower(concat(event_type, ':', substr(trigger_text, 1, 50))))",
-    "krule": "trim(lower(concat(rule_type, ':', substr(trigger_text, 1, 50))))",
+    "event": "trim(lower(concat(event_type, ':', trigger_text)))",
+    "krule": "trim(lower(concat(rule_type, ':', trigger_text)))",
     "procedure": "trim(lower(name))",
 }
 FIRST = "row_number() OVER (PARTITION BY run, key ORDER BY page, chunk, idx)"
@@ -504,11 +504,11 @@ def x15(spark, sf):
     return ex.carry_last(c).select(F.col("page").alias("conv_id"), F.col("chunk").alias("turn"), "carried", "saved")
 
 
-@query("X16_external", """SELECT d.doc_id::double AS page, CASE WHEN d.doc_id % 5 = 0 AND d.doc_id < 600 THEN '' ELSE text END AS text, d.doc_id % 5 = 0 AND d.doc_id < 600 AS external FROM documents d
+@query("X16_external", """SELECT d.doc_id::double AS page, CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE text END AS text, d.doc_id % 5 = 0 AS external FROM documents d
 UNION ALL SELECT page_id + 0.5, '', true FROM pages WHERE page_id % 7 = 0""")
 def x16(spark, sf):
     own = table(spark, sf, "documents").select(F.col("doc_id").cast("double").alias("page"), "text")
-    ext = table(spark, sf, "documents").where("doc_id % 5 = 0 and doc_id < 600").select(F.col("doc_id").cast("double").alias("page"))
+    ext = table(spark, sf, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").cast("double").alias("page"))
     sub = table(spark, sf, "pages").where("page_id % 7 = 0").select((F.col("page_id") + F.lit(0.5)).alias("page"))
     return ex.prefer_external(own, ext.unionByName(sub))
 

@@ -149,7 +149,7 @@ def b5(spark, sf):
 
 
 def _sentences(truth):
-    return truth.select((F.col("page") * 1_000_000 + F.col("chunk")).cast("bigint").alias("seq"), "text")
+    return truth.select("page", "chunk", "text")
 
 
 @query("B5_document_integrity")
@@ -175,11 +175,11 @@ def b7(spark, sf):
 # ---- Q: records -------------------------------------------------------------------------------------
 
 KEYS_SQL = """kr AS (
- SELECT run, page, 'entity' AS kind, chunk * 100000 + idx AS n, seq, coalesce(text, '') AS key, trim(lower(coalesce(text, ''))) AS exact FROM entity
- UNION ALL SELECT run, page, 'relationship', chunk * 100000 + idx, seq, concat_ws(' ', subject_text, predicate, object_text), concat_ws('|', trim(lower(subject_text)), trim(lower(predicate)), trim(lower(object_text))) FROM relationship
- UNION ALL SELECT run, page, 'event', chunk * 100000 + idx, seq, trigger_text, trim(lower(trigger_text)) FROM event
- UNION ALL SELECT run, page, 'krule', chunk * 100000 + idx, seq, trigger_text, trim(lower(trigger_text)) FROM krule
- UNION ALL SELECT run, page, 'procedure', chunk * 100000 + idx, seq, name, trim(lower(name)) FROM procedure)"""
+ SELECT run, page, 'entity' AS kind, chunk * 4294967296 + idx AS n, seq, coalesce(text, '') AS key, trim(lower(coalesce(text, ''))) AS exact FROM entity
+ UNION ALL SELECT run, page, 'relationship', chunk * 4294967296 + idx, seq, concat_ws(' ', subject_text, predicate, object_text), concat_ws('|', trim(lower(subject_text)), trim(lower(predicate)), trim(lower(object_text))) FROM relationship
+ UNION ALL SELECT run, page, 'event', chunk * 4294967296 + idx, seq, trigger_text, trim(lower(trigger_text)) FROM event
+ UNION ALL SELECT run, page, 'krule', chunk * 4294967296 + idx, seq, trigger_text, trim(lower(trigger_text)) FROM krule
+ UNION ALL SELECT run, page, 'procedure', chunk * 4294967296 + idx, seq, name, trim(lower(name)) FROM procedure)"""
 
 
 def _rows(spark, sf):

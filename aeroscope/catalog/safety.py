@@ -323,12 +323,14 @@ SELECT target_id, rule_id, 'SEPARATION_VERTICAL' AS condition_type, 'HIGH' AS se
 HORIZONTAL_TEXT = """'Horizontal separation between ' || callsign || ' and ' || other || ' is ' || printf('%.1f', d)
   || 'NM, below minimum ' || 5 || 'NM'"""
 
+BOUND_TEXT = "CASE WHEN min_distance = floor(min_distance) THEN min_distance::BIGINT::VARCHAR ELSE min_distance::VARCHAR END"
+
 _rule_query("R5_horizontal", lambda s, d: rules.separation_horizontal(
-    rules.near_pairs(_targets(s, d), table(s, d, "aircraft_snap")), _good(s, d).where("min_distance = 5")), f"""
-, hit AS (SELECT target_id, callsign, g.rule_id, min_by(o_callsign, o_ord) AS other, min_by(d, o_ord) AS d
-  FROM pairs JOIN good g ON separation_type = 'HORIZONTAL' AND min_distance = 5 AND d < min_distance GROUP BY ALL)
+    rules.near_pairs(_targets(s, d), table(s, d, "aircraft_snap")), _good(s, d)), f"""
+, hit AS (SELECT target_id, callsign, g.rule_id, min_distance, min_by(o_callsign, o_ord) AS other, min_by(d, o_ord) AS d
+  FROM pairs JOIN good g ON separation_type = 'HORIZONTAL' AND d < min_distance GROUP BY ALL)
 SELECT target_id, rule_id, 'SEPARATION_HORIZONTAL' AS condition_type, 'HIGH' AS severity, other,
-  {HORIZONTAL_TEXT} AS explanation FROM hit""")
+  {HORIZONTAL_TEXT.replace('|| 5 ||', '|| ' + BOUND_TEXT + ' ||')} AS explanation FROM hit""")
 
 _rule_query("R6_both", lambda s, d: rules.separation_both(
     rules.near_pairs(_targets(s, d), table(s, d, "aircraft_snap")), _good(s, d)), f"""

@@ -171,6 +171,40 @@ def n20(spark, sf):
     return table(spark, sf, "instruction").select("instr_id", normalize.expand_callsign(c).alias("out"))
 
 
+# an airline table made from the data: the codes that stand in texts, with nations as names
+AIR_SQL = """air AS (SELECT code, lower(any_value(n_name)) || ' ' || lower(code) AS name
+ FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '\\b([A-Z]{3})\\d{1,4}\\b', 1)) AS code FROM utterance) JOIN nation ON n_nationkey = ascii(code) % 25 GROUP BY code)"""
+
+
+def _airlines(spark, sf):
+    codes = table(spark, sf, "utterance").select(F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Z]{3})\d{1,4}\b"), F.lit(1))).alias("code")).distinct()
+    nations = table(spark, sf, "nation").select((F.col("n_nationkey") % 25).cast("int").alias("k"), F.lower("n_name").alias("nation"))
+    return codes.join(nations, F.ascii("code") % 25 == F.col("k")).select("code", F.concat_ws(" ", "nation", F.lower("code")).alias("name"))
+
+
+def _by_table(t: str, n: int) -> str:
+    return sql_each(t, rf"\b[A-Z]{{{n}}}\d{{1,4}}\b", lambda x: f"coalesce(names[substr({x}, 1, {n})] || ' ' || {sql_spoken(f'substr({x}, {n + 1})')}, {x})")
+
+
+@query("N2_airline_table", f"WITH {AIR_SQL} SELECT utt_id, {_by_table('text', 3)} AS out FROM utterance, (SELECT map_from_entries(list((code, name))) AS names FROM air)")
+def n2_table(spark, sf):
+    said = table(spark, sf, "utterance").withColumn("names", vocab.airline_map(_airlines(spark, sf)))
+    return said.select("utt_id", normalize.icao_callsigns(F.col("text"), F.col("names")).alias("out"))
+
+
+@query("N27_airline_table", f"""WITH {AIR_SQL}, said AS (SELECT utt_id, name, right(utt_id::VARCHAR, 2) AS digits, code FROM utterance JOIN air ON code = regexp_extract(text, '\\b([A-Z]{{3}})\\d{{1,4}}\\b', 1))
+SELECT utt_id, code || digits || ' climb' AS out FROM said""")
+def n27_table(spark, sf):
+    """Spoken names of the table's airlines, then two spoken digits, back to codes."""
+    airlines = _airlines(spark, sf)
+    digits = F.substring(F.col("utt_id").cast("string"), -2, 2)
+    code = F.regexp_extract("text", r"\b([A-Z]{3})\d{1,4}\b", 1)
+    said = table(spark, sf, "utterance").select("utt_id", code.alias("code"), digits.alias("digits")).join(airlines, "code")
+    said = said.withColumn("codes", vocab.spoken_code_map(airlines))
+    text = F.concat_ws(" ", "name", normalize.spoken(F.col("digits")), F.lit("climb"))
+    return said.select("utt_id", F.rtrim(compact.compact_callsign(text, codes=F.col("codes"))).alias("out"))
+
+
 @query("N21_spelling", f"""SELECT p_partkey, array_to_string(list_transform(list_filter(string_split(upper(p_name), ''),
   lambda c: regexp_matches(c, '^[A-Z0-9]$')), lambda c: {sql_case('c', vocab.NATO, 'lower(c)')}), ' ') AS out FROM part""")
 def n21(spark, sf):

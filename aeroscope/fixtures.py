@@ -60,14 +60,14 @@ WITH b AS (
          CASE flight_phase WHEN 'descent' THEN 'descent' WHEN 'cruise' THEN 'climb' WHEN 'climb' THEN 'heading'
               WHEN 'ground' THEN 'takeoff_clearance' ELSE 'reduce_speed' END AS itype,
          CASE WHEN ord % 29 = 0 THEN NULL WHEN ord % 31 = 0 THEN 'ZZZ999' ELSE callsign END AS callsign
-  FROM {aircraft_snap} WHERE ord % 5 = 0),
+  FROM {aircraft_snap}),
 v AS (
   SELECT *, CASE itype WHEN 'descent' THEN CAST(10 + ord % 200 AS int)
                        WHEN 'climb' THEN CAST(60 + ord % 300 AS int) END AS flight_level,
          CASE WHEN itype = 'heading' THEN CAST((ord * 7) % 360 AS int) END AS heading,
          CASE WHEN itype = 'reduce_speed' THEN CAST(180 + ord % 100 AS int) END AS target_speed,
          CASE WHEN itype = 'takeoff_clearance' THEN
-              CASE (ord / 5) % 4 WHEN 0 THEN '09L' WHEN 1 THEN '27R' WHEN 2 THEN '04L' ELSE '31C' END
+              CASE ord % 4 WHEN 0 THEN '09L' WHEN 1 THEN '27R' WHEN 2 THEN '04L' ELSE '31C' END
               END AS runway
   FROM b)
 SELECT ord AS instr_id, snapshot_id, ord AS seq, callsign, itype,
@@ -93,7 +93,7 @@ SELECT concat('RULE', CASE WHEN s_suppkey < 1000 THEN lpad(CAST(s_suppkey AS STR
        CASE WHEN s_suppkey % 3 = 1 THEN CASE s_suppkey % 4 WHEN 0 THEN 'VERTICAL' WHEN 1 THEN 'HORIZONTAL'
                                              WHEN 2 THEN 'BOTH' END END AS separation_type,
        CASE WHEN s_suppkey % 7 <> 0 THEN CAST(1000 + (s_suppkey % 13) * 1000 AS int) END AS reference_value,
-       CASE WHEN s_suppkey % 4 = 0 THEN CAST(1000 AS double) ELSE CAST(5 AS double) END AS min_distance,
+       CASE WHEN s_suppkey % 4 = 0 THEN CAST(1000 AS double) WHEN s_suppkey % 8 = 5 THEN CAST(2.5 AS double) ELSE CAST(5 AS double) END AS min_distance,
        CASE s_suppkey % 5 WHEN 0 THEN '09L' WHEN 1 THEN '27R' WHEN 2 THEN '04L' WHEN 3 THEN '13C' END AS runway_id,
        CAST(3 AS int) AS max_holding,
        s_suppkey AS ord

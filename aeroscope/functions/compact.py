@@ -52,10 +52,16 @@ def compact_runway(text: Column, keep_space: bool = False) -> Column:
     return replace_each(text, rf"(?i)runway\s+(?:(?:{HEARD})\s*)+(?:left|right|center|L|R|C)?\b", change)
 
 
-def compact_callsign(text: Column, airlines: Mapping[str, str] = vocab.AIRLINES) -> Column:
-    """Airline name in the first one to three words, then spoken digits or letters."""
-    codes = vocab.spoken_codes(airlines)
-    starts = sorted({name.split()[0] for name in codes})
+def compact_callsign(text: Column, airlines: Mapping[str, str] = vocab.AIRLINES, codes: Column | None = None) -> Column:
+    """Airline name in the first one to three words, then spoken digits or letters.
+
+    Names come from a dictionary of airlines, or from the map column `codes` (see vocab.spoken_code_map).
+    """
+    if codes is None:
+        codes = vocab.spoken_codes(airlines)
+        starts = sorted({name.split()[0] for name in codes})
+    else:
+        starts = None
 
     def named(words: Column, k: int) -> Column:
         code = lookup(F.array_join(F.slice(words, 1, k), " "), codes)
@@ -73,7 +79,8 @@ def compact_callsign(text: Column, airlines: Mapping[str, str] = vocab.AIRLINES)
 
     def change(words: Column) -> Column:
         # a hash test on the first word keeps the lookups off most rows
-        return F.when(words[0].isin(*starts), F.coalesce(*[named(words, k) for k in (1, 2, 3)]))
+        found = F.coalesce(*[named(words, k) for k in (1, 2, 3)])
+        return found if starts is None else F.when(words[0].isin(*starts), found)
 
     def either(t: Column) -> Column:
         words = F.split(F.trim(F.regexp_replace(t, r"(?U)\s+", " ")), " ")
@@ -82,8 +89,8 @@ def compact_callsign(text: Column, airlines: Mapping[str, str] = vocab.AIRLINES)
     return let(text, either)
 
 
-def compact(text: Column, keep_space: bool = False, airlines: Mapping[str, str] = vocab.AIRLINES) -> Column:
+def compact(text: Column, keep_space: bool = False, airlines: Mapping[str, str] = vocab.AIRLINES, codes: Column | None = None) -> Column:
     out = F.lower(text)
     out = compact_heading(compact_runway(compact_level(out, keep_space), keep_space), keep_space)
-    out = compact_callsign(out, airlines)
+    out = compact_callsign(out, airlines, codes)
     return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))

@@ -39,7 +39,7 @@ def split_navaids(text: Column) -> Column:
     )
 
 
-def _coded(text: Column, letters: int, names: Mapping[str, str]) -> Column:
+def _coded(text: Column, letters: int, names: vocab.Airlines) -> Column:
     def change(m: Column) -> Column:
         name = lookup(F.substring(m, 1, letters), names)
         return F.coalesce(F.concat(name, F.lit(" "), spoken(F.substring(m, letters + 1, 8))), m)
@@ -47,11 +47,11 @@ def _coded(text: Column, letters: int, names: Mapping[str, str]) -> Column:
     return replace_each(text, UNI + rf"\b[A-Z]{{{letters}}}\d{{1,4}}\b", change)
 
 
-def icao_callsigns(text: Column, airlines: Mapping[str, str] = vocab.AIRLINES) -> Column:
+def icao_callsigns(text: Column, airlines: vocab.Airlines = vocab.AIRLINES) -> Column:
     return _coded(text, 3, airlines)
 
 
-def iata_callsigns(text: Column, airlines: Mapping[str, str] = vocab.AIRLINES) -> Column:
+def iata_callsigns(text: Column, airlines: vocab.Airlines = vocab.AIRLINES) -> Column:
     return _coded(text, 2, vocab.iata_names(airlines))
 
 
@@ -166,7 +166,7 @@ def normalize(
     lowercase: bool = True,
     convert_compound_numbers: bool = True,
     split_concatenated_terms: bool = True,
-    airlines: Mapping[str, str] = vocab.AIRLINES,
+    airlines: vocab.Airlines = vocab.AIRLINES,
 ) -> Column:
     """Whole spoken-form normalisation; null or empty becomes ''."""
     out = text
@@ -196,7 +196,7 @@ def normalize_map(data: Column, **switches) -> Column:
     return F.transform_values(data, lambda _, v: normalize(v, **switches))
 
 
-def expand_callsign(code: Column, airlines: Mapping[str, str] = vocab.AIRLINES) -> Column:
+def expand_callsign(code: Column, airlines: vocab.Airlines = vocab.AIRLINES) -> Column:
     """One callsign in spoken form, null when it is not known."""
     c = F.upper(F.trim(code))
     three = first_group(c, r"^([A-Z]{3})\d+$")
@@ -211,7 +211,7 @@ def spell_icao(text: Column) -> Column:
     return F.array_join(F.transform(chars, lambda c: F.coalesce(lookup(c, vocab.NATO), F.lower(c))), " ")
 
 
-def airline_name(code: Column, airlines: Mapping[str, str] = vocab.AIRLINES) -> Column:
+def airline_name(code: Column, airlines: vocab.Airlines = vocab.AIRLINES) -> Column:
     c = F.upper(code)
     return F.coalesce(lookup(c, airlines), lookup(c, vocab.iata_names(airlines)))
 

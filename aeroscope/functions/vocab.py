@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 # Spelling alphabet.
 NATO = {
     "A": "alpha", "B": "bravo", "C": "charlie", "D": "delta", "E": "echo", "F": "foxtrot", "G": "golf",
@@ -34,7 +37,7 @@ IATA = {
 }
 
 # Spoken names of the airlines that the two-letter codes lead to. The full table of an
-# operator is a parameter of the functions (see sources.readers.read_airlines).
+# operator is a parameter of the functions: a dictionary, or a table of any size (see airline_map).
 AIRLINES = {
     "AAL": "american", "ACA": "air canada", "AFR": "air france", "AIC": "air india", "ANA": "all nippon",
     "ANZ": "air new zealand", "ARG": "aerolineas argentinas", "AUA": "austrian", "AVA": "avianca",
@@ -80,8 +83,34 @@ TENS = {
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def iata_names(airlines: Mapping[str, str] = AIRLINES) -> dict[str, str]:
+#: Airlines by three-letter code: a dictionary, or a map column made from a table.
+Airlines = Mapping[str, str] | Column
+
+
+def airline_map(airlines: DataFrame) -> Column:
+    """A table of airlines (code, name; one row per three-letter code, so 17,576 at most) as a map column.
+
+    It is a subquery: give it to a DataFrame as a column, and that column to the text functions.
+    """
+    return airlines.agg(F.map_from_entries(F.collect_list(F.struct("code", "name")))).scalar()
+
+
+def spoken_code_map(airlines: DataFrame) -> Column:
+    """`spoken_codes` of a table of airlines (code, name) as a map column; to be used as that of `airline_map`."""
+    whole = airlines.groupBy("name").agg(F.max("code").alias("whole"))
+    first = airlines.groupBy(F.split("name", " ")[0].alias("name")).agg(F.min("code").alias("first"))
+    names = whole.join(first, "name", "full").select("name", F.coalesce("whole", "first").alias("code"))
+    names = names.where(~F.col("name").isin(*SPOKEN_AIRLINES))
+    own = F.create_map(*[F.lit(x) for kv in SPOKEN_AIRLINES.items() for x in kv])
+    return names.agg(F.map_concat(F.map_from_entries(F.collect_list(F.struct("name", "code"))), own)).scalar()
+
+
+def iata_names(airlines: Airlines = AIRLINES) -> Airlines:
     """Two-letter code to spoken name, only where the three-letter code is known."""
+    if isinstance(airlines, Column):
+        known = F.array(*[F.struct(F.lit(two).alias("two"), F.lit(three).alias("three")) for two, three in IATA.items()])
+        named = F.transform(known, lambda x: F.struct(x["two"].alias("key"), airlines[x["three"]].alias("value")))
+        return F.map_from_entries(F.filter(named, lambda x: x["value"].isNotNull()))
     return {two: airlines[three] for two, three in IATA.items() if three in airlines}
 
 

@@ -24,8 +24,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def lookup(key: Column, table: Mapping[str, str]) -> Column:
-    """Fixed small dictionary as a map literal."""
+def lookup(key: Column, table: Mapping[str, str] | Column) -> Column:
+    """Value of a key in a map column, or in a fixed small dictionary as a map literal; null if it is not there."""
+    if isinstance(table, Column):
+        return F.try_element_at(table, key)
     pairs = [F.lit(x) for kv in table.items() for x in kv]
     return F.element_at(F.create_map(*pairs), key)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from aeroscope.functions.fuzzy import word_edits
 from aeroscope.functions.normalize import normalize
-from aeroscope.idioms import running, salted
+from aeroscope.idioms import salted
 
 
 def words(text: Column, spoken_form: bool = True) -> Column:
@@ -107,14 +107,16 @@ def rank_models(summary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def wer_cdf(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """Share of samples at or below each WER value.
 
-    Equal values are counted first; the running total then works on distinct values in blocks.
+    Equal values are counted first; sums then run inside ranges of distinct values, and over one row per range.
     """
     by = list(by)
     counts = scores.groupBy(*by, "wer").agg(F.count("*").alias("c"))
-    micro = counts.withColumn("ord", (F.col("wer") * 1_000_000_000).cast("bigint"))
-    totals = counts.groupBy(*by).agg(F.sum("c").alias("n"))
-    out = running(micro.select(*by, "wer", "c", "ord"), by, "ord", {"upto": F.col("c")}, block=1_000_000_000)
-    return out.join(totals, by).select(*by, "wer", (F.col("upto") / F.col("n")).alias("share"))
+    counts = counts.withColumn("range", F.floor(F.col("wer") * 1000))
+    before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counts.groupBy(*by, "range").agg(F.sum("c").alias("r"))
+    ranges = ranges.select(*by, "range", F.coalesce(F.sum("r").over(before), F.lit(0)).alias("before"), F.sum("r").over(Window.partitionBy(*by)).alias("n"))
+    inside = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*by, "range").orderBy("wer")))
+    return inside.join(ranges, [*by, "range"]).select(*by, "wer", ((F.col("before") + F.col("upto")) / F.col("n")).alias("share"))
 
 
 def wer_by_length(scores: DataFrame) -> DataFrame:

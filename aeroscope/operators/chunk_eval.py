@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeroscope.idioms import ratio, running
@@ -79,14 +79,30 @@ def page_integrity(models: DataFrame) -> DataFrame:
     )
 
 
-def document_integrity(models: DataFrame, sentences: DataFrame, page_width: int = 1_000_000) -> DataFrame:
-    """Share of chunk ends over the whole document that are ends of the given sentences (seq, text).
+def _ends_by_page(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """End offset of each piece in the text of all pages joined by single blanks, in (page, chunk) order.
 
-    Offsets are running sums in blocks, so a long document is not one task."""
-    pieces = models.select("model", (F.col("page") * page_width).cast("bigint").alias("p"), "chunk", _squeezed(F.col("text")).alias("piece"))
-    ends = _ends(pieces.select("model", (F.col("p") + F.col("chunk")).alias("ord"), "piece"), ["model"], "ord")
-    s = sentences.select(F.lit(1).alias("one"), F.col("seq").cast("bigint").alias("ord"), _squeezed(F.col("text")).alias("piece"))
-    marks = _ends(s, ["one"], "ord").select("end").distinct().withColumn("hit", F.lit(1))
+    Sums run inside a page and over one row per page, so a long document is not one task.
+    """
+    long = F.length("piece") + 1
+    before = Window.partitionBy(*keys).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    pages = rows.groupBy(*keys, "page").agg(F.sum(long).alias("n"))
+    pages = pages.select(*keys, "page", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    upto = Window.partitionBy(*keys, "page").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumn("upto", F.sum(long).over(upto))
+    return inside.join(pages, [*keys, "page"]).select(*keys, "page", "chunk", (F.col("before") + F.col("upto") - 1).alias("end"))
+
+
+def document_integrity(models: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Share of chunk ends over the whole document that are ends of the given sentences.
+
+    Sentences come by (page, chunk), or by one number, seq.
+    """
+    if "seq" in sentences.columns:
+        sentences = sentences.select(F.floor(F.col("seq") / 4096).alias("page"), F.col("seq").alias("chunk"), "text")
+    ends = _ends_by_page(models.select("model", "page", "chunk", _squeezed(F.col("text")).alias("piece")), ["model"])
+    s = sentences.select(F.lit(1).alias("one"), "page", "chunk", _squeezed(F.col("text")).alias("piece"))
+    marks = _ends_by_page(s, ["one"]).select("end").distinct().withColumn("hit", F.lit(1))
     return ends.join(marks, "end", "left").groupBy("model").agg((F.count("hit") / F.count("*")).alias("boundary_integrity"))
 
 

@@ -79,7 +79,7 @@ def _marked(df: DataFrame, kind: str) -> DataFrame:
             "prefix_ok": F.coalesce(F.col("id").startswith(prefix), F.lit(False)),
             "corrupt": corrupt,
             "refs_ok": refs_ok,
-            "pos": F.lit(list(PREFIXES).index(kind)) * 1_000_000 + F.col("idx"),
+            "pos": F.struct(F.lit(list(PREFIXES).index(kind)).alias("kind"), "idx"),
         }
     )
 
@@ -204,9 +204,9 @@ def store_key(kind: str) -> Column:
 
     raw = {
         "entity": c("text") if kind == "entity" else None,
-        "krule": F.concat(c("rule_type"), F.lit(":"), F.substring(c("trigger_text"), 1, 50)),
+        "krule": F.concat(c("rule_type"), F.lit(":"), c("trigger_text")),
         "relationship": F.concat(c("subject_text"), F.lit(":"), c("predicate"), F.lit(":"), c("object_text")),
-        "event": F.concat(c("event_type"), F.lit(":"), F.substring(c("trigger_text"), 1, 50)),
+        "event": F.concat(c("event_type"), F.lit(":"), c("trigger_text")),
         "procedure": c("name"),
     }[kind]
     return F.trim(F.lower(raw))
@@ -381,19 +381,24 @@ def prefer_external(pages: DataFrame, external: DataFrame) -> DataFrame:
     return own.unionByName(extra.join(own.select("page"), "page", "left_anti"))
 
 
-def chunk_audit(accumulated: Mapping[str, DataFrame], chunks: DataFrame, page_size: int = 1000) -> DataFrame:
-    """Per chunk the totals of known records so far.
+def chunk_audit(accumulated: Mapping[str, DataFrame], chunks: DataFrame) -> DataFrame:
+    """Per chunk the totals of known records so far, in (page, chunk) order.
 
-    New records are counted per chunk first; the running sum then only sees one row per chunk.
+    New records are counted per chunk first; sums run over the chunks of a page, and over one row per page.
     """
     marks = []
     for kind, df in accumulated.items():
         marks.append(df.groupBy("run", "page", "chunk").agg(F.count("*").alias("c")).withColumn("kind", F.lit(kind)))
     per_chunk = reduce(DataFrame.unionByName, marks).groupBy("run", "page", "chunk").pivot("kind", list(accumulated)).agg(F.sum("c"))
     rows = chunks.join(per_chunk, ["run", "page", "chunk"], "left").na.fill(0, list(accumulated))
-    rows = rows.withColumn("ord", (F.col("page") * page_size).cast("bigint") + F.col("chunk"))
-    out = running(rows.select("run", "page", "chunk", "ord", *accumulated), ["run"], "ord", {f"{k}_total": F.col(k) for k in accumulated})
-    return out.select("run", "page", "chunk", *[f"{k}_total" for k in accumulated])
+    before = Window.partitionBy("run").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    pages = rows.groupBy("run", "page").agg(*[F.sum(k).alias(k) for k in accumulated])
+    pages = pages.select("run", "page", *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_before") for k in accumulated])
+    upto = Window.partitionBy("run", "page").orderBy("chunk")
+    inside = rows.select("run", "page", "chunk", *[F.sum(k).over(upto).alias(f"{k}_upto") for k in accumulated])
+    return inside.join(pages, ["run", "page"]).select(
+        "run", "page", "chunk", *[(F.col(f"{k}_before") + F.col(f"{k}_upto")).alias(f"{k}_total") for k in accumulated]
+    )
 
 
 def run_totals(records: Mapping[str, DataFrame]) -> DataFrame:

@@ -67,10 +67,10 @@ def exact_key(kind: str) -> Column:
 
 
 def keyed(records: Mapping[str, DataFrame]) -> DataFrame:
-    """All record types in one narrow table: run, page, kind, n (position on the page), key texts."""
+    """All record types in one narrow table: run, page, kind, n (chunk and position in it), key texts."""
     parts = [
         df.select(
-            "run", "page", F.lit(k).alias("kind"), (F.col("chunk") * 100000 + F.col("idx")).cast("bigint").alias("n"),
+            "run", "page", F.lit(k).alias("kind"), (F.col("chunk").cast("bigint") * (1 << 32) + F.col("idx")).alias("n"),
             "seq", match_key(k).alias("key"), exact_key(k).alias("exact"),
         )
         for k, df in records.items()
@@ -115,7 +115,7 @@ def field_scores(records: Mapping[str, DataFrame], matches: DataFrame, truth: st
     """Content score per matched pair: half exact-field share, half enum share (0 without enum fields)."""
     out = []
     for kind, df in records.items():
-        n = (F.col("chunk") * 100000 + F.col("idx")).cast("bigint")
+        n = F.col("chunk").cast("bigint") * (1 << 32) + F.col("idx")
         fields = [f for f in CONTENT_FIELDS[kind] if f in df.columns]
         # a field neither side has is equal on both
         absent = len(CONTENT_FIELDS[kind]) - len(fields)

@@ -185,14 +185,18 @@ def relation_text() -> Column:
     )
 
 
+#: What tells one record from another: ids repeat over pages.
+RECORD = ("run", "page", "chunk", "idx")
+
+
 def resolve_ids(df: DataFrame, field: str, records: DataFrame, text: Column) -> DataFrame:
-    """Replace an id array by texts in order; unknown ids stay. The shuffled unit is one id."""
-    refs = df.select("run", "id", F.posexplode(field).alias("pos", "ref"))
+    """Replace an id array by texts in order, record by record; unknown ids stay. The shuffled unit is one id."""
+    refs = df.select(*RECORD, F.posexplode(field).alias("pos", "ref"))
     named = refs.join(_texts(records, text), ["run", "ref"], "left")
-    texts = named.groupBy("run", "id").agg(
+    texts = named.groupBy(*RECORD).agg(
         F.array_sort(F.collect_list(F.struct("pos", F.coalesce("said", "ref").alias("said")))).alias("r")
     )
-    return df.join(texts.select("run", "id", F.col("r.said").alias("resolved")), ["run", "id"], "left").withColumn(
+    return df.join(texts.select(*RECORD, F.col("r.said").alias("resolved")), [*RECORD], "left").withColumn(
         "resolved", F.coalesce("resolved", F.array().cast("array<string>"))
     )
 
@@ -205,15 +209,15 @@ def resolve_text(df: DataFrame, field: str, entities: DataFrame, relationships:
     have replaced.
     """
     said = _texts(entities, F.col("text")).unionByName(_texts(relationships, relation_text()))
-    found = df.select("run", "id", F.explode(F.array_distinct(F.regexp_extract_all(field, F.lit(r"\b([ER]\d{3})\b"), F.lit(1)))).alias("ref"))
-    maps = found.join(said, ["run", "ref"]).groupBy("run", "id").agg(
+    found = df.select(*RECORD, F.explode(F.array_distinct(F.regexp_extract_all(field, F.lit(r"\b([ER]\d{3})\b"), F.lit(1)))).alias("ref"))
+    maps = found.join(said, ["run", "ref"]).groupBy(*RECORD).agg(
         F.map_from_entries(F.collect_list(F.struct("ref", "said"))).alias("names")
     )
     text = replace_each(
         F.col(field), r"\b[ER]\d{3}\b",
         lambda m: F.coalesce(F.concat(F.lit('"'), F.try_element_at(F.col("names"), m), F.lit('"')), m),
     )
-    return df.join(maps, ["run", "id"], "left").withColumns(
+    return df.join(maps, [*RECORD], "left").withColumns(
         {"resolved_text": text, "inside_word": F.col(field).rlike(r"\w[ER]\d{3}|[ER]\d{3}\w")}
     ).drop("names")
 

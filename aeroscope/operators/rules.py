@@ -160,7 +160,8 @@ def separation_horizontal(pairs: DataFrame, rules: DataFrame) -> DataFrame:
     hits = _first_per(
         _below(pairs, bounds, "dist_nm", "min_distance", 1), [*TARGET_KEYS, "min_distance"], "o_callsign", "dist_nm"
     )
-    bound = F.col("min_distance").cast("int").cast("string")
+    whole = F.col("min_distance") == F.floor("min_distance")
+    bound = F.when(whole, F.col("min_distance").cast("bigint").cast("string")).otherwise(F.col("min_distance").cast("string"))
     return _violation(
         hits.join(chosen, "min_distance"), "SEPARATION_HORIZONTAL", "HIGH",
         _horizontal_text(bound), F.col("hit.o_callsign"),
@@ -236,14 +237,21 @@ def holding_congestion(targets: DataFrame, rules: DataFrame, runways: DataFrame)
 
 
 def runway_missing(targets: DataFrame, rules: DataFrame, runways: DataFrame) -> DataFrame:
-    """Rules naming a runway that the sector does not have, with the known list."""
+    """Rules naming a runway that the sector does not have, with the known list.
+
+    The names asked for are compared with those known once per snapshot; targets and rules join what is missing by key.
+    """
     known = runways.groupBy("snapshot_id").agg(
         F.array_sort(F.collect_set("runway_id")).alias("known")  # bounded by the runways of a sector
     )
     asked = _runway_rules(rules, "EXISTS")
-    hits = _every(targets.join(known, "snapshot_id", "left"), asked).where(
-        ~F.coalesce(F.array_contains("known", F.col("runway_id")), F.lit(False))
+    names = asked.agg(F.collect_set(F.struct("runway_id"))).scalar()
+    there = F.transform(F.coalesce("known", F.array().cast("array<string>")), lambda r: F.struct(r.alias("runway_id")))
+    lacking = targets.select("snapshot_id").distinct().join(known, "snapshot_id", "left").select(
+        "snapshot_id", "known", F.explode(F.array_except(names, there)).alias("missing")
     )
+    lacking = lacking.join(asked, F.col("missing.runway_id").eqNullSafe(F.col("runway_id"))).drop("missing")
+    hits = targets.join(lacking, "snapshot_id")
     text = F.concat(F.lit("Runway "), F.coalesce("runway_id", F.lit("None")), F.lit(" does not exist in this sector"))
     return _violation(hits, "RUNWAY_NOT_FOUND", "HIGH", text, F.array_join("known", ","))
 

@@ -28,10 +28,10 @@ def source_name(path: Column) -> Column:
     return stem(F.when(folder != "", folder).otherwise(path))
 
 
-def read_airlines(spark: SparkSession, path: str) -> dict[str, str]:
-    """Airline code table (code, name) as the dictionary that the text functions take; a few hundred rows."""
-    rows = spark.read.csv(path, header=True).select("code", "name").limit(5000).collect()
-    return {r["code"].upper(): r["name"].lower() for r in rows}
+def read_airlines(spark: SparkSession, path: str) -> DataFrame:
+    """Airline table (code, name) for `functions.vocab.airline_map`; three-letter codes, one row each."""
+    rows = spark.read.csv(path, header=True).select(F.upper("code").alias("code"), F.lower("name").alias("name"))
+    return rows.where(F.col("code").rlike("^[A-Z]{3}$")).groupBy("code").agg(F.min("name").alias("name"))
 
 
 def _unpivot(wide: DataFrame, model: str, audio: list[str]) -> DataFrame:
