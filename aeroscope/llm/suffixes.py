@@ -8,7 +8,8 @@ all that its windows cover; entries sorted by these are the suffix array, in whi
 New batches get a suffix array each. It is merge-scanned with the arrays that exist: entries that have an equal
 neighbour are matches. Arrays of about equal size become one in the same scan, so a family has logarithmically many.
 A neighbour that is equal in all its windows settles them. Where neighbours are equal only in the first bytes, both sides
-of each such border are compared window by window, in a scan of the same kind: an entry equal to them all stands there.
+of each such border are compared further, in scans of the same kind: first by blocks of windows, of which those with
+another common core are compared window by window. An entry equal to all that it hides stands at each border.
 """
 
 from __future__ import annotations
@@ -28,13 +29,17 @@ from aeroscope.session import scratch
 LEAST = 200
 GRAM = 32
 #: Batches in which a whole table is added.
-BATCHES = 4
+BATCHES = 2
+#: Windows of one block.
+BLOCK = 8
 #: Bytes of a text that are hashed at once.
 PIECE = 1 << 20
 PLACE = np.uint64(PIECE * 2 - 1)
 
-ENTRY = "a bigint, cell bigint, doc_id {id}, row int, s bigint, n int, kind int"
+ENTRY = "a bigint, cell bigint, doc_id {id}, row int, s bigint, n int, o int, kind int"
 KEYS = ["a", "cell", "doc_id", "row", "s"]
+NAMES = [*KEYS, "n", "o", "kind"]
+MARK = ["doc_id", "row", "s", "n", "o", "kind"]
 #: Kinds add up: a neighbour equal in the first bytes only, and one equal in all windows.
 SAME_START, SAME_WINDOWS = 1, 2
 
@@ -49,6 +54,10 @@ BASE = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
 class Sampler:
     """Entries of a text's sampled suffixes, by rolling hashes modulo 2^64."""
 
@@ -75,7 +84,8 @@ class Sampler:
         return h
 
     def entries(self, text: bytes):
-        """Yields (a, cell, s, n): hash of the suffix's start, hash of the windows' bytes, first window, how many."""
+        """Yields (a, cell, s, n, o): hash of the suffix's start, hash of the windows' bytes, first window, how many, and
+        where the suffix starts in the first."""
         for at in range(0, len(text) - self.least + 1, PIECE):
             raw = text[at : at + PIECE + self.least - 1]
             h = self.hashes(np.frombuffer(raw, dtype=np.uint8))
@@ -95,7 +105,7 @@ class Sampler:
             anchors = chosen[starts].astype(np.int64)
             for a, p, s, e in zip(h[anchors].view(np.int64).tolist(), anchors.tolist(), starts.tolist(), ends.tolist()):
                 cell = xxhash.xxh3_64_intdigest(raw[s : e - 1 + self.least], p - s)
-                yield a, cell - (1 << 64) if cell >> 63 else cell, at + s, e - s
+                yield a, signed(cell), at + s, e - s, p - s
 
 
 def to_arrow(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -103,6 +113,11 @@ def to_arrow(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> p
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
 
+def entries_of(rows: list[tuple], batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of ENTRY, with the id's type as in a batch."""
+    return to_arrow(rows, [pa.int64(), pa.int64(), batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()], NAMES)
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, row (tells rows with equal ids apart), text as bytes."""
     return df.select(
@@ -116,17 +131,14 @@ def suffixes(docs: DataFrame, least: int, gram: int) -> DataFrame:
 
     def each(batches):
         sampler = Sampler(least, gram)
-        types = [pa.int64(), pa.int64(), None, pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-        names = ["a", "cell", "doc_id", "row", "s", "n", "kind"]
         for batch in batches:
-            types[2] = batch.schema.field("doc_id").type
             out = []
             for doc_id, row, text in zip(*map(pa.Array.to_pylist, batch.columns)):
-                out += [(a, c, doc_id, row, s, n, 0) for a, c, s, n in sampler.entries(text)]
+                out += [(a, c, doc_id, row, s, n, o, 0) for a, c, s, n, o in sampler.entries(text)]
                 if len(out) > 100_000:
-                    yield to_arrow(out, types, names)
+                    yield entries_of(out, batch)
                     out = []
-            yield to_arrow(out, types, names)
+            yield entries_of(out, batch)
 
     return map_arrow(docs, each, ENTRY.format(id=kind))
 
@@ -182,7 +194,7 @@ def merge_scan(entries: DataFrame) -> DataFrame:
             if not only:
                 yield edge(held)
 
-    return map_arrow(dealt.select("src", *KEYS, "n", "kind"), scan, f"src int, a bigint, cell bigint, doc_id {kind}, row int, s bigint, n int, kind int")
+    return map_arrow(dealt.select("src", *NAMES), scan, f"src int, {ENTRY.format(id=kind)}")
 
 
 def edge_marks(scanned: DataFrame) -> DataFrame:
@@ -194,7 +206,7 @@ def edge_marks(scanned: DataFrame) -> DataFrame:
         same = (step("a").over(order) == F.col("a"))
         equal = same & (step("cell").over(order) == F.col("cell"))
         kind = kind.bitwiseOR(F.when(equal, SAME_WINDOWS).when(same, SAME_START).otherwise(0))
-    return rows.withColumn("kind", kind).where("kind > 0").select("doc_id", "row", "s", "n", "kind")
+    return rows.withColumn("kind", kind).where("kind > 0").select(*MARK)
 
 
 @dataclass
@@ -231,7 +243,7 @@ class SuffixFamily:
             rows = rows.unionByName(self.read(level.path).where("src = 0").withColumn("src", F.lit(0 if level in merged else 1)))
         path = scratch(self.spark, "suffix-level")
         merge_scan(rows).write.partitionBy("src").parquet(path)
-        self.found += [self.read(path).where("src = 1").select("doc_id", "row", "s", "n", "kind"), edge_marks(self.read(path))]
+        self.found += [self.read(path).where("src = 1").select(*MARK), edge_marks(self.read(path))]
         for level in merged:
             self.retire(level)
         self.levels = [x for x in self.levels if x not in merged] + [Level(total, path)]
@@ -241,9 +253,9 @@ class SuffixFamily:
         discard(self.spark, f"{level.path}/src=0")
 
     def matches(self) -> DataFrame:
-        """doc_id, row, s, n, kind of entries with an equal neighbour anywhere; an entry may come more than once."""
-        out = self.found[0] if self.found else self.spark.createDataFrame([], self.schema).select("doc_id", "row", "s", "n", "kind")
-        for rows in [*self.found[1:], *[self.read(x.path).where("src = 0 AND kind > 0").select("doc_id", "row", "s", "n", "kind") for x in self.levels]]:
+        """MARK of entries with an equal neighbour anywhere; an entry may come more than once."""
+        out = self.found[0] if self.found else self.spark.createDataFrame([], self.schema).select(*MARK)
+        for rows in [*self.found[1:], *[self.read(x.path).where("src = 0 AND kind > 0").select(*MARK) for x in self.levels]]:
             out = out.unionByName(rows)
         return out
 
@@ -254,26 +266,55 @@ def join_rows(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
     return l.join(r, (F.col("l.row") == F.col("r.row")) & F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")), how).select("l.*", *rest)
 
 
-def single_windows(marked: DataFrame, least: int) -> DataFrame:
-    """An entry for every window of marks that share only their first bytes, by 128 bits of its hash."""
-    kind = marked.schema["doc_id"].dataType.simpleString()
+def blocks_of(text: bytes, s: int, n: int, o: int, least: int):
+    """Blocks of a run's windows, cut at multiples of BLOCK from where its suffix starts: (core, cover, s, n, o).
+
+    The core lies in every window of the block, whatever part of it the run has; the cover holds them all.
+    """
+    start = s + o  # of the suffix
+    for j in range((o - n + 1) // BLOCK, o // BLOCK + 1):
+        far, near = min(o, j * BLOCK + BLOCK - 1), max(o - n + 1, j * BLOCK)
+        first, last = start - j * BLOCK - BLOCK + 1, start - j * BLOCK
+        core = xxhash.xxh3_64_intdigest(text[last : first + least], j)
+        whole = first >= 0 and last + least <= len(text)
+        # a block that the text cuts has no cover: its windows are compared one by one
+        cover = xxhash.xxh3_64_intdigest(text[first : last + least], j) if whole else xxhash.xxh3_64_intdigest(text, start)
+        yield signed(core), signed(cover), start - far, far - near + 1, far
+
+
+def windows_of(text: bytes, s: int, n: int, o: int, least: int):
+    """Each window of a run as an entry of its own, by 128 bits of its hash."""
+    for i in range(s, s + n):
+        h = xxhash.xxh3_128_intdigest(text[i : i + least])
+        yield signed(h >> 64), signed(h & (1 << 64) - 1), i, 1, 0
+
+
+def refine(docs: DataFrame, marks: DataFrame, least: int, parts) -> DataFrame:
+    """Compares the parts of marked runs that are equal to a neighbour in the first bytes only; the marks of the parts."""
+    spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    runs = marks.where(F.col("kind").bitwiseAND(SAME_START) > 0).groupBy("doc_id", "row").agg(F.collect_set(F.struct("s", "n", "o")).alias("runs"))
 
     def each(batches):
-        names = ["a", "cell", "doc_id", "row", "s", "n", "kind"]
         for batch in batches:
-            kinds = [pa.int64(), pa.int64(), batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int32(), pa.int32()]
             out: list[tuple] = []
-            for doc_id, row, text, spans in zip(*map(pa.Array.to_pylist, batch.columns)):
-                for x in spans:
-                    for s in range(x["s"], x["s"] + x["n"]):
-                        h = xxhash.xxh3_128_digest(text[s : s + least])
-                        out.append((int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), doc_id, row, s, 1, 0))
+            for doc_id, row, text, found in zip(*map(pa.Array.to_pylist, batch.columns)):
+                for x in found:
+                    out += [(a, c, doc_id, row, s, n, o, 0) for a, c, s, n, o in parts(text, x["s"], x["n"], x["o"], least)]
                     if len(out) > 100_000:
-                        yield to_arrow(out, kinds, names)
+                        yield entries_of(out, batch)
                         out = []
-            yield to_arrow(out, kinds, names)
+            yield entries_of(out, batch)
 
-    return map_arrow(marked.select("doc_id", "row", "text", "spans"), each, ENTRY.format(id=kind))
+    entries = map_arrow(join_rows(docs, runs, "inner").select("doc_id", "row", "text", "runs"), each, ENTRY.format(id=kind))
+    before, after = scratch(spark, "suffix-parts"), scratch(spark, "suffix-parts")
+    entries.write.parquet(before)
+    merge_scan(spark.read.schema(ENTRY.format(id=kind)).parquet(before).withColumn("src", F.lit(0))).write.partitionBy("src").parquet(after)
+    discard(spark, before)
+    scanned = spark.read.schema(f"{ENTRY.format(id=kind)}, src int").parquet(after)
+    out = saved(scanned.where("src = 0 AND kind > 0").select(*MARK).unionByName(edge_marks(scanned)), "suffix-marks")
+    discard(spark, after)
+    return out
 
 
 def cover(runs: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
@@ -307,18 +348,12 @@ def remove_repeats(
         for i in range(batches):
             family.add(spark.read.schema(f"{ENTRY.format(id=kind)}, batch int").parquet(path).where(f"batch = {i}").drop("batch"))
             discard(spark, f"{path}/batch={i}")
-        marks = family.matches().groupBy("doc_id", "row", "s", "n").agg(F.bit_or("kind").alias("kind"))
-        marks = saved(marks, "suffix-marks")
+        marks = saved(family.matches(), "suffix-marks")
         for level in family.levels:
             family.retire(level)
-        partial = marks.where(F.col("kind").bitwiseAND(SAME_START) > 0).groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("s", "n"))).alias("spans"))
-        windows = saved(single_windows(join_rows(docs, partial, "inner"), least), "suffix-windows")
-        single_path = scratch(spark, "suffix-singles")
-        merge_scan(windows.withColumn("src", F.lit(0))).write.partitionBy("src").parquet(single_path)
-        singles = spark.read.schema(f"{ENTRY.format(id=kind)}, src int").parquet(single_path)
-        equal = singles.where(f"src = 0 AND kind & {SAME_WINDOWS} > 0").select("doc_id", "row", "s", "n")
-        equal = equal.unionByName(edge_marks(singles).where(f"kind & {SAME_WINDOWS} > 0").select("doc_id", "row", "s", "n"))
-        equal = equal.unionByName(marks.where(F.col("kind").bitwiseAND(SAME_WINDOWS) > 0).select("doc_id", "row", "s", "n"))
+        blocks = refine(docs, marks, least, blocks_of)
+        singles = refine(docs, blocks, least, windows_of)
+        equal = marks.unionByName(blocks).unionByName(singles).where(F.col("kind").bitwiseAND(SAME_WINDOWS) > 0)
         runs = saved(equal.groupBy("doc_id", "row").agg(F.collect_set(F.struct("s", "n")).alias("runs")), "suffix-runs")
 
     def each(arrow):

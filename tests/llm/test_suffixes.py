@@ -75,5 +75,5 @@ def test_pieces_of_a_long_text():
     rng = random.Random(5)
     text = bytes(rng.randrange(256) for _ in range(suffixes.PIECE + 5000))
     found = list(sampler.entries(text))
-    windows = [s + i for _, _, s, n in found for i in range(n)]
+    windows = [s + i for _, _, s, n, _ in found for i in range(n)]
     assert windows == list(range(len(text) - 199))
