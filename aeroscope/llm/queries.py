@@ -85,7 +85,30 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.through_archives(table(spark, sf_dir, "documents"))
 
 
-@query("op9_license_scan")
+_TEMPLATES_SQL = ", ".join(
+    f"({i}, '{t.label}', '{t.notice}', '{t.phrase}', {t.phrase_at()})" for i, t in enumerate(licenses.TEMPLATES)
+)
+
+
+@query("op9_license_scan", f"""WITH t(i, label, notice, phrase, phrase_at) AS (VALUES {_TEMPLATES_SQL}),
+tw AS (SELECT i, w, min(p) AS tp FROM (SELECT i, unnest(string_split(notice, ' ')) AS w, generate_subscripts(string_split(notice, ' '), 1) - 1 AS p FROM t) GROUP BY i, w),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM d),
+f AS (SELECT w, count(DISTINCT doc_id) AS n FROM w WHERE w IN (SELECT w FROM tw) GROUP BY w),
+idf AS (SELECT w, round(ln(((SELECT count(*) FROM documents) + 1) / (coalesce(n, 0) + 1)) + 1, 9) AS r FROM (SELECT DISTINCT w FROM tw) LEFT JOIN f USING (w)),
+ix AS (SELECT i, w, tp, r FROM tw JOIN idf USING (w) QUALIFY row_number() OVER (PARTITION BY i ORDER BY r DESC, w) <= {licenses.RARE}),
+tot AS (SELECT i, sum(r) AS total FROM ix GROUP BY i),
+hit AS (SELECT doc_id, i, p - tp AS b, sum(r) AS s FROM w JOIN ix USING (w) GROUP BY ALL),
+v AS (SELECT doc_id, label, round(s / total, 6) AS share FROM hit JOIN tot USING (i) JOIN t USING (i) JOIN d USING (doc_id)
+  WHERE b + phrase_at >= 0 AND ws[b + phrase_at + 1 : b + phrase_at + len(string_split(phrase, ' '))] = string_split(phrase, ' ')),
+m AS (SELECT doc_id, list(DISTINCT label) AS own, max(share) AS best FROM v WHERE share >= {licenses.ENOUGH} GROUP BY doc_id),
+bp AS (SELECT doc_id, CASE WHEN ws[p] = 'public' THEN p - 2 ELSE p - 1 END AS start, CASE WHEN ws[p] = 'public' THEN 'gpl' ELSE ws[p] END AS label
+  FROM w JOIN d USING (doc_id) WHERE w = 'license' AND p >= 1 AND (ws[p] IN ('mit', 'apache') OR (p >= 2 AND ws[p] = 'public' AND ws[p - 1] = 'general'))),
+b AS (SELECT doc_id, count(*) AS n, min(start) AS lo, max(start) AS hi, list_sort(list(DISTINCT label)) AS ls FROM bp GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, coalesce(array_to_string(ls, ','), '') AS base_labels,
+ array_to_string(list_sort(list_distinct(coalesce(ls, []) || coalesce(own, []))), ',') AS labels,
+ greatest(coalesce(best, 0), CASE WHEN n > 0 THEN 0.5 ELSE 0 END)::DOUBLE AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN m USING (doc_id)""")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
