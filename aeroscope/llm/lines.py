@@ -44,10 +44,12 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str, run: int) -> DataF
     """Spans of lines to delete: _id, _row (hash of all columns), spans (array of first, last), for rows that have any."""
     rows = df.select(F.col(id_col).alias("_id"), F.xxhash64(*df.columns).alias("_row"), F.explode_outer(windows(F.col(text_col), run)).alias("w"))
     rows = saved(rows.where("w.used").select("_id", "_row", "w.s", "w.selected", "w.k1", "w.k2"), "line-windows")
-    often = rows.groupBy("selected").agg(F.count("*").alias("n")).where("n > 1").select("selected")
+    # written first: a join whose sides are both read from tables is split where a line is hot
+    often = saved(rows.groupBy("selected").agg(F.count("*").alias("n")).where("n > 1").select("selected"), "line-anchors")
     near = rows.join(often, "selected", "left_semi")
     at = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_row", "s")
     first = near.groupBy("k1", "k2").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("k1", "k2", "first")
+    first = saved(first, "line-firsts")
     later = near.join(first, ["k1", "k2"]).where(at > F.col("first"))
     starts = later.groupBy("_id", "_row").agg(F.sort_array(F.collect_set("s")).alias("v"))
 
