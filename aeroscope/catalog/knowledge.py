@@ -239,12 +239,12 @@ def f3(spark, sf):
 VERDICT_KEEP = """vg AS (SELECT DISTINCT instr_id, rule_id FROM rule_verdict WHERE relevant)"""
 
 
-@query("F4_verdicts", f"""WITH {VERDICT_KEEP}, c AS (SELECT instr_id, rule_id FROM rule_verdict WHERE confidence > 0.3),
+@query("F4_verdicts", f"""WITH {VERDICT_KEEP}, c AS (SELECT instr_id, rule_id FROM rule_verdict),
 m AS (SELECT c.*, vg.rule_id IS NOT NULL AS ok FROM c LEFT JOIN vg ON c.instr_id = vg.instr_id AND c.rule_id = vg.rule_id)
 SELECT instr_id, rule_id FROM m QUALIFY ok OR NOT bool_or(ok) OVER (PARTITION BY instr_id)""")
 def f4(spark, sf):
     v = table(spark, sf, "rule_verdict")
-    return pf.keep_relevant(v.where("confidence > 0.3").select("instr_id", "rule_id"), v)
+    return pf.keep_relevant(v.select("instr_id", "rule_id"), v)
 
 
 @query("F5_cascade", f"""{RANKED}, {VERDICT_KEEP}, m AS (SELECT rk.*, vg.rule_id IS NOT NULL AS ok FROM rk LEFT JOIN vg ON rk.instr_id = vg.instr_id AND rk.rule_id = vg.rule_id)

@@ -186,3 +186,48 @@ def test_asr_modes(spark):
     assert asr_eval.pair_samples(t, h).count() == 2
     got = {(r["model"], r["sample_id"]): r["hyp"] for r in asr_eval.pair_samples(t, h, "any_model").collect()}
     assert got == {("m", 1): "a", ("m", 2): "", ("n", 1): "", ("n", 2): ""}
+
+
+def test_chunk_audit_orders_by_page_then_chunk(spark):
+    """Chunk numbers far beyond a thousand stay inside their page."""
+    from aeroscope.operators import extraction
+
+    chunks = spark.createDataFrame([("r", 1.0, 1600), ("r", 2.0, 500), ("r", 1.5, 3)], "run string, page double, chunk int")
+    seen = spark.createDataFrame([("r", 1.0, 1600, "a"), ("r", 2.0, 500, "b")], "run string, page double, chunk int, id string")
+    got = {(x["page"], x["chunk"]): x["entity_total"] for x in extraction.chunk_audit({"entity": seen}, chunks).collect()}
+    assert got == {(1.0, 1600): 1, (1.5, 3): 1, (2.0, 500): 2}
+
+
+def test_long_triggers_are_different_records(spark):
+    from aeroscope.operators import extraction
+
+    same = "keep the distance of five miles from every other aircraft "
+    rows = [("r", 1.0, 0, i, "altitude", same + end) for i, end in enumerate(("below", "above", "below"))]
+    df = spark.createDataFrame(rows, "run string, page double, chunk int, idx int, rule_type string, trigger_text string")
+    assert sorted(x["idx"] for x in extraction.accumulate(df, "krule").collect()) == [0, 1]
+
+
+def test_positions_do_not_collide(spark):
+    from aeroscope.operators import kex_eval
+
+    df = spark.createDataFrame([("gt", 1.0, 0, 100_000, 1, "a"), ("gt", 1.0, 1, 0, 2, "b")], "run string, page double, chunk int, idx int, seq int, text string")
+    assert kex_eval.keyed({"entity": df}).select("n").distinct().count() == 2
+
+
+def test_ids_that_repeat_over_pages(spark):
+    """Each record is resolved by its own references."""
+    from aeroscope.operators import knowledge
+
+    rules = spark.createDataFrame(
+        [("r", 1.0, 0, 0, "RULE001", ["E001"], "see E001"), ("r", 2.0, 0, 0, "RULE001", ["E002", "E001"], "see E001 and E002")],
+        "run string, page double, chunk int, idx int, id string, refs array<string>, said string",
+    )
+    entities = spark.createDataFrame(
+        [("r", 1.0, 0, 0, "E001", "one"), ("r", 1.0, 0, 1, "E002", "old"), ("r", 2.0, 0, 0, "E002", "two")],
+        "run string, page double, chunk int, idx int, id string, text string",
+    )
+    none = spark.createDataFrame([], "run string, page double, chunk int, idx int, id string, subject_text string, predicate string, object_text string")
+    got = {x["page"]: x["resolved"] for x in knowledge.resolve_ids(rules, "refs", entities, F.col("text")).collect()}
+    assert got == {1.0: ["one"], 2.0: ["two", "one"]}
+    texts = {x["page"]: x["resolved_text"] for x in knowledge.resolve_text(rules, "said", entities, none).collect()}
+    assert texts == {1.0: 'see "one"', 2.0: 'see "one" and "two"'}

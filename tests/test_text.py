@@ -81,3 +81,17 @@ def test_console_grammar(spark, text, itype, field, value):
 
 def test_huge_numbers_do_not_fail(spark):
     assert one(spark, "AAL1 descend to FL99999999999999", parse.parse_minimal)["params"]["target_altitude"] is None
+
+
+def test_airlines_from_a_table(spark):
+    """Names of airlines that the built-in dictionary lacks."""
+    from aeroscope.functions import compact, normalize, vocab
+
+    air = spark.createDataFrame([("QQQ", "quick quokka"), ("ZQX", "zebra"), ("ZQA", "zebra air")], "code string, name string")
+    df = spark.createDataFrame([("QQQ12 climb BA7 and XYZ3",)], "t string").withColumn("names", vocab.airline_map(air))
+    row = df.select(normalize.icao_callsigns(F.col("t"), F.col("names")).alias("x")).first()
+    assert row["x"] == "quick quokka one two climb BA7 and XYZ3"
+    said = spark.createDataFrame([("quick quokka one two climb",), ("zebra one",), ("zebra air five",), ("delta airlines two",)], "t string")
+    said = said.withColumn("codes", vocab.spoken_code_map(air))
+    got = [r["x"].strip() for r in said.select(compact.compact_callsign(F.col("t"), codes=F.col("codes")).alias("x")).collect()]
+    assert got == ["QQQ12 climb", "ZQX1", "ZQA5", "DAL2"]
