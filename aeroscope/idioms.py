@@ -148,6 +148,7 @@ def top_k_cosine(
     import numpy as np
     import pandas as pd
 
+    step = 256
     k_col = k if isinstance(k, Column) else F.lit(k)
     q = queries.withColumn("q_k", k_col.cast("int")).withColumn("qb", F.floor(F.col("q_seq") / block).cast("bigint"))
     i = items.withColumn("ib", F.floor(F.col("i_seq") / block).cast("bigint"))
@@ -171,14 +172,18 @@ def top_k_cosine(
                 missing = np.array([x["i_vec"] is None for x in its])
                 m = np.array([np.zeros(dim) if x["i_vec"] is None else x["i_vec"] for x in its], dtype=np.float64)
                 norm = np.linalg.norm(m, axis=1)
-                for x in qs:
-                    v = np.asarray(x["q_vec"], dtype=np.float64)
-                    den = norm * np.linalg.norm(v)
+                q = np.array([x["q_vec"] for x in qs], dtype=np.float64).reshape(len(qs), dim)
+                for at in range(0, len(qs), step):  # one product per slice of queries
+                    part = qs[at : at + step]
+                    den = norm * np.linalg.norm(q[at : at + step], axis=1)[:, None]
                     den = den + epsilon if epsilon else np.where(den == 0, 1e-12, den)
-                    score = np.where(missing, -1.0, (m @ v) / den)
-                    ok = np.nonzero(iseq < x["q_seq"])[0] if before else np.arange(len(iseq))
-                    pick = ok[np.lexsort((iseq[ok], -score[ok]))][: x["q_k"]]
-                    out.extend((grp, x["q_id"], x["q_k"], its[p]["i_id"], int(iseq[p]), float(score[p])) for p in pick)
+                    scores = np.where(missing, -1.0, q[at : at + step] @ m.T / den)
+                    for x, score in zip(part, scores):
+                        ok = np.nonzero(iseq < x["q_seq"])[0] if before else np.arange(len(iseq))
+                        if 0 < x["q_k"] < len(ok):  # sort only what reaches the k-th best
+                            ok = ok[score[ok] >= np.partition(score[ok], len(ok) - x["q_k"])[len(ok) - x["q_k"]]]
+                        pick = ok[np.lexsort((iseq[ok], -score[ok]))][: x["q_k"]]
+                        out.extend((grp, x["q_id"], x["q_k"], its[p]["i_id"], int(iseq[p]), float(score[p])) for p in pick)
             yield pd.DataFrame(out, columns=["grp", "q_id", "q_k", "i_id", "i_seq", "score"])
 
     fields = {f.name: f.dataType.simpleString() for f in [*queries.schema, *items.schema]}
