@@ -26,7 +26,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Score of a document without evidence.
 LEAK = 0.001
 #: Labelled documents that the fit takes at most, and the longest text among them.
-SAMPLE, LONGEST = 8000, 20_000
+SAMPLE, LONGEST = 5000, 20_000
 #: Tokens whose weight a process remembers before it starts anew.
 KNOWN = 500_000
 
@@ -95,18 +95,17 @@ class TextScorer:
         return 1.0 - clean
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: int = 300, least: int = 3, ratio: float = 3.0, decay: float = 1e-3) -> Model:
+def fit(texts: list[str], toxic: np.ndarray, rounds: int = 200, least: int = 3, ratio: float = 3.0, decay: float = 1e-3) -> Model:
     """Maximum likelihood of document labels under the noisy-or, by Adam; weights stay at or above zero.
 
     Takes features of `least` toxic documents or more that are at least `ratio` times as frequent in toxic documents
     as in others. Without toxic documents, or without such features, nothing is evidence.
     """
     seen: tuple[Counter, Counter] = (Counter(), Counter())
-    cache: dict[str, set[str]] = {}
     for text, y in zip(texts, toxic):
         found = set()
         for t in set(text.split()):
-            found |= cache.setdefault(t, features(t))
+            found |= features(t)
         seen[int(y)].update(found)
     n_bad, n_good = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     odds = {f: (c / n_bad) / ((seen[0][f] + 0.5) / n_good) for f, c in seen[1].items() if c >= least}
@@ -114,10 +113,18 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 300, least: int = 3,
     if not chosen:
         return Model(0.0, {})
     index = {f: i for i, f in enumerate(chosen)}
-    docs, rows, cols, labels = [], [], [], []  # of each sentence with features: its document; of each entry: sentence, feature
+    seen[0].clear()
+    seen[1].clear()
+    chosen_of: dict[str, list[int] | None] = {}  # of each token
+    docs, rows, cols = [], [], []  # of each sentence with features: its document; of each entry: sentence, feature
     for d, text in enumerate(texts):
         for a, b in sentences(text):
-            found = {index[f] for t in set(text[a:b].split()) for f in cache.setdefault(t, features(t)) if f in index}
+            found = set()
+            for t in text[a:b].split():
+                if t not in chosen_of:
+                    chosen_of[t] = [index[f] for f in features(t) if f in index] or None
+                if chosen_of[t]:
+                    found.update(chosen_of[t])
             if found:
                 rows += [len(docs)] * len(found)
                 cols += found
