@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from aeroscope.llm.common import map_arrow, rows_out, saved
 from aeroscope.llm.tokens import encoder
 
-#: Pieces that one rank group holds on average, so that a hot length is spread over many groups.
-RANK_GROUP = 4096
+#: Pieces of a length that one rank group holds on average: a length has as many groups as its pieces ask for.
+RANK_GROUP = 512
 
 
 class CapacityTree:
@@ -118,9 +118,10 @@ def assign(pieces: DataFrame, size: int, group: int = RANK_GROUP) -> DataFrame:
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = plan_windows(histogram, size)  # at most `size` lengths come to the driver
-    spread = max(8, sum(histogram.values()) // group)
+    spread = spark.createDataFrame([(n, max(1, c // group)) for n, c in histogram.items()], "length bigint, parts bigint")
     columns = [c for c in pieces.columns if c != "length"]
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64(*columns), F.lit(spread)))
+    dealt = pieces.join(F.broadcast(spread), "length")  # a row per length
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64(*columns), F.col("parts"))).drop("parts")
     same = ["length", "part"]
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = dealt.groupBy(*same).agg(F.count("*").alias("n")).select(
