@@ -85,3 +85,25 @@ def test_empty_table(spark):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_nulls_repeats_and_more_columns(spark):
+    clean = "First line of quite ordinary words here.\nSecond line that says a little more than that.\nThird line ends it."
+    rows = [
+        (1, clean, "en", "src0", len(clean), "x"), (1, clean, "en", "src0", len(clean), "x"), (None, "No id but a text of its own, with some words.", None, None, None, None),
+        (None, None, None, None, None, None), (3, None, "en", "src1", 0, "y"), (4, "", "en", "src1", 0, "y"), (5, "long " * 50_000, "de", "src2", 250_000, "y"),
+        (6, clean, "en", "src0", len(clean), "z"), (7, "Another text, of another source, that stands alone here.", "fr", "other", 50, "z"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string")
+    calm = cp.drop_toxic(spark, docs, SF)
+    assert calm.count() == len(rows)
+    cut = cp.drop_repeated_lines(spark, calm, SF)
+    found = cut.collect()
+    assert len(found) == len(rows) and cut.columns == docs.columns
+    assert [r.text for r in found if r.doc_id == 1] == [clean, clean] and [r.text for r in found if r.doc_id == 6] == [""]
+    single = cp.drop_near_copies(spark, cut, SF).collect()
+    assert sorted((r.doc_id for r in single), key=lambda i: (i is None, i)) == [1, 3, 5, 7, None]
+    assert [r.text for r in single if r.doc_id is None] == ["No id but a text of its own, with some words."]
+    mixed = cp.mix_sources(spark, spark.createDataFrame(single, docs.schema), SF)
+    assert mixed.columns == docs.columns
+    assert cp.pack_tokens(spark, cut, SF).where("doc_tokens > 1").count() > 5
