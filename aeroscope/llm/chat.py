@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeroscope.idioms import join_nulls, running
+from aeroscope.llm.common import saved
 
 #: Roles that are no participants: their messages keep their role in every rendering.
 ASIDE = ("system", "tool")
@@ -46,18 +47,20 @@ def rotate(
         "conv_id", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")
     )
     placed = join_nulls(said.withColumn("at", F.row_number().over(inside)), first, ["conv_id", "part"])
-    placed = placed.select("conv_id", "turn", "speaker", "text", (F.col("first") + F.col("at") - 1).alias("place"))
-    speakers = said.where(~F.col("speaker").isin(*ASIDE)).select("conv_id", F.col("speaker").alias("perspective")).distinct()
-    rows = join_nulls(placed, speakers, ["conv_id"])
+    placed = saved(placed.select("conv_id", "turn", "speaker", "text", (F.col("first") + F.col("at") - 1).alias("place")), "chat-messages")
+    # offsets come from lengths alone; the texts join at the end, once per message and not per participant
+    speakers = placed.where(~F.col("speaker").isin(*ASIDE)).select("conv_id", F.col("speaker").alias("perspective")).distinct()
+    rows = join_nulls(placed.select("conv_id", "speaker", "place", F.length("text").cast("bigint").alias("chars")), speakers, ["conv_id"])
     mine, aside = F.col("speaker") == F.col("perspective"), F.col("speaker").isin(*ASIDE)
     rows = rows.withColumn("role", F.when(mine, "assistant").when(aside, F.col("speaker")).otherwise("user"))
-    rows = rows.withColumn("name", F.when(~mine & ~aside, F.col("speaker")))
-    rows = rows.withColumn("rendered", F.concat(head(F.col("role"), F.col("name")), F.col("text"), F.lit(END)))
-    rows = running(rows, ["conv_id", "perspective"], "place", {"end": F.length("rendered").cast("bigint")}, block)
-    start = F.col("end") - F.length("rendered")
-    masked = F.when(F.col("role") == "assistant", F.col("end") - F.length("text") - len(END))
+    rows = rows.withColumn("name", F.when(~mine & ~aside, F.col("speaker"))).drop("speaker")
+    opening = head(F.col("role"), F.col("name"))
+    rows = running(rows, ["conv_id", "perspective"], "place", {"end": F.length(opening) + F.col("chars") + len(END)}, block)
+    rows = join_nulls(rows, placed.select("conv_id", "place", "turn", "text"), ["conv_id", "place"])
+    masked = F.when(F.col("role") == "assistant", F.col("end") - F.col("chars") - len(END))
     return rows.select(
-        "conv_id", "perspective", "place", "turn", "role", "name", "rendered", start.alias("start"), "end",
+        "conv_id", "perspective", "place", "turn", "role", "name", F.concat(opening, F.col("text"), F.lit(END)).alias("rendered"),
+        (F.col("end") - F.length(opening) - F.col("chars") - len(END)).alias("start"), "end",
         masked.alias("mask_start"), F.when(F.col("role") == "assistant", F.col("end")).alias("mask_end"),
     )
 
