@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Stands for every source that the shares don't name, null among them.
 REST = "*"
-#: Rows that one rank group holds on average, so that a hot source is spread over many groups.
-RANK_GROUP = 4096
+#: Rows of a source that one rank group holds on average: a source has as many groups as its rows ask for.
+RANK_GROUP = 512
 
 
 def pfair_window(j: int, shares: int, total: int) -> tuple[int, int]:
@@ -68,9 +68,10 @@ def mix(
     # ranks in two levels: totals of hash ranges, and places inside one range
     counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()}
     present = {s: n for s, n in shares.items() if n and counts.get(s)}
-    spread = min(1 << 16, max(8, sum(counts.values()) // group))
-    part = F.floor(F.conv(F.substring("h", 1, 4), 16, 10).cast("bigint") * spread / (1 << 16)).cast("bigint")
-    rows = rows.withColumn("part", part)
+    spread = F.lit(1)
+    for s, n in counts.items():
+        spread = F.when(F.col("source") == s, max(1, n // group)).otherwise(spread)
+    rows = rows.withColumn("part", F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint") * spread, 32))
     same = ["source", "part"]
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = rows.groupBy(*same).agg(F.count("*").alias("n")).select(*same, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
