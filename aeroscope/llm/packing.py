@@ -21,7 +21,7 @@ from aeroscope.llm.common import map_arrow, rows_out, saved
 from aeroscope.llm.tokens import encoder
 
 #: Pieces of a length that one rank group holds on average: a length has as many groups as its pieces ask for.
-RANK_GROUP = 512
+RANK_GROUP = 128
 
 
 class CapacityTree:
