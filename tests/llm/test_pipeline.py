@@ -107,3 +107,12 @@ def test_nulls_repeats_and_more_columns(spark):
     mixed = cp.mix_sources(spark, spark.createDataFrame(single, docs.schema), SF)
     assert mixed.columns == docs.columns
     assert cp.pack_tokens(spark, cut, SF).where("doc_tokens > 1").count() > 5
+
+
+def test_mixing_keeps_every_document(spark):
+    sources = ["src0"] * 100 + ["src1"] * 30 + ["src2"] * 3 + [None, "unlisted"]
+    docs = spark.createDataFrame([(i, f"text {i}", "en", s, 6, "x") for i, s in enumerate(sources)], "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string")
+    got = [r.doc_id for r in cp.mix_sources(spark, docs, SF).collect()]
+    assert sorted(got) == list(range(len(sources)))
+    slot = {r.row.doc_id: r.slot for r in mixing.mix(docs, MIX_SHARES, MIX_BLOCK).collect()}
+    assert [slot[i] for i in got] == sorted(slot.values())
