@@ -85,7 +85,13 @@ class Sampler:
 
     def entries(self, text: bytes):
         """Yields (a, cell, s, n, o): hash of the suffix's start, hash of the windows' bytes, first window, how many, and
-        where the suffix starts in the first."""
+        where the suffix starts in the first. A run that goes on in the next piece is one entry."""
+        for a, p, s, e in self.runs(text):
+            yield a, signed(xxhash.xxh3_64_intdigest(text[s : e - 1 + self.least], p - s)), s, e - s, p - s
+
+    def runs(self, text: bytes):
+        """Yields (a, p, s, e): hash of the suffix's start, where it stands, first window and the one after the last."""
+        held = None
         for at in range(0, len(text) - self.least + 1, PIECE):
             raw = text[at : at + PIECE + self.least - 1]
             h = self.hashes(np.frombuffer(raw, dtype=np.uint8))
@@ -103,9 +109,14 @@ class Sampler:
             starts = np.concatenate([[0], turn])
             ends = np.concatenate([turn, [len(low)]])
             anchors = chosen[starts].astype(np.int64)
-            for a, p, s, e in zip(h[anchors].view(np.int64).tolist(), anchors.tolist(), starts.tolist(), ends.tolist()):
-                cell = xxhash.xxh3_64_intdigest(raw[s : e - 1 + self.least], p - s)
-                yield a, signed(cell), at + s, e - s, p - s
+            for a, p, s, e in zip(h[anchors].view(np.int64).tolist(), (at + anchors).tolist(), (at + starts).tolist(), (at + ends).tolist()):
+                if held and held[1] == p:
+                    s = held[2]
+                elif held:
+                    yield held
+                held = a, p, s, e
+        if held:
+            yield held
 
 
 def to_arrow(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:

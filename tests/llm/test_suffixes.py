@@ -77,3 +77,12 @@ def test_pieces_of_a_long_text():
     found = list(sampler.entries(text))
     windows = [s + i for _, _, s, n, _ in found for i in range(n)]
     assert windows == list(range(len(text) - 199))
+
+
+def test_a_long_text_without_repeats_stays_whole(spark):
+    rng = random.Random(11)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=3 * suffixes.PIECE + 5000))
+    cells = [(s + o, s, n) for _, _, s, n, o in suffixes.Sampler(200, 32).entries(text.encode())]
+    assert len({p for p, _, _ in cells}) == len(cells)  # one entry per sampled suffix
+    df = spark.createDataFrame([(1, text), (2, "short and other")], "doc_id bigint, text string")
+    assert [r.n_removed for r in suffixes.remove_repeats(df).collect()] == [0, 0]
