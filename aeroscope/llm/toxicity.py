@@ -46,6 +46,11 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
     return (m.span() for m in SENTENCE.finditer(text) if m.end() > m.start())
 
 
+def torn(text: str, at: int) -> bool:
+    """Whether a sentence end at a place is inside a token."""
+    return 0 < at < len(text) and not text[at - 1].isspace() and not text[at].isspace()
+
+
 @dataclass(frozen=True)
 class Model:
     bias: float
@@ -74,16 +79,17 @@ class TextScorer:
         """Sentences with evidence: start, end, score."""
         tokens = set(text.split())
         self.learn(tokens)
-        hot = {t for t in tokens if self.known[t]}
+        hot = {t: self.known[t] for t in tokens if self.known[t]}
         out = []
         if hot:
             for a, b in sentences(text):
-                evidence = hot.intersection(text[a:b].split())
+                parts = text[a:b].split()
+                z = sum(hot[t] for t in hot.keys() & parts)
                 # a cut inside a token leaves parts that no whole token equals: they have weights of their own
-                if not evidence and a and not text[a - 1].isspace():
-                    evidence = set(text[a:b].split()[:1])
-                    self.learn(evidence)
-                z = sum(self.known[t] for t in evidence)
+                cut = {t for t, at in zip(parts[:1] + parts[-1:], (a, b)) if torn(text, at)} - hot.keys()
+                if cut:
+                    self.learn(cut)
+                    z += sum(self.known[t] for t in cut)
                 if z:
                     out.append((a, b, 1 / (1 + float(np.exp(-self.model.bias - z)))))
         return out

@@ -67,3 +67,16 @@ def test_spans_cover_the_text():
     for text in ("", "a", "A. B! C", "...", "x\n\ny?z", "no end"):
         spans = list(toxicity.sentences(text))
         assert "".join(text[a:b] for a, b in spans) == text
+
+
+def test_tokens_cut_by_a_sentence_end():
+    model = toxicity.Model(-3.0, {"=idiot": 9.0, "=vileword": 4.0, "=mild": 0.5})
+    scorer = model.scorer()
+    assert scorer.score('He said "you idiot!" and left.') > 0.9
+    for text in ('"You idiot!" he said.', "a vileword.Next one", "mild then ok.idiot", "(mild vileword.) mild", "vileword.***", "x.idiot.y mild", " .idiot", "idiot", "A. B\nidiot\n"):
+        plain = []
+        for a, b in toxicity.sentences(text):
+            z = sum(model.weights.get(f, 0.0) for t in set(text[a:b].split()) for f in toxicity.features(t))
+            if z:
+                plain.append((a, b, 1 / (1 + float(np.exp(-model.bias - z)))))
+        assert scorer.spans(text) == plain, text
