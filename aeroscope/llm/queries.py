@@ -61,6 +61,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def _line_dedup(spark: SparkSession, sf_dir: str, long_words: int | None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("n_lines", F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)
+    spans = F.coalesce("_spans", F.array().cast("array<struct<first:int,last:int>>"))
+    return lines.dedup_lines(docs, long_words=long_words).select(
+        "doc_id", "n_lines", F.aggregate(spans, F.lit(0), lambda n, s: n + s["last"] - s["first"] + 1).alias("n_removed"),
+        F.size(spans).alias("n_runs"), F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
 @query("op8_line_dedup", f"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 w AS (SELECT doc_id, s, ls[s + 1] || chr(10) || ls[s + 2] AS k FROM (SELECT doc_id, ls, unnest(range(0, len(ls) - 1)) AS s FROM l)),
 n AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS nth FROM w WHERE regexp_matches(k, '[^\\x20\\x09-\\x0D]')),
@@ -71,13 +81,22 @@ SELECT doc_id, len(ls)::INT AS n_lines, coalesce(len(gone), 0)::INT AS n_removed
  sha256(array_to_string(list_filter(ls, lambda x, i: gone IS NULL OR NOT list_contains(gone, i - 1)), chr(10))) AS kept_sha256
 FROM l LEFT JOIN g USING (doc_id)""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("n_lines", F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)
-    spans = F.coalesce("_spans", F.array().cast("array<struct<first:int,last:int>>"))
-    return lines.dedup_lines(docs).select(
-        "doc_id", "n_lines", F.aggregate(spans, F.lit(0), lambda n, s: n + s["last"] - s["first"] + 1).alias("n_removed"),
-        F.size(spans).alias("n_runs"), F.sha2("text", 256).alias("kept_sha256"),
-    )
+    return _line_dedup(spark, sf_dir, None)
+
+
+@query("op8_long_lines", f"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+w AS (SELECT doc_id, s, 2 AS n, ls[s + 1] || chr(10) || ls[s + 2] AS k FROM (SELECT doc_id, ls, unnest(range(0, len(ls) - 1)) AS s FROM l)
+  UNION ALL SELECT doc_id, s, 1, k FROM (SELECT doc_id, unnest(range(0, len(ls))) AS s, unnest(ls) AS k FROM l)
+  WHERE length(k) >= {lines.LONG_CHARS} OR len(regexp_extract_all(k, '[^\\x20\\x09-\\x0D]+')) >= {lines.LONG_WORDS}),
+n AS (SELECT doc_id, s, n, row_number() OVER (PARTITION BY n, k ORDER BY doc_id, s) AS nth FROM w WHERE regexp_matches(k, '[^\\x20\\x09-\\x0D]')),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS i FROM n WHERE nth > 1),
+g AS (SELECT doc_id, list(i ORDER BY i) AS gone FROM c GROUP BY doc_id)
+SELECT doc_id, len(ls)::INT AS n_lines, coalesce(len(gone), 0)::INT AS n_removed,
+ coalesce(len(list_filter(gone, lambda x: NOT list_contains(gone, x - 1))), 0)::INT AS n_runs,
+ sha256(array_to_string(list_filter(ls, lambda x, i: gone IS NULL OR NOT list_contains(gone, i - 1)), chr(10))) AS kept_sha256
+FROM l LEFT JOIN g USING (doc_id)""")
+def op8_long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _line_dedup(spark, sf_dir, lines.LONG_WORDS)
 
 
 @query("op1_media")

@@ -54,3 +54,17 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a\nb")], "doc_id bigint, text string")
     plan = lines.dedup_lines(df).withColumn("n", F.size("_spans"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_lines_are_repeats_of_their_own(spark):
+    passage, script = " ".join(f"w{i}" for i in range(60)), "\u6587" * 120
+    words = lambda n: " ".join(f"v{i}" for i in range(n))
+    rows = [
+        (1, f"a\n{passage}\nb"), (2, f"c\n{passage}\nd\n{passage}"), (3, passage), (4, f"{words(19)}\n{script}"), (5, words(19)), (6, words(20)), (7, f"{script}\ne\n\t{words(20)}"),
+        (8, words(20)), (9, " " * 200), (10, " " * 200), (11, f"{passage}\nb\nf"), (None, passage),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.text, r._spans) for r in lines.dedup_lines(df).collect()}
+    assert {i: t for i, (t, _) in got.items()} == dict(rows) | {2: "c\nd", 3: "", 7: f"e\n\t{words(20)}", 8: "", 11: "f", None: ""}
+    assert [tuple(x) for x in got[2][1]] == [(1, 1), (3, 3)] and [tuple(x) for x in got[11][1]] == [(0, 1)]
+    assert {r.text for r in lines.dedup_lines(df, long_words=None).where("doc_id in (2, 3)").collect()} == {rows[1][1], passage}
