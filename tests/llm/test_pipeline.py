@@ -116,3 +116,13 @@ def test_mixing_keeps_every_document(spark):
     assert sorted(got) == list(range(len(sources)))
     slot = {r.row.doc_id: r.slot for r in mixing.mix(docs, MIX_SHARES, MIX_BLOCK).collect()}
     assert [slot[i] for i in got] == sorted(slot.values())
+
+
+def test_packing_gets_every_mixed_document(spark, outputs):
+    _, _, _, single, mixed, packed = outputs
+    assert texts(mixed) == texts(single)
+    library = Tokenizer.from_file(vocabulary_path())
+    pieces = {}
+    for r in packed.collect():
+        pieces[r.doc_id] = pieces.get(r.doc_id, 0) + r.length
+    assert pieces == {i: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in texts(single)}
