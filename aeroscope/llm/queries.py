@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeroscope.llm import chat, licenses, lines, media, mixing, packing, quality, simhash, suffixes, tokens, toxicity
+from aeroscope.llm import chat, licenses, lines, media, mixing, packing, quality, simhash, suffixes, token_files, tokens, toxicity
 from aeroscope.llm.common import table
 from aeroscope.llm.registry import query
 
@@ -149,3 +149,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_suffix_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op13_token_files")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.through_files(table(spark, sf_dir, "documents"), tokens.vocabulary_path())

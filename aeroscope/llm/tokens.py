@@ -6,6 +6,7 @@ words; each process keeps the words that it has met, up to a bound, and asks the
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import unicodedata
@@ -15,7 +16,7 @@ from functools import cache
 import numpy as np
 import regex
 
-#: Words that a process keeps before it starts anew.
+#: Words of a generation: when there are more, those not met in the next one are forgotten.
 KNOWN = 500_000
 
 
@@ -47,12 +48,15 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     (mark,) = words.encode("!", add_special_tokens=False).ids
     known: dict[str, bytes] = {}
     parts: dict[str, bytes] = {}
+    before: dict[str, bytes] = {}  # words of the generation that ended last: those met again move on
 
     def to_bytes(ids: list[int]) -> bytes:
         return np.array(ids, dtype="<u4").tobytes()
 
     def learn(new: list[str]) -> None:
-        cut = [pieces(lower(w)) for w in new]
+        known.update((w, before[w]) for w in new if w in before)
+        new = [w for w in new if w not in known]
+        cut = [parted(lower(w)) for w in new]
         fresh = [p for p in {p for x in cut for p in x} if p not in parts]
         plain = [p for p in fresh if p.isalpha()]  # letters never give the id of the mark between them
         if plain:
@@ -64,23 +68,39 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         known.update((w, b"".join([parts[p] for p in x])) for w, x in zip(new, cut))
 
     def lower(word: str) -> str:
-        word = unicodedata.normalize("NFC", word)
-        return word.lower() if word.isascii() else "".join([c.lower() for c in word])
+        if word.isascii():
+            return word.lower()
+        return "".join([c.lower() for c in unicodedata.normalize("NFC", word)])
+
+    def parted(word: str) -> list[str]:
+        if word.isalpha():
+            return [word]
+        if word[-1:] in ".,;:!?" and word[:-1].isalpha():
+            return [word[:-1], word[-1]]
+        return pieces(word)
 
     def encode(texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if any(s in text for s in whole_only):
-                out.append(to_bytes(whole.encode(text, add_special_tokens=False).ids))
-                continue
-            if len(known) > KNOWN:
-                known.clear()
-                parts.clear()
-            split = text.split(" ") if text.isascii() and text.isprintable() else text.split()
-            new = [w for w in split if w not in known]
-            if new:
-                learn(list(dict.fromkeys(new)))
-            out.append(b"".join([known[w] for w in split]))
-        return out
+        collects = gc.isenabled()
+        gc.disable()  # new words are many small lists without cycles
+        try:
+            return [ids_of(text) for text in texts]
+        finally:
+            if collects:
+                gc.enable()
+
+    def ids_of(text: str) -> bytes:
+        nonlocal before
+        if any(s in text for s in whole_only):
+            return to_bytes(whole.encode(text, add_special_tokens=False).ids)
+        if len(known) > KNOWN:
+            before = known.copy()
+            known.clear()
+            parts.clear()
+        split = text.split(" ") if text.isascii() and text.isprintable() else text.split()
+        found = list(map(known.get, split))
+        if None in found:
+            learn(list(dict.fromkeys([w for w, ids in zip(split, found) if ids is None])))
+            found = list(map(known.get, split))
+        return b"".join(found)
 
     return encode
