@@ -17,11 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from aeroscope.idioms import running
+from aeroscope.llm import mixing
 from aeroscope.llm.common import map_arrow, rows_out, saved
 from aeroscope.llm.tokens import encoder
 
 #: Pieces of a length that one rank group holds on average: a length has as many groups as its pieces ask for.
 RANK_GROUP = 128
+#: Slots of the mix that are packed together.
+SLOTS = 1024
 
 
 class CapacityTree:
@@ -99,7 +103,7 @@ def tokenize(df: DataFrame, id_col: str, text_col: str, vocabulary: str, size: i
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out = []
-            for doc_id, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
+            for doc_id, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
                 raw += end
                 tokens = len(raw) // 4
                 for at in range(0, len(raw), step):
@@ -155,3 +159,86 @@ def pack(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str =
     an id may be null. An empty table gives no rows. Other columns of `df` are not read.
     """
     return assign(saved(tokenize(df, id_col, text_col, vocabulary, size, end_id), "pieces"), size)
+
+
+def tokenize_whole(df: DataFrame, id_col: str, text_col: str, source_col: str, vocabulary: str, size: int, end_id: int) -> DataFrame:
+    """One row per document: doc_id, source, pieces (start, length, ids_crc32), doc_tokens."""
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source_kind = rows.schema["source"].dataType.simpleString()
+    piece = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
+
+    def cut(batches):
+        encode = encoder(vocabulary)
+        end, step = np.array([end_id], dtype="<u4").tobytes(), 4 * size
+        for batch in batches:
+            pieces, tokens = [], []
+            for raw in encode(batch.column("text")):
+                raw += end
+                parts = [(at, raw[at : at + step]) for at in range(0, len(raw), step)]
+                pieces.append([{"start": at // 4, "length": len(p) // 4, "ids_crc32": zlib.crc32(p)} for at, p in parts])
+                tokens.append(len(raw) // 4)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("source"), pa.array(pieces, piece), pa.array(tokens, pa.int64())], ["doc_id", "source", "pieces", "doc_tokens"]
+            )
+
+    schema = f"doc_id {kind}, source {source_kind}, pieces array<struct<start:bigint,length:bigint,ids_crc32:bigint>>, doc_tokens bigint"
+    return map_arrow(rows, cut, schema)
+
+
+def assign_in_ranges(pieces: DataFrame, size: int) -> DataFrame:
+    """Adds sequence_id and offset to pieces with a `range` (bigint from 0): sequences of a range follow those of the one before.
+
+    Each range is planned by best-fit decreasing in a task of its own, from its histogram of lengths.
+    """
+
+    def plan(table: pa.Table) -> pa.Table:
+        histogram = dict(zip(table.column("length").to_pylist(), table.column("n").to_pylist()))
+        found = sorted(plan_windows(histogram, size))
+        ends = [b[1] if a[0] == b[0] else histogram[a[0]] for a, b in zip(found, [*found[1:], (0, 0)])]
+        windows = max((w + -(-(end - first) // each) for (_, first, w, each, _), end in zip(found, ends)), default=0)
+        rows = [(n, first, end, w, each, offset) for (n, first, w, each, offset), end in zip(found, ends)] + [(0, 0, 0, windows, 1, 0)]
+        names = ["length", "first", "end", "window", "each", "at"]
+        columns = {k: pa.array(v, pa.int64()) for k, v in zip(names, zip(*rows))}
+        return pa.table({"range": pa.array([table.column("range")[0].as_py()] * len(rows), pa.int64()), **columns})
+
+    histogram = pieces.groupBy("range", "length").agg(F.count("*").alias("n"))
+    plans = saved(
+        histogram.groupBy("range").applyInArrow(plan, "range bigint, length bigint, first bigint, end bigint, window bigint, each bigint, at bigint"), "packing-plans"
+    )
+    opened = running(plans.where("length = 0").select("range", "window"), [], "range", {"until": F.col("window")}, block=4096)
+    opened = opened.select("range", (F.col("until") - F.col("window")).alias("begin"))
+    plans = plans.where("length > 0").join(opened, "range")
+    columns = [c for c in pieces.columns if c != "range"]
+    inside = Window.partitionBy("range", "length").orderBy(*[c for c in columns if c != "length"])
+    ranked = pieces.withColumn("rank", F.row_number().over(inside) - 1)
+    placed = ranked.join(plans, ["range", "length"]).where("rank >= first AND rank < end")  # a plan has few rows a length
+    nth = F.col("rank") - F.col("first")
+    window = F.col("begin") + F.col("window") + F.floor(nth / F.col("each"))
+    return placed.select(*columns, window.cast("bigint").alias("sequence_id"), (F.col("at") + nth % F.col("each") * F.col("length")).cast("bigint").alias("offset"))
+
+
+def pack_mixed(
+    df: DataFrame,
+    shares: Mapping[str, int],
+    block: int,
+    vocabulary: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    size: int = 2048,
+    end_id: int = 1,
+    slots: int = SLOTS,
+) -> DataFrame:
+    """`pack`, with sequences in the order of the mix: each `slots` slots of the schedule are packed together.
+
+    So every stretch of sequences has the sources by their weights, as far as the schedule can hold them (see
+    `mixing.mix`). Rows without a slot, whose source has no share, come behind all others. Nulls, repeats, the empty
+    table and other columns as in `pack`.
+    """
+    documents = saved(tokenize_whole(df, id_col, text_col, source_col, vocabulary, size, end_id), "tokenized")
+    mixed = mixing.mix(documents, shares, block, columns=["doc_id", "pieces", "doc_tokens"])
+    last = F.lit(1 << 40) + F.pmod(F.xxhash64("row.doc_id", "row.pieces"), F.lit(1 << 20))  # no order among those without a slot
+    rows = mixed.select(F.coalesce(F.floor(F.col("slot") / slots).cast("bigint"), last).alias("range"), "row.doc_id", "row.doc_tokens", F.explode("row.pieces").alias("p"))
+    pieces = saved(rows.select("range", "doc_id", "p.start", "p.length", "p.ids_crc32", "doc_tokens"), "pieces")
+    return assign_in_ranges(pieces, size)

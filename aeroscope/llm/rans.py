@@ -23,7 +23,7 @@ SCALE, WIDEST = 20, 24
 #: States lie from LOW up to LOW * 2 ** 32.
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<III")
-WORD = np.uint64(32)
+WORD, HALF = np.uint64(32), np.uint64((1 << 32) - 1)
 
 
 @dataclass
@@ -37,6 +37,7 @@ class Table:
     def __post_init__(self):
         self.ids, self.freq = np.asarray(self.ids, dtype=np.uint32), np.asarray(self.freq, dtype=np.uint64)
         self.first = np.cumsum(self.freq, dtype=np.uint64) - self.freq
+        self.both = self.freq << WORD | self.first  # one look-up for the two
         self.of_slot = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.freq.astype(np.int64))
         self.index = np.full(int(self.ids.max(initial=0)) + 1, -1, dtype=np.int32)
         self.index[self.ids] = np.arange(len(self.ids))
@@ -91,11 +92,12 @@ def _encode(table: Table, rows: np.ndarray, tokens: int) -> list[bytes]:
     states = np.empty((-(-steps // every), blocks, LANES), dtype=np.uint64)
     shift, size = np.uint64(63 - table.scale), np.uint64(1 << table.scale)
     for t in range(steps - 1, -1, -1):
-        f = table.freq[symbols[t]]
+        both = table.both.take(symbols[t])
+        f = both >> WORD
         words[t] = x  # the lower half
         np.greater_equal(x, f << shift, out=sent[t])
-        x = np.where(sent[t], x >> WORD, x)
-        x += x // f * (size - f) + table.first[symbols[t]]
+        x >>= sent[t] * WORD
+        x += x // f * (size - f) + (both & HALF)
         if t % every == 0:
             states[t // every] = x
     out = []
@@ -156,14 +158,18 @@ def _decode(table: Table, segments: Sequence[tuple[Block, int]], tokens: int) ->
     low, scale = np.uint64((1 << table.scale) - 1), np.uint64(table.scale)
     for t in range(steps):
         slot = x & low
-        symbol = table.of_slot[slot.astype(np.int64)]
-        found[t] = symbol
-        x = table.freq[symbol] * (x >> scale) + slot - table.first[symbol]
+        symbol = table.of_slot.take(slot.view(np.int64), out=found[t], mode="clip")
+        both = table.both.take(symbol)
+        x >>= scale
+        x *= both >> WORD
+        x += slot - (both & HALF)
         short = x < LOW
         rank = short.cumsum(axis=1)
-        place = (at[:, None] + rank - 1)[short]
-        x[short] = (x[short] << WORD) | stream[place]
-        at += rank[:, -1]
+        rank += (at - 1)[:, None]
+        place = np.flatnonzero(short)
+        flat = x.reshape(-1)
+        flat[place] = flat.take(place) << WORD | stream.take(rank.reshape(-1).take(place))
+        at = rank[:, -1] + 1
     if not np.array_equal(at, ends):
         raise ValueError("a segment doesn't end at its checkpoint")
     return table.ids[found.transpose(1, 0, 2).reshape(len(segments), -1)[:, :tokens]]

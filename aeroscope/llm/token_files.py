@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,7 @@ FOOT = struct.Struct("<QQQQIII8s")
 #: Ids that are coded or decoded at once in a task.
 AT_ONCE = 32 * rans.BLOCK
 #: Ids of a unit of reading: it has the documents that begin in it.
-UNIT = 1 << 21
+UNIT = 1 << 22
 DIRECTORY = pa.schema([("offset", pa.int64()), ("bytes", pa.int64()), ("crc32", pa.int64())])
 
 
@@ -145,7 +146,7 @@ def spool(df: DataFrame, folder: str, vocabulary: str, id_col: str, text_col: st
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = [ids + end for ids in encode(batch.column("text").to_pylist())]
+            raw = [ids + end for ids in encode(batch.column("text"))]
             n = np.bincount(np.frombuffer(b"".join(raw), dtype="<u4"))
             if len(n) > len(counts):
                 counts = np.pad(counts, (0, len(n) - len(counts)))
@@ -169,6 +170,29 @@ def spool(df: DataFrame, folder: str, vocabulary: str, id_col: str, text_col: st
     return map_arrow(rows.select("doc_id", "text"), write, "part bigint, path string, documents bigint, tokens bigint, ids array<bigint>, counts array<bigint>"), kind
 
 
+def merged(tables: pa.Table) -> pa.Table:
+    """Sum of the counts of some parts, as one part."""
+    ids = pc.list_flatten(tables.column("ids")).to_numpy()
+    counts = pc.list_flatten(tables.column("counts")).to_numpy()
+    found, to = np.unique(ids, return_inverse=True)
+    total = np.zeros(len(found), dtype=np.int64)
+    np.add.at(total, to, counts)
+    return pa.table({"part": tables.column("part")[:1], "ids": pa.array([found], pa.list_(pa.int64())), "counts": pa.array([total], pa.list_(pa.int64()))})
+
+
+def total_counts(counts: DataFrame, parts: int, fan: int = 16) -> list[tuple[int, int]]:
+    """(id, how often) over all parts: they are summed by `fan` at a time, so at most `fan` vocabularies come to the driver."""
+    step = 1
+    while parts > fan:
+        step, parts = step * fan, -(-parts // fan)
+        counts = counts.groupBy(F.floor(F.col("part") / step)).applyInArrow(merged, "part bigint, ids array<bigint>, counts array<bigint>")
+    rows = counts.toArrow()
+    if not rows.num_rows:
+        return []
+    (row,) = merged(rows).to_pylist()
+    return list(zip(row["ids"], row["counts"]))
+
+
 def write_tokens(df: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> None:
     """Writes the ids of every text, with the end id behind it, to files in `folder`, in ascending order of the ids.
 
@@ -183,8 +207,7 @@ def write_tokens(df: DataFrame, folder: str, vocabulary: str, id_col: str = "doc
     with early_cleanup(spark):
         rows, kind = spool(df, f"{folder}/spool", vocabulary, id_col, text_col, end_id)
         spools = saved(rows, "token-spools")
-    each = spools.select(F.explode(F.arrays_zip("ids", "counts")).alias("x")).groupBy("x.ids").agg(F.sum("x.counts").alias("n"))
-    table = rans.Table.of_counts([(r["ids"], r["n"]) for r in each.collect()])  # at most the vocabulary
+    table = rans.Table.of_counts(total_counts(spools.select("part", "ids", "counts"), spools.count()))
     raw = table.to_bytes()
     with store.open_output_stream(f"{base}/frequencies") as out:
         out.write(raw)
@@ -204,9 +227,9 @@ def write_tokens(df: DataFrame, folder: str, vocabulary: str, id_col: str = "doc
 
     n = max(1, spools.count())
     files = spools.select("part", "path").repartitionByRange(n, "part")
-    written = map_arrow(files, code, "part bigint, name string, documents bigint, tokens bigint, bytes bigint").orderBy("part").collect()  # a row a file
+    written = map_arrow(files, code, "part bigint, name string, documents bigint, tokens bigint, bytes bigint").collect()  # a row a file
     manifest, start = [], 0
-    for r in written:
+    for r in sorted(written):
         manifest.append({"name": r["name"], "documents": r["documents"], "start": start, "tokens": r["tokens"], "bytes": r["bytes"]})
         start += r["tokens"]
     with store.open_output_stream(f"{base}/manifest.json") as out:

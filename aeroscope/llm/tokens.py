@@ -10,14 +10,21 @@ import gc
 import json
 import os
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Words of a generation: when there are more, those not met in the next one are forgotten.
 KNOWN = 500_000
+#: Words that the tokenizer is asked for at once, and bytes from which a text is cut.
+LEARNT, SLICE = 20_000, 16 << 20
+#: Last of the Latin, Greek and Cyrillic letters that all versions of Unicode in use have.
+TRUSTED = "\u052f"
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -28,7 +35,7 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 
 
 @cache
-def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+def encoder(path: str) -> Callable[[list[str] | pa.Array], list[bytes]]:
     """A function from texts to their ids as little-endian unsigned 32-bit bytes."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
@@ -37,7 +44,7 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         spec = json.load(f)
     kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
     split, byte_level = spec["pre_tokenizer"]["pretokenizers"]
-    if kinds != ["NFC", "Replace", "Lowercase"] or split["type"] != "Split" or byte_level["use_regex"]:
+    if kinds != ["NFC", "Replace", "Lowercase"] or split["type"] != "Split" or byte_level["use_regex"] or not spec["model"]["end_of_word_suffix"]:
         raise ValueError(f"{path} is not a word-level BPE file")
     pieces = regex.compile(split["pattern"]["Regex"]).findall
     # special tokens have ids of their own; four controls are white space to Python but not to the file's pattern
@@ -45,7 +52,9 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     whole = Tokenizer.from_file(path)
     spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}}
     words = Tokenizer.from_str(json.dumps(spec))
-    (mark,) = words.encode("!", add_special_tokens=False).ids
+    suffix = spec["model"]["end_of_word_suffix"]
+    ends_word = np.zeros(1 + max(spec["model"]["vocab"].values()), dtype=bool)
+    ends_word[[i for token, i in spec["model"]["vocab"].items() if token.endswith(suffix)]] = True
     known: dict[str, bytes] = {}
     parts: dict[str, bytes] = {}
     before: dict[str, bytes] = {}  # words of the generation that ended last: those met again move on
@@ -54,23 +63,33 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         return np.array(ids, dtype="<u4").tobytes()
 
     def learn(new: list[str]) -> None:
-        known.update((w, before[w]) for w in new if w in before)
-        new = [w for w in new if w not in known]
-        cut = [parted(lower(w)) for w in new]
-        fresh = [p for p in {p for x in cut for p in x} if p not in parts]
-        plain = [p for p in fresh if p.isalpha()]  # letters never give the id of the mark between them
-        if plain:
-            ids = np.array(words.encode_batch_fast([" ! ".join(plain)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = 4 * np.flatnonzero(ids == mark)
+        """Ids of new words; plain ones, a run of letters, are looked at together."""
+        if not " ".join(new).isascii():
+            # what a letter is changes with Unicode's version beyond the oldest scripts: there the library itself is asked
+            odd = [w for w in new if max(w) > TRUSTED]
+            known.update((w, to_bytes(whole.encode(w, add_special_tokens=False).ids)) for w in odd)
+            new = [w for w in new if max(w) <= TRUSTED] if odd else new
+        line = lower(" ".join(new))
+        low = line.split(" ")
+        if len(low) != len(new):
+            low = [lower(w) for w in new]
+        if line.replace(" ", "").isalpha() and len(low) > 1:
+            cut = [[w] for w in low]
+        else:
+            cut = [parted(w) for w in low]
+        fresh = [p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in parts]
+        if fresh:  # each piece ends with the only id of its own that ends a word
+            ids = np.array(words.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (4 * np.flatnonzero(ends_word[ids]) + 4).tolist()
             raw = ids.tobytes()
-            parts.update((p, raw[a:b]) for p, a, b in zip(plain, [0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)], strict=True))
-        parts.update((p, to_bytes(words.encode(p, add_special_tokens=False).ids)) for p in fresh if p not in parts)
-        known.update((w, b"".join([parts[p] for p in x])) for w, x in zip(new, cut))
+            parts.update(zip(fresh, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)], strict=True))
+        known.update(zip(new, [parts[x[0]] if len(x) == 1 else b"".join([parts[p] for p in x]) for x in cut]))
 
     def lower(word: str) -> str:
         if word.isascii():
             return word.lower()
-        return "".join([c.lower() for c in unicodedata.normalize("NFC", word)])
+        word = unicodedata.normalize("NFC", word)
+        return "".join([c.lower() for c in word]) if "\u03a3" in word else word.lower()  # Python looks at what stands around a sigma
 
     def parted(word: str) -> list[str]:
         if word.isalpha():
@@ -79,28 +98,67 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
             return [word[:-1], word[-1]]
         return pieces(word)
 
-    def encode(texts: list[str]) -> list[bytes]:
+    def known_ids(found: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        nonlocal before
+        if len(known) > KNOWN:
+            before = known.copy()
+            known.clear()
+            parts.clear()
+        known[""] = b""
+        out = list(map(known.get, found))
+        places = [k for k, ids in enumerate(out) if ids is None]
+        for k in places:
+            if found[k] in before:
+                known[found[k]] = before[found[k]]
+        new = [w for w in map(found.__getitem__, places) if w not in known]
+        for at in range(0, len(new), LEARNT):
+            learn(new[at : at + LEARNT])
+        for k in places:
+            out[k] = known[found[k]]
+        return out
+
+    def encode_plain(texts: pa.Array) -> list[bytes]:
+        """Of texts without special tokens: words are numbered by Arrow, and only distinct ones are looked up."""
+        lists = pc.utf8_split_whitespace(texts)
+        codes = lists.flatten().dictionary_encode()
+        found = known_ids(codes.dictionary.to_pylist())
+        sizes = np.array([len(x) for x in found], dtype=np.int64) // 4
+        pool = np.frombuffer(b"".join(found), dtype="<u4")
+        word = codes.indices.to_numpy(zero_copy_only=False)
+        size = sizes[word]
+        ends = np.cumsum(size)
+        first = (np.cumsum(sizes) - sizes)[word]
+        raw = pool[np.repeat(first - (ends - size), size) + np.arange(len(size) and ends[-1])].tobytes()
+        bounds = (4 * np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]).tolist()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def encode(texts: list[str] | pa.Array) -> list[bytes]:
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        special = np.zeros(len(texts), dtype=bool)
+        for s in whole_only:
+            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        large = pc.binary_length(texts).to_numpy(zero_copy_only=False) > SLICE
         collects = gc.isenabled()
         gc.disable()  # new words are many small lists without cycles
         try:
-            return [ids_of(text) for text in texts]
+            out = encode_plain(pc.if_else(pa.array(special | large), "", texts))
+            for i in np.flatnonzero(special | large).tolist():
+                text = texts[i].as_py()
+                out[i] = to_bytes(whole.encode(text, add_special_tokens=False).ids) if special[i] else b"".join(chain.from_iterable(map(encode_plain, slices(text))))
         finally:
             if collects:
                 gc.enable()
-
-    def ids_of(text: str) -> bytes:
-        nonlocal before
-        if any(s in text for s in whole_only):
-            return to_bytes(whole.encode(text, add_special_tokens=False).ids)
-        if len(known) > KNOWN:
-            before = known.copy()
-            known.clear()
-            parts.clear()
-        split = text.split(" ") if text.isascii() and text.isprintable() else text.split()
-        found = list(map(known.get, split))
-        if None in found:
-            learn(list(dict.fromkeys([w for w, ids in zip(split, found) if ids is None])))
-            found = list(map(known.get, split))
-        return b"".join(found)
+        return out
 
     return encode
+
+
+def slices(text: str) -> Iterator[pa.Array]:
+    """A long text, cut at white space."""
+    at = 0
+    while at < len(text):
+        cut = regex.compile(r"\s").search(text, at + SLICE // 4)
+        end = cut.start() if cut else len(text)
+        yield pa.array([text[at:end]])
+        at = end

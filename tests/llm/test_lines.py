@@ -1,13 +1,15 @@
 """Line dedup against brute force."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from aeroscope.llm import lines
 
 
-def brute(rows, run):
-    """Texts without lines covered by a window that stands earlier; rows are (id, text) without equals."""
+def brute(rows, run, long_lines=False):
+    """Texts without lines covered by a window, or a long line, that stands earlier; rows are (id, text) without equals."""
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
     seen, out = set(), [None] * len(rows)
     for i in order:
@@ -16,12 +18,15 @@ def brute(rows, run):
             continue
         ls = text.split("\n")
         gone = set()
-        for s in range(len(ls) - run + 1):
-            w = tuple(ls[s : s + run])
-            if not any(x.strip() for x in w):
+        places = [(s, run) for s in range(len(ls) - run + 1)]
+        if long_lines and run > 1:
+            places += [(s, 1) for s, x in enumerate(ls) if len(x) >= lines.LONG_CHARS or len(re.findall(r"[^\x20\x09-\x0D]+", x)) >= lines.LONG_WORDS]
+        for s, n in places:
+            w = tuple(ls[s : s + n])
+            if not any(re.search(r"[^\x20\x09-\x0D]", x) for x in w):
                 continue
             if w in seen:
-                gone |= set(range(s, s + run))
+                gone |= set(range(s, s + n))
             seen.add(w)
         out[i] = "\n".join(x for j, x in enumerate(ls) if j not in gone)
     return out

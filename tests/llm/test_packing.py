@@ -84,3 +84,16 @@ def test_pieces(spark, size):
         assert at <= size
     assert sorted(size - sum(n for _, n in p) for p in windows.values()) == plain([e[2] for e in expected], size)
     assert packing.pack(df.limit(0), VOCABULARY, size=size).count() == 0
+
+
+def test_ids_of_all_scripts_and_long_texts(monkeypatch):
+    library = Tokenizer.from_file(VOCABULARY)
+    texts = [f"a{chr(i)}b{chr(i)} {chr(i)}x" for i in range(0, 0x3100, 3)] + ["ΟΔΟΣ ΣΑΣ. ΑΣ Σ", "İI ß ẞ Å é́", " ́x ́", "one two, " * 3000, "x" * 40_000]
+    expected = [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert tokens.encoder(VOCABULARY)(texts) == expected
+    tokens.encoder.cache_clear()
+    monkeypatch.setattr(tokens, "SLICE", 4000)
+    monkeypatch.setattr(tokens, "KNOWN", 100)
+    monkeypatch.setattr(tokens, "LEARNT", 7)
+    assert [x for i in range(0, len(texts), 50) for x in tokens.encoder(VOCABULARY)(texts[i : i + 50])] == expected
+    tokens.encoder.cache_clear()

@@ -1,13 +1,14 @@
 """Every stage against brute force on its own input, on the smallest data set."""
 
 import hashlib
+import itertools
 import os
 
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from aeroscope.llm import mixing, toxicity
+from aeroscope.llm import mixing, packing, toxicity
 from aeroscope.llm.common import saved
 from aeroscope.llm.queries import MIX_BLOCK, MIX_SHARES
 from aeroscope.llm.tokens import vocabulary_path
@@ -45,7 +46,7 @@ def test_stages(spark, outputs):
     assert texts(calm) == [(i, t) for i, t in texts(before) if scorer.score(t or "") < cp.TOXIC]
 
     rows = texts(calm)
-    assert texts(cut) == [(i, t) for (i, _), t in zip(rows, brute_lines(rows, 2))]
+    assert texts(cut) == [(i, t) for (i, _), t in zip(rows, brute_lines(rows, 2, True))]
     assert all(r.n_chars == len(r.text) for r in cut.collect())
 
     rows = texts(cut)
@@ -63,8 +64,7 @@ def test_stages(spark, outputs):
         for k, (_, i) in enumerate(sorted(ids)):
             b = k // MIX_BLOCK
             at[i] = b // shares[s] * total + slots[s][b % shares[s]]
-    stop = min(len(v) // MIX_BLOCK // shares[s] * total + slots[s][len(v) // MIX_BLOCK % shares[s]] for s, v in of.items())
-    assert sorted(r.doc_id for r in mixed.collect()) == sorted(i for i, t in at.items() if t < stop)
+    assert sorted(r.doc_id for r in mixed.collect()) == sorted(at)
 
     library = Tokenizer.from_file(vocabulary_path())
     sizes = {r.doc_id: len(library.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in mixed.collect()}
@@ -126,3 +126,48 @@ def test_packing_gets_every_mixed_document(spark, outputs):
     for r in packed.collect():
         pieces[r.doc_id] = pieces.get(r.doc_id, 0) + r.length
     assert pieces == {i: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in texts(single)}
+
+
+def test_weights_hold_in_the_packed_sequences(spark):
+    """Up to the end of any range of sequences each source has its share of the documents, to within a block, while it lasts."""
+    shares, block, slots = {"a": 3, "b": 2, mixing.REST: 1}, 2, 10
+    sources = ["a"] * 130 + ["b"] * 100 + ["c", None] * 60 + ["none"] * 3
+    docs = spark.createDataFrame([(i, f"text {i} " + "word " * (i * 37 % 90), "en", s) for i, s in enumerate(sources)], "doc_id bigint, text string, lang string, source string")
+    packed = packing.pack_mixed(docs, shares, block, vocabulary_path(), size=64, slots=slots).collect()
+    slot = {r.row.doc_id: r.slot for r in mixing.mix(docs, shares, block).collect()}
+    spans = {}
+    for r in packed:
+        spans.setdefault(slot[r.doc_id] // slots, set()).add(r.sequence_id)
+    ordered = [sorted(spans[k]) for k in sorted(spans)]
+    assert [i for x in ordered for i in x] == list(range(sum(map(len, ordered))))  # one range after the other
+    held = 0
+    for k, ids in zip(sorted(spans), ordered):
+        upto = (k + 1) * slots
+        if upto > min(130 // block * 6 // 3, 100 // block * 6 // 2, 123 // block * 6):
+            break
+        held += 1
+        here = {r.doc_id for r in packed if r.sequence_id <= ids[-1]}
+        for name, n in shares.items():
+            own = sum((sources[i] if sources[i] in shares else mixing.REST) == name for i in here)
+            assert abs(own / block - upto * n / 6) < 1
+    assert held >= 5
+    fill = {}
+    for r in packed:
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in fill.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 64
+    brief = [x for x in fill.values() if sum(n for _, n in x) < 48]
+    assert len(brief) <= 2 * len(ordered)
+
+
+def test_packing_follows_the_mix(spark, outputs):
+    _, _, _, _, mixed, packed = outputs
+    slot = {r.row.doc_id: r.slot for r in mixing.mix(mixed, MIX_SHARES, MIX_BLOCK).collect()}
+    last = -1
+    for k, group in itertools.groupby(sorted(packed.collect(), key=lambda r: r.sequence_id), key=lambda r: slot[r.doc_id] // packing.SLOTS):
+        assert k > last
+        last = k

@@ -98,3 +98,14 @@ def test_damage_is_seen(spark):
         f.write(bytes(raw))
     with pytest.raises(Exception, match="checksum of block 0"):
         token_files.read_tokens(spark, folder).collect()
+
+
+def test_counts_are_summed_by_parts(spark):
+    rows = [(p, [p % 3, 7 + p], [1, p]) for p in range(23)]
+    counts = spark.createDataFrame(rows, "part bigint, ids array<bigint>, counts array<bigint>")
+    expected = {0: 8, 1: 8, 2: 7}
+    for p in range(23):
+        expected[7 + p] = expected.get(7 + p, 0) + p
+    for fan in (2, 4, 100):
+        assert dict(token_files.total_counts(counts, 23, fan)) == expected
+    assert token_files.total_counts(counts.limit(0), 0) == []
