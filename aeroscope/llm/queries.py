@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeroscope.llm import chat, licenses, lines, media, mixing, packing, quality, simhash, suffixes, token_files, tokens, toxicity
+from aeroscope.llm import chat, divergence, licenses, lines, media, mixing, packing, quality, simhash, suffixes, token_files, tokens, toxicity, variants
 from aeroscope.llm.common import table
 from aeroscope.llm.registry import query
 
@@ -61,30 +61,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-def _line_dedup(spark: SparkSession, sf_dir: str, long_words: int | None) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("n_lines", F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)
-    spans = F.coalesce("_spans", F.array().cast("array<struct<first:int,last:int>>"))
-    return lines.dedup_lines(docs, long_words=long_words).select(
-        "doc_id", "n_lines", F.aggregate(spans, F.lit(0), lambda n, s: n + s["last"] - s["first"] + 1).alias("n_removed"),
-        F.size(spans).alias("n_runs"), F.sha2("text", 256).alias("kept_sha256"),
-    )
-
-
 @query("op8_line_dedup", f"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-w AS (SELECT doc_id, s, ls[s + 1] || chr(10) || ls[s + 2] AS k FROM (SELECT doc_id, ls, unnest(range(0, len(ls) - 1)) AS s FROM l)),
-n AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS nth FROM w WHERE regexp_matches(k, '[^\\x20\\x09-\\x0D]')),
-c AS (SELECT DISTINCT doc_id, unnest([s, s + 1]) AS i FROM n WHERE nth > 1),
-g AS (SELECT doc_id, list(i ORDER BY i) AS gone FROM c GROUP BY doc_id)
-SELECT doc_id, len(ls)::INT AS n_lines, coalesce(len(gone), 0)::INT AS n_removed,
- coalesce(len(list_filter(gone, lambda x: NOT list_contains(gone, x - 1))), 0)::INT AS n_runs,
- sha256(array_to_string(list_filter(ls, lambda x, i: gone IS NULL OR NOT list_contains(gone, i - 1)), chr(10))) AS kept_sha256
-FROM l LEFT JOIN g USING (doc_id)""")
-def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_dedup(spark, sf_dir, None)
-
-
-@query("op8_long_lines", f"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 w AS (SELECT doc_id, s, 2 AS n, ls[s + 1] || chr(10) || ls[s + 2] AS k FROM (SELECT doc_id, ls, unnest(range(0, len(ls) - 1)) AS s FROM l)
   UNION ALL SELECT doc_id, s, 1, k FROM (SELECT doc_id, unnest(range(0, len(ls))) AS s, unnest(ls) AS k FROM l)
   WHERE length(k) >= {lines.LONG_CHARS} OR len(regexp_extract_all(k, '[^\\x20\\x09-\\x0D]+')) >= {lines.LONG_WORDS}),
@@ -95,8 +72,14 @@ SELECT doc_id, len(ls)::INT AS n_lines, coalesce(len(gone), 0)::INT AS n_removed
  coalesce(len(list_filter(gone, lambda x: NOT list_contains(gone, x - 1))), 0)::INT AS n_runs,
  sha256(array_to_string(list_filter(ls, lambda x, i: gone IS NULL OR NOT list_contains(gone, i - 1)), chr(10))) AS kept_sha256
 FROM l LEFT JOIN g USING (doc_id)""")
-def op8_long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_dedup(spark, sf_dir, lines.LONG_WORDS)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("n_lines", F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)
+    spans = F.coalesce("_spans", F.array().cast("array<struct<first:int,last:int>>"))
+    return lines.dedup_lines(docs).select(
+        "doc_id", "n_lines", F.aggregate(spans, F.lit(0), lambda n, s: n + s["last"] - s["first"] + 1).alias("n_removed"),
+        F.size(spans).alias("n_runs"), F.sha2("text", 256).alias("kept_sha256"),
+    )
 
 
 @query("op1_media")
@@ -154,3 +137,50 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_token_files")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.through_files(table(spark, sf_dir, "documents"), tokens.vocabulary_path())
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query("op11_source_divergence", f"""WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+w AS (SELECT i, lang, source, unnest(ws) AS w FROM d),
+k AS (SELECT lang, w, count(*) AS total FROM w GROUP BY lang, w HAVING count(DISTINCT i) >= {divergence.LEAST}),
+l AS (SELECT lang, count(*) AS v, sum(total)::BIGINT AS size FROM k GROUP BY lang),
+c AS (SELECT lang, source, w, count(*) AS n FROM w SEMI JOIN k USING (lang, w) GROUP BY lang, source, w),
+g AS (SELECT lang, source, coalesce(sum(n), 0)::BIGINT AS size FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.w, coalesce(c.n, 0) AS n, 1 + {divergence.UNIT} * (coalesce(c.n, 0) + 2) // (g.size + 2 * l.v) AS p,
+  1 + {divergence.UNIT} * (k.total + 2) // (l.size + 2 * l.v) AS q
+  FROM g JOIN k ON g.lang = k.lang JOIN l ON g.lang = l.lang LEFT JOIN c ON g.lang = c.lang AND g.source = c.source AND k.w = c.w),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.w = b.w AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', w, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM r
+QUALIFY part = 'pair' OR rank <= {divergence.TOP}""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_spelling_variants", f"""WITH crcs AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' AS id, unnest(list_filter(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[A-Za-zÀ-ÿ]+'),
+  lambda x: length(x) >= {variants.CHARS})) AS run FROM documents),
+r AS (SELECT run, id || run AS keyed, hex(encode(id || run)) AS bytes, count(*) AS n FROM d GROUP BY ALL),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(bytes) // 2), lambda i: ('0x' || substr(bytes, 2 * i + 1, 2))::BIGINT)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM r, crcs),
+c AS (SELECT CASE WHEN h % {variants.EVERY} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM c WHERE length(word) >= {variants.CHARS} GROUP BY word HAVING sum(n) >= {variants.COUNT}),
+x AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS cut FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+e AS (SELECT a.word, b.word AS near FROM x a JOIN x b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT x.word, w.word FROM x JOIN w ON x.cut = w.word UNION SELECT w.word, x.word FROM x JOIN w ON x.cut = w.word),
+b AS (SELECT e.word, count(*) AS n_near, max(n) AS most, arg_max(near, n) AS any_best FROM e JOIN w ON w.word = e.near GROUP BY e.word),
+f AS (SELECT b.word, b.n_near, b.most, min(e.near) AS best FROM b JOIN e USING (word) JOIN w ON w.word = e.near AND w.n = b.most GROUP BY ALL),
+g AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= {variants.RATIO} * w.n THEN best END AS form, CASE WHEN most >= {variants.RATIO} * w.n THEN most END AS form_n
+  FROM w LEFT JOIN f USING (word)),
+s AS (WITH RECURSIVE z AS (SELECT word, word AS root, 0 AS step FROM g UNION ALL SELECT z.word, g.form, step + 1 FROM z JOIN g ON g.word = z.root WHERE g.form IS NOT NULL)
+  SELECT word, arg_max(root, step) AS root FROM z GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM g JOIN s USING (word)""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
