@@ -6,7 +6,9 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from aeroscope.session import scratch
 
@@ -33,6 +35,38 @@ def rows_out(rows: Iterable[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def quoted(name: str) -> str:
+    """A column's name as it is, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores behind it while a column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _unordered(kind: DataType) -> bool:
+    """Whether a type holds a map or a variant, which have no hash."""
+    if isinstance(kind, StructType):
+        return any(_unordered(f.dataType) for f in kind)
+    return isinstance(kind, (MapType, VariantType)) or (isinstance(kind, ArrayType) and _unordered(kind.elementType))
+
+
+def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """64 bits of all columns (or those named), of any type; the order of a map's entries doesn't matter."""
+
+    def plain(name: str) -> Column:
+        kind, c = df.schema[name].dataType, F.col(quoted(name))
+        if isinstance(kind, MapType) and not _unordered(kind.keyType) and not _unordered(kind.valueType):
+            return F.array_sort(F.map_entries(c))
+        return F.to_json(F.struct(c.alias("v"))) if _unordered(kind) else c
+
+    return F.xxhash64(*[plain(c) for c in columns or df.columns])
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Written to the shared folder and read back: cuts the lineage and survives lost executors."""
     path = scratch(df.sparkSession, label)

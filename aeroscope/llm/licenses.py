@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aeroscope.idioms import let
-from aeroscope.llm.common import saved
+from aeroscope.llm.common import row_hash, saved
 
 #: What separates words, once A-Z are lower case.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -121,7 +121,7 @@ def scan(
         F.when(F.array_contains(w, "license") & (F.size(w) > 1), base_places(w)).otherwise(no_places).alias("base"),
         F.when(F.arrays_overlap(w, vocabulary), hits(w)).otherwise(no_hits).alias("hits"),
     ))
-    rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(*df.columns).alias("row"), read.alias("r"))
+    rows = df.select(F.col(id_col).alias("doc_id"), row_hash(df).alias("row"), read.alias("r"))
     rows = saved(rows.select("doc_id", "row", "r.*"), "license-words")
     table = spark.createDataFrame(
         [(w, t, at, idf, templates[t].phrase_at() - at, templates[t].phrase.split()) for w, t, at, idf in postings],

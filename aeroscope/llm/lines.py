@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aeroscope.idioms import let
-from aeroscope.llm.common import saved
+from aeroscope.llm.common import quoted, row_hash, saved, unused
 
 #: Shortest run of lines that is deleted where it repeats; the winnowing window.
 RUN = 2
@@ -59,7 +59,7 @@ def windows(text: Column, run: int, long_words: int | None) -> Column:
 
 def repeated_spans(df: DataFrame, id_col: str, text_col: str, run: int, long_words: int | None) -> DataFrame:
     """Spans of lines to delete: _id, _row (hash of all columns), spans (array of first, last), for rows that have any."""
-    rows = df.select(F.col(id_col).alias("_id"), F.xxhash64(*df.columns).alias("_row"), F.explode_outer(windows(F.col(text_col), run, long_words)).alias("w"))
+    rows = df.select(F.col(id_col).alias("_id"), row_hash(df).alias("_row"), F.explode_outer(windows(F.col(text_col), run, long_words)).alias("w"))
     rows = saved(rows.where("w.used").select("_id", "_row", "w.s", "w.n", "w.selected", "w.k1", "w.k2"), "line-windows")
     # written first: a join whose sides are both read from tables is split where a line is hot
     often = saved(rows.groupBy("selected").agg(F.count("*").alias("n")).where("n > 1").select("selected"), "line-anchors")
@@ -94,7 +94,8 @@ def without(text: Column, spans: Column) -> Column:
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long_words: int | None = LONG_WORDS) -> DataFrame:
-    """Rows of `df` with later repeats of runs of `run` lines or more, and of long lines, deleted, and `_spans`, the deleted line numbers.
+    """Rows of `df` with later repeats of runs of `run` lines or more, and of long lines, deleted, and `_spans`, the deleted line numbers,
+    with underscores behind the name if `df` has such a column.
 
     A run is a repeat if its lines stand in the same order earlier: in a row with a smaller id (null last; equal ids by a
     hash of the row) or before it in the same text. All is judged on the input. Rows that are equal in all columns are
@@ -104,7 +105,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     text whose every line is a repeat becomes empty, its row stays. An empty table gives no rows.
     """
     found = repeated_spans(df, id_col, text_col, run, long_words)
-    keyed = df.withColumn("__hash", F.xxhash64(*df.columns))
-    joined = keyed.join(found, (keyed["__hash"] == found["_row"]) & keyed[id_col].eqNullSafe(found["_id"]), "left")
+    own = unused(df, "_hash")
+    keyed = df.withColumn(own, row_hash(df))
+    joined = keyed.join(found, (keyed[own] == found["_row"]) & keyed[id_col].eqNullSafe(found["_id"]), "left")
     text = F.when(found["spans"].isNull(), keyed[text_col]).otherwise(without(keyed[text_col], found["spans"]))
-    return joined.select(*[text.alias(c) if c == text_col else keyed[c] for c in df.columns], found["spans"].alias("_spans"))
+    return joined.select(*[text.alias(c) if c == text_col else keyed[quoted(c)] for c in df.columns], found["spans"].alias(unused(df, "_spans")))

@@ -14,6 +14,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from aeroscope.llm.common import quoted, row_hash
+
 #: Stands for every source that the shares don't name, null among them.
 REST = "*"
 #: Rows of a source that one rank group holds on average: a source has as many groups as its rows ask for.
@@ -60,10 +62,11 @@ def mix(
         raise ValueError("shares can't be negative")
     spark = df.sparkSession
     kept = columns or df.columns
+    row = F.struct(*[F.col(quoted(c)) for c in kept])
     key = F.coalesce(F.when(F.col(source_col).isin([s for s in shares if s != REST]), F.col(source_col)), F.lit(REST))
     rows = df.select(
-        F.struct(*kept).alias("row"), key.alias("source"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"), F.col(id_col).alias("id"),
-        F.xxhash64(*kept).alias("tie"),
+        row.alias("row"), key.alias("source"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"), F.col(id_col).alias("id"),
+        row_hash(df, kept).alias("tie"),
     )
     # ranks in two levels: totals of hash ranges, and places inside one range
     counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()}

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aeroscope.llm.common import map_arrow, saved
+from aeroscope.llm.common import map_arrow, row_hash, saved, unused
 from aeroscope.llm.graph import components
 
 BITS = 64
@@ -236,7 +236,7 @@ def near_duplicates(
     """
     if not 0 <= radius <= 7:
         raise ValueError("the counters hold radii from 0 to 7")
-    rows = saved(fingerprints(df, text_col, [F.col(id_col).alias("doc_id"), F.xxhash64(*df.columns).alias("row_hash")], width, seed), "fingerprints")
+    rows = saved(fingerprints(df, text_col, [F.col(id_col).alias("doc_id"), row_hash(df).alias("row_hash")], width, seed), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")).alias("first")
     prints = saved(rows.groupBy("fp").agg(first), "prints")
     found = components(links(prints.select("fp"), radius, tile))
@@ -251,6 +251,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     """Rows of `df`, one of each near-duplicate group: that with the smallest id; equal rows count as one."""
     found = near_duplicates(df, id_col, text_col, **options).where("doc_id <=> component_id AND row_hash = keeper")
     kept = found.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")).distinct()
-    rows = df.withColumn("_row", F.xxhash64(*df.columns))
-    rows = rows.join(kept, (rows["_row"] == kept["_hash"]) & rows[id_col].eqNullSafe(kept["_id"]), "left_semi")
-    return rows.dropDuplicates([id_col, "_row"]).drop("_row")
+    own = unused(df, "_row")
+    rows = df.withColumn(own, row_hash(df))
+    rows = rows.join(kept, (rows[own] == kept["_hash"]) & rows[id_col].eqNullSafe(kept["_id"]), "left_semi")
+    return rows.dropDuplicates([id_col, own]).drop(own)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aeroscope.llm.common import discard, early_cleanup, map_arrow, saved
+from aeroscope.llm.common import discard, early_cleanup, map_arrow, row_hash, saved
 from aeroscope.session import scratch
 
 LEAST = 200
@@ -36,7 +36,7 @@ BLOCK = 8
 PIECE = 1 << 20
 PLACE = np.uint64(PIECE * 2 - 1)
 
-ENTRY = "a bigint, cell bigint, doc_id {id}, row int, s bigint, n int, o int, kind int"
+ENTRY = "a bigint, cell bigint, doc_id {id}, row bigint, s bigint, n int, o int, kind int"
 KEYS = ["a", "cell", "doc_id", "row", "s"]
 NAMES = [*KEYS, "n", "o", "kind"]
 MARK = ["doc_id", "row", "s", "n", "o", "kind"]
@@ -126,13 +126,13 @@ def to_arrow(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> p
 
 def entries_of(rows: list[tuple], batch: pa.RecordBatch) -> pa.RecordBatch:
     """Rows of ENTRY, with the id's type as in a batch."""
-    return to_arrow(rows, [pa.int64(), pa.int64(), batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()], NAMES)
+    return to_arrow(rows, [pa.int64(), pa.int64(), batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()], NAMES)
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, row (tells rows with equal ids apart), text as bytes."""
     return df.select(
-        F.col(id_col).alias("doc_id"), F.hash(*df.columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
+        F.col(id_col).alias("doc_id"), row_hash(df).alias("row"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
     )
 
 
