@@ -205,6 +205,33 @@ def n27_table(spark, sf):
     return said.select("utt_id", F.rtrim(compact.compact_callsign(text, codes=F.col("codes"))).alias("out"))
 
 
+# every airline of the built-in table stands in some text; the twin reads the table's file
+FILE_SQL = f"""air AS (SELECT list(code ORDER BY code) AS codes, map_from_entries(list((code, lower(name)))) AS names FROM read_csv('{vocab.AIRLINES_FILE}', header = true, comment = '#', all_varchar = true)),
+called AS (SELECT utt_id, codes[abs(utt_id) % len(codes) + 1] AS code, (100 + abs(utt_id) % 900)::VARCHAR AS digits, names FROM utterance, air)"""
+
+
+def _called(spark, sf):
+    codes = F.array(*map(F.lit, vocab.AIRLINES))
+    return table(spark, sf, "utterance").select(
+        "utt_id", F.get(codes, (F.abs("utt_id") % len(vocab.AIRLINES)).cast("int")).alias("code"), (100 + F.abs("utt_id") % 900).cast("string").alias("digits")
+    )
+
+
+@query("N2_every_airline", f"WITH {FILE_SQL} SELECT utt_id, names[code] || ' ' || {sql_spoken('digits')} || ' climb' AS out FROM called")
+def n2_every(spark, sf):
+    return _called(spark, sf).select("utt_id", normalize.icao_callsigns(F.concat("code", "digits", F.lit(" climb"))).alias("out"))
+
+
+@query("N20_every_airline", f"WITH {FILE_SQL} SELECT utt_id, names[code] || ' ' || {sql_spoken('digits')} AS out FROM called")
+def n20_every(spark, sf):
+    return _called(spark, sf).select("utt_id", normalize.expand_callsign(F.concat("code", "digits")).alias("out"))
+
+
+@query("N22_every_airline", f"WITH {FILE_SQL} SELECT utt_id, names[code] AS out FROM called")
+def n22_every(spark, sf):
+    return _called(spark, sf).select("utt_id", normalize.airline_name(F.lower("code")).alias("out"))
+
+
 @query("N21_spelling", f"""SELECT p_partkey, array_to_string(list_transform(list_filter(string_split(upper(p_name), ''),
   lambda c: regexp_matches(c, '^[A-Z0-9]$')), lambda c: {sql_case('c', vocab.NATO, 'lower(c)')}), ' ') AS out FROM part""")
 def n21(spark, sf):
@@ -288,6 +315,16 @@ for _name, (_fn, _sql) in COMPACT_SQL.items():
     _text_query(_name, lambda c, f=_fn: f(F.lower(c)), f"SELECT utt_id, {_sql('lower(text)')} AS out FROM utterance")
 
 
+@query("N27_every_airline", f"""WITH {FILE_SQL}, said AS (SELECT utt_id, names[code] || ' ' || {sql_spoken('digits')} || ' climb' AS t FROM called)
+SELECT utt_id, {sql_callsign_expr('t')} AS out FROM said""")
+def n27_every(spark, sf):
+    """Spoken names of all airlines, then three spoken digits, to codes."""
+    said = _called(spark, sf)
+    name = F.get(F.array(*map(F.lit, vocab.AIRLINES.values())), (F.abs("utt_id") % len(vocab.AIRLINES)).cast("int"))
+    text = F.concat_ws(" ", name, normalize.spoken(F.col("digits")), F.lit("climb"))
+    return said.select("utt_id", compact.compact_callsign(text).alias("out"))
+
+
 def compact_ctes(source: str, key: str, col: str) -> str:
     return (
         f"c0 AS (SELECT {key}, lower({col}) AS t FROM {source}), "

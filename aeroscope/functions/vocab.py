@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import os
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -36,24 +38,18 @@ IATA = {
     "5X": "UPS",
 }
 
-# Spoken names of the airlines that the two-letter codes lead to. The full table of an
-# operator is a parameter of the functions: a dictionary, or a table of any size (see airline_map).
-AIRLINES = {
-    "AAL": "american", "ACA": "air canada", "AFR": "air france", "AIC": "air india", "ANA": "all nippon",
-    "ANZ": "air new zealand", "ARG": "aerolineas argentinas", "AUA": "austrian", "AVA": "avianca",
-    "AWI": "air wisconsin", "BAW": "british", "CCA": "air china", "CES": "china eastern", "CFG": "condor",
-    "CMP": "copa", "CPA": "cathay pacific", "CSA": "czech", "CSN": "china southern", "CUB": "cubana",
-    "DAL": "delta", "DLH": "lufthansa", "EIN": "aer lingus", "ELY": "el al", "ENY": "envoy",
-    "ETD": "etihad", "ETH": "ethiopian", "EZY": "easyjet", "FDX": "fedex", "FIN": "finnair",
-    "IBE": "iberia", "ICE": "icelandair", "JAL": "japan airlines", "JBU": "jetblue", "JZA": "jazz",
-    "KAL": "korean air", "KLM": "klm", "KQA": "kenya", "LAN": "latam", "LOT": "lot polish",
-    "MAS": "malaysia", "MSR": "egyptair", "MXY": "breeze", "NAX": "norwegian", "NKS": "spirit",
-    "PAL": "philippine", "PDT": "piedmont", "QTR": "qatar", "QXE": "horizon", "RAM": "royal air maroc",
-    "RPA": "republic", "RYR": "ryanair", "SAA": "south african", "SAS": "scandinavian", "SCX": "sun country",
-    "SIA": "singapore", "SVA": "saudi arabian", "SWA": "southwest", "SWR": "swiss", "TAM": "tam",
-    "TAP": "tap", "THY": "turkish", "TOM": "tui", "UAE": "emirates", "UAL": "united", "UPS": "ups",
-    "VIR": "virgin", "VIV": "volaris", "VLG": "vueling", "VNA": "vietnam", "WJA": "westjet", "WZZ": "wizz air",
-}
+#: Airline table (code, name) that the text functions use unless they are given another one.
+AIRLINES_FILE = os.environ.get("AEROSCOPE_AIRLINES") or os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "data", "airlines.csv")
+
+
+def load_airlines(path: str = AIRLINES_FILE) -> dict[str, str]:
+    """Names by three-letter code from a CSV file (code, name; lines with # are remarks), in order of the codes."""
+    with open(path, encoding="utf-8", newline="") as f:
+        rows = csv.DictReader(line for line in f if not line.startswith("#"))
+        return dict(sorted((r["code"].strip().upper(), r["name"].strip().lower()) for r in rows))
+
+
+AIRLINES = load_airlines()
 
 # Spoken airline variants that map straight to a code.
 SPOKEN_AIRLINES = {

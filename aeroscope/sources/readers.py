@@ -30,7 +30,7 @@ def source_name(path: Column) -> Column:
 
 def read_airlines(spark: SparkSession, path: str) -> DataFrame:
     """Airline table (code, name) for `functions.vocab.airline_map`; three-letter codes, one row each."""
-    rows = spark.read.csv(path, header=True).select(F.upper("code").alias("code"), F.lower("name").alias("name"))
+    rows = spark.read.csv(path, header=True, comment="#").select(F.upper("code").alias("code"), F.lower("name").alias("name"))
     return rows.where(F.col("code").rlike("^[A-Z]{3}$")).groupBy("code").agg(F.min("name").alias("name"))
 
 

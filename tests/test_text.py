@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from aeroscope.functions import compact, normalize, parse
+from aeroscope.functions import compact, normalize, parse, vocab
 
 
 def one(spark, text, fn):
@@ -95,3 +95,11 @@ def test_airlines_from_a_table(spark):
     said = said.withColumn("codes", vocab.spoken_code_map(air))
     got = [r["x"].strip() for r in said.select(compact.compact_callsign(F.col("t"), codes=F.col("codes")).alias("x")).collect()]
     assert got == ["QQQ12 climb", "ZQX1", "ZQA5", "DAL2"]
+
+
+def test_whole_airline_table(tmp_path):
+    assert len(vocab.AIRLINES) == 281 and list(vocab.AIRLINES) == sorted(vocab.AIRLINES)
+    assert set(vocab.IATA.values()) <= set(vocab.AIRLINES)
+    other = tmp_path / "own.csv"
+    other.write_text("# own table\ncode,name\nxyz,Some Carrier\n")
+    assert vocab.load_airlines(str(other)) == {"XYZ": "some carrier"}
