@@ -26,7 +26,7 @@ LEAST, TOP, UNIT = 10, 10, 1_000_000_000
 #: Terms of a tile, and sources of a block: a task compares two blocks of sources in one tile.
 TILE, SIDE = 2048, 32
 #: Entries that a task counts before it hands them on, and bytes of a text taken at once.
-HELD, SLICE = 400_000, 1 << 22
+HELD, SLICE = 300_000, 1 << 22
 #: A-Z to lower case, everything else below 128 that isn't a letter to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -42,35 +42,64 @@ def terms(text: bytes) -> Iterator[list[bytes]]:
         yield part.split()
 
 
-def count_terms(df: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """lang, source, term, n, docs; one row with a null term for every group."""
+COUNTED = "lang string, term string, docs bigint, sources array<struct<source:string,n:bigint>>"
+
+
+def count_terms(df: DataFrame, text_col: str, lang_col: str, source_col: str, least: int) -> DataFrame:
+    """Counts of each task (COUNTED), of three kinds.
+
+    Rows with docs have the documents of a term in the task; the counts per source are with them if the documents are
+    fewer than `least`. If not, the term is kept for sure, and its counts come in rows of their own, without docs. So
+    no term gathers more than one short row a task where its documents are added up. Rows without a term name groups.
+    """
     group = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"))]
     rows = df.select(*group, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
+    def table(rows: list[tuple[str, bytes | None, int | None, list[tuple[str, int]]]]) -> pa.RecordBatch:
+        langs, words, docs, found = zip(*rows)
+        flat = [x for part in found for x in part]
+        sources = pa.StructArray.from_arrays([pa.array([x for x, _ in flat], pa.string()), pa.array([n for _, n in flat], pa.int64())], ["source", "n"])
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(part) for part in found])]), pa.int32())
+        return pa.record_batch({
+            "lang": pa.array(langs, pa.string()), "term": pa.array(words, pa.binary()).cast(pa.string()), "docs": pa.array(docs, pa.int64()),
+            "sources": pa.ListArray.from_arrays(ends, sources),
+        })
+
     def count(batches):
-        seen: dict[tuple, tuple[Counter, Counter]] = {}
+        seen: dict[str, tuple[Counter, dict[str, Counter]]] = {}
         held = 0
 
         def flush():
-            for (lang, source), (n, docs) in seen.items():
-                keys = [None, *n]
-                for a in range(0, len(keys), 50_000):
-                    part = keys[a : a + 50_000]
-                    size = len(part)
-                    yield pa.record_batch({
-                        "lang": pa.array([lang], pa.string()).take(pa.array(np.zeros(size, dtype=np.int32))),
-                        "source": pa.array([source], pa.string()).take(pa.array(np.zeros(size, dtype=np.int32))),
-                        "term": pa.array(part, pa.binary()).cast(pa.string()),
-                        "n": pa.array([n.get(k, 0) for k in part], pa.int64()), "docs": pa.array([docs.get(k, 0) for k in part], pa.int64()),
-                    })
-            seen.clear()
+            out: list[tuple] = []
+            while seen:
+                lang, (docs, sources) = seen.popitem()
+                few: dict[bytes, list[tuple[str, int]]] = {}
+                for source, counts in sources.items():
+                    out.append((lang, None, None, [(source, 0)]))
+                    for term, n in counts.items():
+                        if docs[term] < least:
+                            few.setdefault(term, []).append((source, n))
+                        else:
+                            out.append((lang, term, None, [(source, n)]))
+                    if len(out) > 20_000:
+                        yield table(out)
+                        out = []
+                sources.clear()
+                for term, n in docs.items():
+                    out.append((lang, term, n, few.get(term, [])))
+                    if len(out) > 20_000:
+                        yield table(out)
+                        out = []
+            if out:
+                yield table(out)
 
         for batch in batches:
             for lang, source, text in zip(*map(pa.Array.to_pylist, batch.columns)):
-                if (lang, source) not in seen:
-                    seen[lang, source] = Counter(), Counter()
+                docs, sources = seen.setdefault(lang, (Counter(), {}))
+                if source not in sources:
+                    sources[source] = Counter()
                     held += 1
-                n, docs = seen[lang, source]
+                n = sources[source]
                 held -= len(n)
                 own: set[bytes] = set()
                 for part in terms(text):
@@ -83,7 +112,7 @@ def count_terms(df: DataFrame, text_col: str, lang_col: str, source_col: str) ->
                     held = 0
         yield from flush()
 
-    return map_arrow(rows, count, "lang string, source string, term string, n bigint, docs bigint")
+    return map_arrow(rows, count, COUNTED)
 
 
 class Forest:
@@ -183,29 +212,28 @@ def audit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_
     The pairs of sources of a language are the result, so their number is; no other pairs are made.
     """
     spark = df.sparkSession
-    paths = [scratch(spark, "divergence") for _ in range(2)]
-
-    def kept_at(rows: DataFrame, path: str) -> DataFrame:
-        rows.write.parquet(path)
-        return spark.read.schema(rows.schema).parquet(path)
-
-    counted = count_terms(df, text_col, lang_col, source_col).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    counted = kept_at(counted, paths[0])
-    kept = counted.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("d")).where(F.col("d") >= least).drop("d")
-    kept = kept_at(kept, paths[1])
-    rows = saved(counted.where("term IS NOT NULL").drop("docs").join(kept, ["lang", "term"]), "divergence-terms")
+    path = scratch(spark, "divergence-counts")
+    count_terms(df, text_col, lang_col, source_col, least).write.parquet(path)
+    counted = spark.read.schema(COUNTED).parquet(path)
+    in_all = F.sum("docs").over(Window.partitionBy("lang", "term"))
+    some = counted.where("term IS NOT NULL AND docs IS NOT NULL").withColumn("in_all", in_all).where(F.col("in_all") >= least)
+    sure = counted.where("term IS NOT NULL AND docs IS NULL")
+    each = some.select("lang", "term", F.inline("sources")).unionByName(sure.select("lang", "term", F.inline("sources")))
+    rows = saved(each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "divergence-terms")
+    named_groups = saved(counted.where("term IS NULL").select("lang", F.col("sources")[0]["source"].alias("source")).distinct(), "divergence-sources")
+    discard(spark, path)
+    kept = saved(rows.groupBy("lang", "term").agg(F.sum("n").alias("total")), "divergence-kept")
     langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("total").alias("lang_size"))
     sizes = rows.groupBy("lang", "source").agg(F.sum("n").alias("size"))
     order = Window.partitionBy("lang").orderBy("source")
-    groups = counted.where("term IS NULL").select("lang", "source").join(sizes, ["lang", "source"], "left").join(langs, "lang", "left").select(
+    groups = named_groups.join(sizes, ["lang", "source"], "left").join(langs, "lang", "left").select(
         "lang", "source", (F.row_number().over(order) - 1).alias("idx"), F.count("*").over(Window.partitionBy("lang")).alias("groups"),
         *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("size", "kept", "lang_size")],
     ).withColumn("tiles", F.greatest(F.lit(1), F.ceil(F.col("kept") / tile)).cast("int"))
     groups = saved(groups, "divergence-groups")
-    discard(spark, paths[0])
 
     p, q = probability("n", "size"), probability("total", "lang_size")
-    named = rows.join(groups, ["lang", "source"]).select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q")).where("p > q")
+    named = rows.join(kept, ["lang", "term"]).join(groups, ["lang", "source"]).select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q")).where("p > q")
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     far = F.expr("(p - q) * (p - q) div (p + q)").alias("value")
     listed = named.select("lang", "source", F.lit("term").alias("part"), "item", far).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
