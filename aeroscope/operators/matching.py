@@ -1,18 +1,30 @@
-"""Greedy one-to-one matching by score, exact for groups of any size."""
+"""Greedy one-to-one matching by score, exact for groups of any size.
+
+A pair's score is at most what the two texts' character counts allow. A group is decided best first: candidates wait in
+order of that bound, a text pair is scored only when its bound comes up, and a scored pair is final when no bound is
+above it. As matched texts drop out, most pairs are never scored. Equal texts are one entry with many ids, so copies
+that tie cost one step each. Groups whose pairs would not fit into a task's memory go in rounds over the whole cluster.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import heapq
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aeroscope.functions.fuzzy import indel_ratio
+from aeroscope.functions.fuzzy import _places, indel_ratio, ratio_of
 from aeroscope.idioms import running, salted
-from aeroscope.session import cut
+from aeroscope.session import cut, scratch
 
 SMALL_GROUP = 50_000
+#: Pairs of rows up to which one task holds the bounds of a group (8 bytes each).
+HELD_PAIRS = 8_000_000
 
 
 def _twins(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,14 +114,137 @@ def greedy_pairs(pairs: DataFrame, keys: Sequence[str], small: int = SMALL_GROUP
     return done
 
 
-def greedy_match(left: DataFrame, right: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
-    """Match left (keys, i, txt) and right (keys, j, txt) by indel ratio at or above the threshold."""
-    keys = list(keys)
-    twins = cut(_twins(left, right, keys))  # read three times below
+class Side:
+    """Distinct texts of one side of a group, each with its ids in order."""
+
+    def __init__(self, ids: list[int], texts: list[str]):
+        found: dict[str, list[int]] = {}
+        for i, t in sorted(zip(ids, texts)):
+            found.setdefault(t, []).append(i)
+        self.texts, self.ids = list(found), list(found.values())
+        self.taken = [0] * len(found)
+
+    def next(self, k: int) -> int | None:
+        """Smallest id of text k that is free."""
+        return self.ids[k][self.taken[k]] if self.taken[k] < len(self.ids[k]) else None
+
+
+def bounds(left: list[str], right: list[str]) -> Iterator[np.ndarray]:
+    """For each left text the highest scores that character counts allow with all right texts."""
+    axis: dict[str, int] = {}
+    for t in right:
+        for c in t:
+            axis.setdefault(c, len(axis))
+    counts = np.zeros((len(right), len(axis)), dtype=np.int32)
+    for k, t in enumerate(right):
+        for c, n in Counter(t).items():
+            counts[k, axis[c]] = n
+    lengths = np.array([len(t) for t in right])
+    for t in left:
+        own = [(axis[c], n) for c, n in Counter(t).items() if c in axis]
+        at = [k for k, _ in own]
+        common = np.minimum(counts[:, at], np.array([n for _, n in own], dtype=np.int32)).sum(axis=1)
+        total = lengths + len(t)
+        yield np.where(total > 0, 2.0 * common / np.maximum(total, 1), 1.0)
+
+
+def best_first(left: Side, right: Side, threshold: float) -> tuple[list[tuple[int, int, float]], int]:
+    """Greedy pairs (i, j, score) by score desc, then i, then j; and how many text pairs were scored."""
+    waiting: list[tuple] = []  # (-bound, 0, a, place in a's order) or (-score, 1, i, j, a, b)
+    orders, places = [], {}
+    for a, most in enumerate(bounds(left.texts, right.texts)):
+        order = np.argsort(-most, kind="stable")
+        order = order[: np.count_nonzero(most >= threshold)]
+        orders.append((order.tolist(), most[order].tolist()))
+        if len(order):
+            waiting.append((-orders[a][1][0], 0, a, 0))
+    heapq.heapify(waiting)
+    out, scored = [], 0
+    while waiting:
+        top = heapq.heappop(waiting)
+        if top[1]:
+            score, _, i, j, a, b = top
+            now = left.next(a), right.next(b)
+            if None in now:
+                continue
+            if now == (i, j):
+                out.append((i, j, -score))
+                left.taken[a] += 1
+                right.taken[b] += 1
+                now = left.next(a), right.next(b)
+            if None not in now:
+                heapq.heappush(waiting, (score, 1, *now, a, b))
+            continue
+        _, _, a, k = top
+        i = left.next(a)
+        if i is None:
+            continue
+        order, most = orders[a]
+        if k + 1 < len(order):
+            heapq.heappush(waiting, (-most[k + 1], 0, a, k + 1))
+        b = order[k]
+        j = right.next(b)
+        if j is None:
+            continue
+        if a not in places:
+            places[a] = _places(left.texts[a])
+        score = ratio_of(left.texts[a], right.texts[b], places[a])
+        scored += 1
+        if score >= threshold:
+            heapq.heappush(waiting, (-score, 1, i, j, a, b))
+    return out, scored
+
+
+def _group_matches(keys: list[str], threshold: float) -> Callable[[pa.Table], pa.Table]:
+    def match(table: pa.Table) -> pa.Table:
+        table = table.drop_null()  # null keys and texts match nothing
+        side, ids, texts = (table.column(c).to_pylist() for c in ("side", "id", "txt"))
+        found = []
+        if any(side) and not all(side):
+            left, right = (Side(*zip(*[(i, t) for s, i, t in zip(side, ids, texts) if s == own])) for own in (True, False))
+            found = best_first(left, right, threshold)[0]
+        i, j, score = zip(*found) if found else ((), (), ())
+        first = pa.array(np.zeros(len(found), dtype=np.int64))
+        columns = [table.column(k).take(first) for k in keys]
+        return pa.table([*columns, pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(score, pa.float64())], names=[*keys, "i", "j", "score"])
+
+    return match
+
+
+def in_rounds(left: DataFrame, right: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Matches of groups of any size: equal texts, then scored pairs in rounds over the whole cluster."""
+    spark = left.sparkSession
+
+    def kept(df: DataFrame) -> DataFrame:  # read more than once below
+        path = scratch(spark, "matches")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    left, right = kept(left), kept(right)
+    twins = kept(_twins(left, right, keys))
     rest_l = left.join(twins.select(*keys, "i"), [*keys, "i"], "left_anti")
     rest_r = right.join(twins.select(*keys, "j"), [*keys, "j"], "left_anti")
-    # a match table is small next to its inputs and read by several metrics
-    return cut(twins.unionByName(greedy_pairs(scored_pairs(rest_l, rest_r, keys, threshold), keys)))
+    return twins.unionByName(kept(greedy_pairs(scored_pairs(rest_l, rest_r, keys, threshold), keys)))
+
+
+def greedy_match(left: DataFrame, right: DataFrame, keys: Sequence[str], threshold: float, held: int = HELD_PAIRS) -> DataFrame:
+    """Match left (keys, i, txt) and right (keys, j, txt) by indel ratio at or above the threshold.
+
+    Ids are whole numbers and unique within a group and side. Null keys or texts match nothing.
+    """
+    keys = list(keys)
+    l, r = left.groupBy(*keys).agg(F.count("*").alias("n")), right.groupBy(*keys).agg(F.count("*").alias("m"))
+    big = cut(l.join(r, keys).where(F.col("n").cast("double") * F.col("m") > held).select(*keys))
+    whole = big.isEmpty()
+    few_l, few_r = (left, right) if whole else (left.join(big, keys, "left_anti"), right.join(big, keys, "left_anti"))
+    rows = few_l.select(*keys, F.lit(True).alias("side"), F.col("i").cast("bigint").alias("id"), "txt").unionByName(
+        few_r.select(*keys, F.lit(False).alias("side"), F.col("j").cast("bigint").alias("id"), "txt")
+    )
+    kinds = ", ".join(f"{k} {left.schema[k].dataType.simpleString()}" for k in keys)
+    out = rows.groupBy(*keys).applyInArrow(_group_matches(keys, threshold), f"{kinds}, i bigint, j bigint, score double")
+    if not whole:
+        out = out.unionByName(in_rounds(left.join(big, keys, "left_semi"), right.join(big, keys, "left_semi"), keys, threshold))
+    return cut(out)  # a match table is small next to its inputs and read by several metrics
 
 
 def fuzzy_score(a: Column, b: Column) -> Column:

@@ -4,6 +4,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import pytest
 from pyspark.sql import functions as F
 
 from aeroscope.functions import fuzzy
@@ -75,11 +76,43 @@ def test_greedy_match_small_and_rounds(spark):
     want = {(g, i, j) for g in (1, 2) for i, j in brute_greedy([x[1:] for x in left if x[0] == g], [x[1:] for x in right if x[0] == g], 0.5)}
     got = {(x["g"], x["i"], x["j"]) for x in matching.greedy_match(l, r, ["g"], 0.5).collect()}
     assert got == want
+    assert {(x["g"], x["i"], x["j"]) for x in matching.greedy_match(l, r, ["g"], 0.5, held=0).collect()} == want
     pairs = l.join(r, "g").select("g", "i", "j", fuzzy.indel_ratio(l["txt"], r["txt"]).alias("score")).where("score >= 0.5")
     rounds = {(x["g"], x["i"], x["j"]) for x in matching.greedy_pairs(pairs, ["g"], small=10).collect()}
     assert rounds == want
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_best_first_is_greedy(seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("ab" if seed % 2 else "abcdeé ") for _ in range(rng.randint(0, 7)))
+    pool = [word() for _ in range(12)]
+    left = [(i, rng.choice(pool) if rng.random() < 0.7 else word()) for i in rng.sample(range(100), 30)]
+    right = [(j, rng.choice(pool) if rng.random() < 0.7 else word()) for j in rng.sample(range(100), 25)]
+    threshold = rng.choice([0.3, 0.5, 0.7, 1.0])
+    found, _ = matching.best_first(matching.Side(*zip(*left)), matching.Side(*zip(*right)), threshold)
+    assert {(i, j) for i, j, _ in found} == brute_greedy(left, right, threshold)
+    text = dict(left), dict(right)
+    assert all(s == fuzzy.ratio_of(text[0][i], text[1][j]) for i, j, s in found)
+
+
+def test_tied_copies_are_one_text_pair(spark):
+    left, right = [(1, i, "climb to level") for i in range(1000)], [(1, j, "climb to levels") for j in range(1000)]
+    l, r = spark.createDataFrame(left, "g int, i long, txt string"), spark.createDataFrame(right, "g int, j long, txt string")
+    got = matching.greedy_match(l, r, ["g"], 0.5).collect()
+    assert {(x["i"], x["j"]) for x in got} == {(i, i) for i in range(1000)}
+    found, scored = matching.best_first(matching.Side(*zip(*[x[1:] for x in left])), matching.Side(*zip(*[x[1:] for x in right])), 0.5)
+    assert scored == 1 and len(found) == 1000
+
+
+def test_few_pairs_are_scored_where_texts_have_near_copies():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("alpha bravo climb level turn heading runway contact tower descend".split()) + str(rng.randint(0, 99)) for _ in range(12)) for _ in range(60)]
+    left, right = list(enumerate(texts)), [(j, t[1:]) for j, t in enumerate(texts)]
+    found, scored = matching.best_first(matching.Side(*zip(*left)), matching.Side(*zip(*right)), 0.5)
+    assert {(i, j) for i, j, _ in found} == brute_greedy(left, right, 0.5) and scored < 60 * 60 / 10
+
+
 def test_clusters(spark):
     random.seed(11)
     edges = [(random.randint(0, 300), random.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)]
