@@ -6,6 +6,7 @@ Record tables carry run, page, chunk, idx; their order is (page, chunk, idx).
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -431,10 +432,7 @@ def first_json(text: Column) -> Column:
 
 
 def _first_balanced(text: Column) -> Column:
-    """First balanced {...} from the left that parses. Strings in either quote hide braces.
-
-    Each opening brace starts a scan of the rest of the text; scanning stops at the first success.
-    """
+    """First balanced {...} from the left that parses. Strings in either quote hide braces, as seen from its first brace."""
     return F.when(text.contains("{"), _scan_texts(text))
 
 
@@ -443,27 +441,65 @@ def _scan_texts(texts: pd.Series) -> pd.Series:
     return texts.map(_scan_balanced)
 
 
+SPECIAL = re.compile(r"[\"'\\{}]")
+
+
+def _merge(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
+    """Two stacks of open braces from now on closed by the same braces: levels meet from the top."""
+    long, short = (a, b) if len(a) >= len(b) else (b, a)
+    for k in range(1, len(short) + 1):
+        many, few = (long[-k], short[-k]) if len(long[-k]) >= len(short[-k]) else (short[-k], long[-k])
+        many += few
+        long[-k] = many
+    return long
+
+
+def balanced_spans(text: str) -> list[tuple[int, int]]:
+    """(first, last) of each opening brace and the brace that closes it, in order of the first, in one pass.
+
+    Whether a brace counts depends on the quotes since the opening one. Readers that began at different braces and
+    are in the same state (outside, in double quotes, in single quotes) go on alike, so one stack per state holds them
+    all; where a quote brings two states together, their stacks are merged.
+    """
+    out_, dq, sq = [], [], []  # stacks of levels; a level has the starts that its closing brace ends
+    escaped, at, spans = None, -1, []  # stacks that skip the character at `at`
+    for m in SPECIAL.finditer(text):
+        pos, c = m.start(), m.group()
+        skipping = escaped if pos == at else None
+        if escaped and not skipping:
+            dq, sq = _merge(dq, escaped[0]), _merge(sq, escaped[1])
+        escaped = None
+        if c == '"':
+            out_, dq = dq, out_
+        elif c == "'":
+            out_, sq = sq, out_
+        elif c == "{":
+            out_.append([pos])
+        elif c == "}":
+            if out_:
+                spans += [(p, pos) for p in out_.pop()]
+        elif dq or sq:
+            escaped, at, dq, sq = (dq, sq), pos + 1, [], []
+        if skipping:
+            dq, sq = _merge(dq, skipping[0]), _merge(sq, skipping[1])
+    return sorted(spans)
+
+
 def _scan_balanced(text: str | None) -> str | None:
-    start = text.find("{") if text else -1
-    while start >= 0:
-        depth, quote, skip = 0, "", False
-        for pos in range(start, len(text)):
-            c = text[pos]
-            if skip:
-                skip = False
-            elif quote:
-                skip = c == "\\"
-                quote = "" if c == quote else quote
-            elif c in "\"'":
-                quote = c
-            elif c in "{}":
-                depth += 1 if c == "{" else -1
-                if depth == 0:
-                    try:
-                        if json.loads(text[start:pos + 1]):
-                            return text[start:pos + 1]
-                    except ValueError:
-                        pass
-                    break
-        start = text.find("{", start + 1)
+    for first, last in balanced_spans(text or ""):
+        if not MEMBER.match(text, first):  # can't be an object with members
+            continue
+        try:
+            if last - first < first:  # an error message looks at all that stands before it
+                end = first + DECODER.raw_decode(text[first : last + 1])[1]
+            else:
+                end = DECODER.raw_decode(text, first)[1]
+        except (ValueError, RecursionError):
+            continue
+        if end == last + 1:
+            return text[first:end]
     return None
+
+
+DECODER = json.JSONDecoder()
+MEMBER = re.compile(r'\{[ \t\n\r]*"')

@@ -1,6 +1,8 @@
 """Sequence scores, matching, clusters and percentiles against plain brute force."""
 
+import json
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -197,6 +199,48 @@ def test_chunk_integrity(spark):
     assert abs(chunk_eval.document_integrity(m, s).first()["boundary_integrity"] - 2 / 3) < 1e-9
 
 
+def quadratic_scan(text):
+    """A scan of the rest of the text from every brace."""
+    start = text.find("{")
+    while start >= 0:
+        depth, quote, skip = 0, "", False
+        for pos in range(start, len(text)):
+            c = text[pos]
+            if skip:
+                skip = False
+            elif quote:
+                skip, quote = c == "\\", "" if c == quote else quote
+            elif c in "\"'":
+                quote = c
+            elif c in "{}":
+                depth += 1 if c == "{" else -1
+                if depth == 0:
+                    try:
+                        if json.loads(text[start : pos + 1]):
+                            return text[start : pos + 1]
+                    except ValueError:
+                        pass
+                    break
+        start = text.find("{", start + 1)
+    return None
+
+
+def test_one_pass_finds_the_same_json():
+    rng = random.Random(18)
+    parts = ["{", "}", '"', "'", "\\", "a", " ", "1", ":", '{"a":1}', "{'b'", '{"c":"}"}', "{}"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert extraction._scan_balanced(text) == quadratic_scan(text), text
+
+
+def test_a_megabyte_of_braces_takes_one_pass():
+    start = time.process_time()
+    for text in ("{" * 1_000_000, "{" * 300_000 + "}" * 300_000, '{"' * 300_000):
+        assert extraction._scan_balanced(text) is None
+    assert extraction._scan_balanced('{\\"\'' * 100_000 + '{"ok": 1}') == '{"ok": 1}'
+    assert time.process_time() - start < 60
+
+
 def test_first_json(spark):
     cases = {
         'x ```json\n{"a": 1}\n``` {"b": 2}': '{"a": 1}',
