@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,29 +141,45 @@ def s7(spark, sf):
     return rd.conversations_by_hour(rows)
 
 
+#: Record tables, their names in extraction pages, and the field of a page record that holds their main text.
+PAGE_RECORDS = {
+    "entity": ("entities", "text"), "relationship": ("relationships", "predicate"), "event": ("events", "trigger_text"),
+    "krule": ("rules", "trigger.description"), "procedure": ("procedures", "name"),
+}
+
+
 def _extraction_files(spark, sf):
-    """Entity and event records of one run as extraction pages."""
-    rec = records(spark, sf)
-    parts = {
-        "entities": rec["entity"].where("run = 'm1'").select("page", "chunk", F.struct("idx", "id", "text", "label", "context").alias("r")),
-        "events": rec["event"].where("run = 'm1'").select("page", "chunk", F.struct("idx", "id", "event_type", "trigger_text", "actors").alias("r")),
+    """All records of all runs as extraction pages: one file per run and page."""
+    rec, parts = records(spark, sf), None
+    fields = {
+        "entity": ["id", "text", "label", "subtype", "context", "formal_definition"],
+        "relationship": ["id", "subject_id", "subject_text", "predicate", "object_id", "object_text", "relation_type"],
+        "event": ["id", "event_type", "trigger_text", "actors", "targets", "phase", "temporal_context"],
+        "krule": ["id", "rule_type", "modality", "severity", "safety_critical", F.struct(F.col("trigger_text").alias("description"), "trigger_entities").alias("trigger"),
+                  F.struct(F.col("if_cond").alias("if_condition"), F.col("then_act").alias("then_action")).alias("formal_if_then")],
+        "procedure": ["id", "name", "purpose", "context", "linked_rules"],
     }
-    grouped = None
-    for k, df in parts.items():
-        g = df.groupBy("page", "chunk").agg(F.array_sort(F.collect_list("r")).alias(k))
-        grouped = g if grouped is None else grouped.join(g, ["page", "chunk"], "full")
+    for name, (key, _) in PAGE_RECORDS.items():
+        rows = rec[name].select("run", "page", "chunk", F.struct("idx", *fields[name]).alias(key))
+        parts = rows if parts is None else parts.unionByName(rows, allowMissingColumns=True)
+    keys = [k for k, _ in PAGE_RECORDS.values()]
+    chunks = parts.groupBy("run", "page", "chunk").agg(*[F.sort_array(F.collect_list(k)).alias(k) for k in keys])
     # empty chunk results keep the chunk numbers in step
-    pages = grouped.groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("chunk", F.struct("entities", "events").alias("ner")))).alias("m"))
-    top = F.array_max(F.map_keys("m"))
-    results = F.transform(F.sequence(F.lit(0), top), lambda i: F.struct(F.try_element_at("m", i).alias("ner")))
-    return put(spark, pages, F.concat(F.lit("pagina_"), F.col("page").cast("int").cast("string"), F.lit(".json")), F.to_json(F.struct(results.alias("sentence_results"))))
+    pages = chunks.groupBy("run", "page").agg(F.map_from_entries(F.collect_list(F.struct("chunk", F.struct(*keys).alias("ner")))).alias("m"))
+    results = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("m"))), lambda i: F.struct(F.try_element_at("m", i).alias("ner")))
+    path = scratch(spark, "files")
+    name = F.concat(F.lit("pagina_"), F.col("page").cast("int").cast("string"), F.lit(".json"))
+    pages.select("run", name.alias("name"), F.to_json(F.struct(results.alias("sentence_results"))).alias("value")).repartition("run", "name").write.partitionBy("run", "name").text(path)
+    return path
 
 
-@query("S8_extractions", """SELECT 'entity' AS kind, page, chunk, id, text FROM entity WHERE run = 'm1' UNION ALL SELECT 'event', page, chunk, id, trigger_text FROM event WHERE run = 'm1'""")
+@query("S8_extractions", " UNION ALL ".join(
+    f"SELECT '{name}' AS kind, run, page, chunk, id, {'trigger_text' if name == 'krule' else text} AS text FROM {name}" for name, (_, text) in PAGE_RECORDS.items()
+))
 def s8(spark, sf):
     t = rd.read_extractions(spark, _extraction_files(spark, sf))
-    e = t["entities"].select(F.lit("entity").alias("kind"), "page", "chunk", "id", "text")
-    return e.unionByName(t["events"].select(F.lit("event").alias("kind"), "page", "chunk", "id", F.col("trigger_text").alias("text")))
+    rows = [t[key].select(F.lit(name).alias("kind"), "run", "page", "chunk", "id", F.col(text).alias("text")) for name, (key, text) in PAGE_RECORDS.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query("S9_errors", """SELECT 'run1' AS run, doc_id::double AS page, 'wrong_prefix' AS type, lang AS item_id, (doc_id % 4)::int AS chunk_index FROM documents""")
@@ -218,15 +236,15 @@ def s14(spark, sf):
     return rd.read_cases(spark, put(spark, cases, F.format_string("case%d.json", "case_id"), value))[1]
 
 
-@query("S15_rules", "SELECT id, rule_type, severity, trigger_text, if_cond FROM krule WHERE run = 'gt'")
+@query("S15_rules", "SELECT id, rule_type, severity, trigger_text, if_cond FROM krule")
 def s15(spark, sf):
-    k = records(spark, sf)["krule"].where("run = 'gt'")
+    k = records(spark, sf)["krule"]
     rule = F.array(F.struct(
         "id", "rule_type", "severity", F.struct(F.col("trigger_text").alias("description")).alias("trigger"),
         F.struct(F.col("if_cond").alias("if_condition")).alias("formal_if_then"),
     ))
     value = F.when(F.col("seq") % 2 == 0, F.to_json(rule)).otherwise(F.to_json(F.struct(rule.alias("rules"))))
-    out = rd.read_rule_list(spark, put(spark, k, F.col("id"), value))
+    out = rd.read_rule_list(spark, put(spark, k, F.format_string("%s_%d", "run", "seq"), value))
     return out.select("id", "rule_type", "severity", F.col("trigger.description").alias("trigger_text"), F.col("formal_if_then.if_condition").alias("if_cond"))
 
 
@@ -268,12 +286,10 @@ def s17_stem(spark, sf):
     return rd.map_media(truth, media, "stem").select("sample_id")
 
 
-@query("S18_pairs", "SELECT DISTINCT p_brand AS dataset FROM part WHERE p_size % 2 = 0 INTERSECT SELECT DISTINCT p_brand FROM part WHERE p_size % 5 = 0")
+@query("S18_pairs", "SELECT p_brand AS dataset FROM part GROUP BY p_brand HAVING count(DISTINCT p_size % 3 = 0) = 2")
 def s18(spark, sf):
-    p = table(spark, sf, "part")
-    files = p.where("p_size % 2 = 0").select(F.concat(F.lit("/x/ground_truth_"), "p_brand", F.lit(".csv")).alias("path")).unionByName(
-        p.where("p_size % 5 = 0").select(F.concat(F.lit("/x/transcription_"), "p_brand", F.lit(".csv")).alias("path"))
-    ).distinct()
+    kind = F.when(F.col("p_size") % 3 == 0, "ground_truth_").otherwise("transcription_")
+    files = table(spark, sf, "part").select(F.concat(F.lit("/x/"), kind, "p_brand", F.lit(".csv")).alias("path")).distinct()
     return rd.dataset_pairs(files).select("dataset")
 
 

@@ -202,9 +202,12 @@ sc AS (SELECT iv.instr_id, cd.rule_id, cd.rule_seq, coalesce(list_dot_product(iv
 rk AS (SELECT *, row_number() OVER (PARTITION BY instr_id ORDER BY score DESC, rule_seq) AS rank FROM sc QUALIFY rank <= 5)"""
 
 
-def _generic(spark, sf):
-    k = _rules(spark, sf).where("run = 'gt'")
+def _generic(spark, sf, run="gt"):
+    """Rules of one run, or of all."""
+    k = _rules(spark, sf)
+    k = k if run is None else k.where(F.col("run") == run)
     return k.select(
+        "run",
         F.col("id").alias("rule_id"), F.col("trigger_text").alias("raw_trigger"), F.col("constraint_text").alias("raw_constraint"),
         F.col("if_cond").alias("description"), F.lit("").alias("category"), F.col("seq").alias("ord"),
     )
@@ -254,10 +257,10 @@ def f5(spark, sf):
     return pf.prefilter(i, _generic(spark, sf), r, table(spark, sf, "rule_verdict"), 5).select("instr_id", "rule_id", "rank")
 
 
-@query("F6_hash", """WITH h AS (SELECT seq, md5(id || ':' || trigger_text || ':' || constraint_text || ':' || if_cond) AS h FROM krule WHERE run = 'gt'),
-b AS (SELECT seq // 4096 AS b, md5(string_agg(h, '' ORDER BY seq)) AS h FROM h GROUP BY 1) SELECT md5(string_agg(h, '' ORDER BY b)) AS rules_hash FROM b""")
+@query("F6_hash", """WITH h AS (SELECT run, seq, md5(id || ':' || trigger_text || ':' || constraint_text || ':' || if_cond) AS h FROM krule),
+b AS (SELECT run, seq // 4096 AS b, md5(string_agg(h, '' ORDER BY seq)) AS h FROM h GROUP BY 1, 2) SELECT run, md5(string_agg(h, '' ORDER BY b)) AS rules_hash FROM b GROUP BY run""")
 def f6(spark, sf):
-    return pf.rules_hash(_generic(spark, sf))
+    return pf.rules_hash(_generic(spark, sf, None), ["run"])
 
 
 # ---- X: extraction ----------------------------------------------------------------------------------
@@ -433,9 +436,12 @@ def x10(spark, sf):
     return ex.contract_breaks(records(spark, sf))
 
 
-@query("X11_resume", "SELECT doc_id AS page, CASE WHEN doc_id < 100 THEN 'context' ELSE 'process' END AS role FROM documents WHERE doc_id <= 800")
+@query("X11_resume", """SELECT doc_id AS page, CASE WHEN doc_id < (SELECT floor(max(doc_id) / 8.0) FROM documents) THEN 'context' ELSE 'process' END AS role FROM documents
+WHERE doc_id <= (SELECT max(doc_id) FROM documents)""")
 def x11(spark, sf):
-    return ex.resume_window(table(spark, sf, "documents").select(F.col("doc_id").cast("double").alias("page")), 100.0, 800.0).select(F.col("page").cast("bigint").alias("page"), "role")
+    pages = table(spark, sf, "documents").select(F.col("doc_id").cast("double").alias("page"))
+    final = pages.agg(F.max("page")).first()[0]
+    return ex.resume_window(pages, float(final // 8), final).select(F.col("page").cast("bigint").alias("page"), "role")
 
 
 @query("X12_lines", """SELECT doc_id, count(*) AS n, sum(length(s)) AS chars FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS s FROM documents) WHERE s <> '' GROUP BY 1""")

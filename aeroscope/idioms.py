@@ -102,6 +102,40 @@ def running(
     )
 
 
+def carry(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    values: Mapping[str, Column],
+    block: int = 1_000_000,
+    before: bool = False,
+) -> DataFrame:
+    """Last non-null value at each row or before it (`before`: only before it), over a numeric order unique inside its key.
+
+    A prefix scan in two levels: the last value of each block of `block` order values is found by an aggregate and
+    carried over the blocks, then filled inside one block, so no task sees more than a block's rows of a hot key.
+    """
+    keys = list(keys)
+    rows = df.withColumn("block", F.floor(F.col(order) / F.lit(block)).cast("bigint"))
+    for n, c in values.items():
+        rows = rows.withColumn(f"in_{n}", c)
+    per_block = rows.groupBy(*keys, "block").agg(
+        *[F.max_by(f"in_{n}", F.when(F.col(f"in_{n}").isNotNull(), F.col(order))).alias(f"t_{n}") for n in values]
+    )
+    earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_block.select(*keys, "block", *[F.last(f"t_{n}", True).over(earlier).alias(f"o_{n}") for n in values])
+    inside = Window.partitionBy(*keys, "block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    local = rows.select(*df.columns, "block", *[F.last(f"in_{n}", True).over(inside).alias(f"r_{n}") for n in values])
+    left, right = local.alias("l"), offsets.alias("r")
+    same = F.col("l.block") == F.col("r.block")
+    for k in keys:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    return left.join(right, same, "left").select(
+        *[F.col(f"l.{c}") for c in df.columns],
+        *[F.coalesce(F.col(f"l.r_{n}"), F.col(f"r.o_{n}")).alias(n) for n in values],
+    )
+
+
 def pair_ranges(
     left: DataFrame,
     right: DataFrame,

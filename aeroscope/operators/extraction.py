@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aeroscope.idioms import latest, running, top_k_cosine
+from aeroscope.idioms import carry, latest, running, top_k_cosine
 
 # Record types in processing order, their id prefixes, and the prefix each reference needs.
 PREFIXES = {"entity": "E", "relationship": "R", "event": "EV", "krule": "RULE", "procedure": "P"}
@@ -365,11 +365,11 @@ def carry_last(chunks: DataFrame, next_page: Column | None = None) -> DataFrame:
     )
 
 
-def carried_text(chunks: DataFrame) -> DataFrame:
-    """Text carried into each page: the last chunk of the page before it (one row per page enters the window)."""
+def carried_text(chunks: DataFrame, block: int = 100_000) -> DataFrame:
+    """Text carried into each page: the last chunk of the page before it, found block by block of page numbers."""
     last = chunks.groupBy("run", "page").agg(F.max_by("text", "chunk").alias("text"))
-    w = Window.partitionBy("run").orderBy("page")
-    return last.select("run", "page", F.lag("text").over(w).alias("carried"))
+    found = carry(last, ["run"], "page", {"previous": F.struct("text")}, block, before=True)
+    return found.select("run", "page", F.col("previous.text").alias("carried"))
 
 
 def prefer_external(pages: DataFrame, external: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ instruction.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,8 +120,8 @@ def prefilter(
     return keep_relevant(out, verdicts) if use_verdicts else out
 
 
-def rules_hash(rules: DataFrame) -> DataFrame:
-    """Content hash of a rule set in rule order, to reuse vectors.
+def rules_hash(rules: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Content hash of a rule set in rule order (of each one where `by` tells sets apart), to reuse vectors.
 
     Rules are hashed one by one; blocks of hashes are folded in order, so no task joins all rule texts.
     """
@@ -127,9 +129,9 @@ def rules_hash(rules: DataFrame) -> DataFrame:
         ":", "rule_id", F.coalesce("raw_trigger", F.lit("None")), F.coalesce("raw_constraint", F.lit("None")),
         F.coalesce("description", F.lit("None")),
     )
-    hashed = rules.select(F.md5(part).alias("h"), "ord", F.floor(F.col("ord") / 4096).alias("b"))
-    blocks = hashed.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("ord", "h"))).alias("x"))
-    folded = blocks.select("b", F.md5(F.array_join("x.h", "")).alias("h"))
-    return folded.agg(F.array_sort(F.collect_list(F.struct("b", "h"))).alias("x")).select(
-        F.md5(F.array_join("x.h", "")).alias("rules_hash")
+    hashed = rules.select(*by, F.md5(part).alias("h"), "ord", F.floor(F.col("ord") / 4096).alias("b"))
+    blocks = hashed.groupBy(*by, "b").agg(F.array_sort(F.collect_list(F.struct("ord", "h"))).alias("x"))
+    folded = blocks.select(*by, "b", F.md5(F.array_join("x.h", "")).alias("h"))
+    return folded.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("b", "h"))).alias("x")).select(
+        *by, F.md5(F.array_join("x.h", "")).alias("rules_hash")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from aeroscope.idioms import carry
 from aeroscope.operators.traffic import coerce_enums
 
 CSV = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
@@ -115,20 +116,18 @@ def read_info(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def conversations_by_hour(rows: DataFrame) -> DataFrame:
+def conversations_by_hour(rows: DataFrame, block: int = 1_000_000) -> DataFrame:
     """Transcript rows (file, pos, hour, speaker, text) to one text per file and hour.
 
     Headers and rows without speaker are skipped, the hour is filled down, a repeated hour starts anew (the
-    last run counts). A file is one recording, so its rows fit one window.
+    last run counts). A long file is filled block by block of positions.
     """
     kept = rows.where((F.coalesce("hour", F.lit("")) != "Hora UTC") & (F.coalesce("speaker", F.lit("")) != ""))
     named = F.coalesce("hour", F.lit("")) != ""
-    w = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = kept.select(
-        "file", "pos", "text",
-        F.translate(F.last(F.when(named, F.col("hour")), True).over(w), ".", ":").alias("at"),
-        F.sum(named.cast("int")).over(w).alias("run"),
-    ).where("at is not null")
+    begun = carry(kept, ["file"], "pos", {"begun": F.when(named, F.struct("hour", "pos"))}, block)
+    filled = begun.where("begun IS NOT NULL").select(
+        "file", "pos", "text", F.translate("begun.hour", ".", ":").alias("at"), F.col("begun.pos").alias("run")
+    )
     runs = filled.groupBy("file", "at", "run").agg(
         F.array_sort(F.collect_list(F.when(F.coalesce("text", F.lit("")) != "", F.struct("pos", "text")))).alias("t")
     )

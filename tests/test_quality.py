@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aeroscope.functions import fuzzy
-from aeroscope.idioms import running, top_k_cosine
+from aeroscope.idioms import carry, running, top_k_cosine
 from aeroscope.operators import alert_eval, asr_eval, chunk_eval, extraction, kex_eval, matching
 
 
@@ -308,3 +308,15 @@ def test_ids_that_repeat_over_pages(spark):
     assert got == {1.0: ["one"], 2.0: ["two", "one"]}
     texts = {x["page"]: x["resolved_text"] for x in knowledge.resolve_text(rules, "said", entities, none).collect()}
     assert texts == {1.0: 'see "one"', 2.0: 'see "one" and "two"'}
+
+
+def test_carry_over_blocks(spark):
+    rng = random.Random(4)
+    rows = [(k, p, rng.choice([None, None, None, f"v{k}{p}"])) for k in ("a", None, "b") for p in rng.sample(range(-50, 400), 120)]
+    df = spark.createDataFrame(rows, "k string, p bigint, v string")
+    for block in (7, 50, 10_000):
+        for before in (False, True):
+            got = {(r.k, r.p): r.last for r in carry(df, ["k"], "p", {"last": F.col("v")}, block, before).collect()}
+            for k, p, _ in rows:
+                seen = [v for q, v in sorted((q, v) for key, q, v in rows if key == k and v and (q < p or q == p and not before))]
+                assert got[k, p] == (seen[-1] if seen else None)
