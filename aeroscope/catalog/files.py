@@ -36,7 +36,7 @@ FROM m CROSS JOIN f LEFT JOIN w ON w.role = m.role AND w.turn = f.turn"""
 @query("S1_wide", LONG_SQL)
 def s1(spark, sf):
     path = scratch(spark, "wide")
-    wr.write_wide(wr.wide_results(_turns(spark, sf)), path)
+    wr.write_wide_rows(_turns(spark, sf), path)
     return rd.read_transcripts(spark, path)
 
 
@@ -305,9 +305,8 @@ def s18_runs(spark, sf):
 @query("W1_wide", f"""WITH {WIDE_SQL} SELECT m.role AS model, count(*) AS files, count(*) FILTER (coalesce(text, '') = '') AS missing, sum(length(coalesce(text, ''))) AS chars
 FROM m CROSS JOIN f LEFT JOIN w ON w.role = m.role AND w.turn = f.turn GROUP BY 1""")
 def w1(spark, sf):
-    wide = wr.wide_results(_turns(spark, sf))
-    cells = F.array(*[F.col(f"`{c}`") for c in wide.columns if c != "model"])
-    return wide.select(
+    cells = F.col("cells")
+    return wr.wide_rows(_turns(spark, sf)).select(
         "model", F.size(cells).cast("bigint").alias("files"), F.size(F.filter(cells, lambda c: c == "")).cast("bigint").alias("missing"),
         F.aggregate(cells, F.lit(0).cast("bigint"), lambda a, c: a + F.length(c)).alias("chars"),
     )
@@ -339,8 +338,7 @@ def w4(spark, sf):
     t.where("seq % 2 = 0").write.json(f"{base}/p1")
     t.where("seq % 2 = 1").write.json(f"{base}/p2")
     wide = wr.merge_checkpoints(spark, f"{base}/p*")
-    cells = F.array(*[F.col(f"`{c}`") for c in wide.columns if c != "model"])
-    return wide.select("model", F.size(F.filter(cells, lambda c: c != "")).cast("bigint").alias("filled"))
+    return wide.select("model", F.size(F.filter("cells", lambda c: c != "")).cast("bigint").alias("filled"))
 
 
 @query("W5_pages", "SELECT run, page::int AS page, count(*) AS n FROM entity GROUP BY 1, 2")

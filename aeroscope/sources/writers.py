@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from aeroscope.idioms import join_nulls
+
 CSV = {"header": "true", "escape": '"', "quote": '"'}
 
 
@@ -17,6 +20,41 @@ def wide_results(results: DataFrame, files: Sequence[str] | None = None) -> Data
     return wide.select("model", *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names])
 
 
+def wide_rows(results: DataFrame) -> DataFrame:
+    """Rows (model, cells) of the wide table: one text per file in name order; the later duplicate wins, missing is ''.
+
+    Assembled from long rows, without a column per file: as many files as a row can hold, and no list of them on the driver.
+    """
+    found = results.groupBy("model", "file").agg(F.max_by("text", "seq").alias("text"))
+    names = results.select("file").where("file IS NOT NULL").distinct().agg(F.collect_list("file")).scalar()
+    grid = results.select("model").distinct().select("model", F.explode(names).alias("file"))
+    cells = join_nulls(grid, found, ["model", "file"], "left")
+    return cells.groupBy("model").agg(F.sort_array(F.collect_list(F.struct("file", F.coalesce("text", F.lit("")).alias("text")))).alias("c")).select(
+        "model", F.col("c.text").alias("cells")
+    )
+
+
+def csv_line(values: Column) -> Column:
+    """An array of texts as one line."""
+    quoted = lambda v: F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.array_join(F.transform(values, lambda v: F.when(v.rlike('[",\\r\\n]'), quoted(v)).otherwise(v)), ",")
+
+
+def write_wide_rows(results: DataFrame, path: str, first: str = "model") -> None:
+    """The wide table as CSV: every part of the output has the header and some models' rows, written as they come."""
+    names = results.select("file").where("file IS NOT NULL").distinct().agg(F.sort_array(F.collect_list("file")).alias("names"))
+    (header,) = names.select(csv_line(F.concat(F.array(F.lit(first)), "names"))).first()  # the line that every part begins with
+
+    def lines(batches):
+        kind = pa.schema([("value", pa.string())])
+        yield pa.record_batch([pa.array([header])], schema=kind)
+        for batch in batches:
+            yield pa.record_batch(batch.columns, schema=kind)
+
+    rows = wide_rows(results).select(csv_line(F.concat(F.array(F.coalesce("model", F.lit(""))), "cells")).alias("value"))
+    rows.mapInArrow(lines, "value string").write.mode("overwrite").option("lineSep", "\n").text(path)
+
+
 def write_wide(df: DataFrame, path: str) -> None:
     df.write.options(**CSV).mode("overwrite").csv(path)
 
@@ -38,10 +76,10 @@ def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def merge_checkpoints(spark: SparkSession, pattern: str, files: Sequence[str] | None = None) -> DataFrame:
-    """Many checkpoint folders to one wide table; empty texts are skipped."""
+def merge_checkpoints(spark: SparkSession, pattern: str) -> DataFrame:
+    """Many checkpoint folders to the rows of one wide table; empty texts are skipped."""
     rows = spark.read.schema("model string, file string, text string, seq bigint").json(pattern)
-    return wide_results(rows.where(F.coalesce("text", F.lit("")) != ""), files)
+    return wide_rows(rows.where(F.coalesce("text", F.lit("")) != ""))
 
 
 def write_pages(df: DataFrame, path: str) -> None:
