@@ -26,7 +26,7 @@ LEAST, TOP, UNIT = 10, 10, 1_000_000_000
 #: Terms of a tile, and sources of a block: a task compares two blocks of sources in one tile.
 TILE, SIDE = 2048, 32
 #: Entries that a task counts before it hands them on, and bytes of a text taken at once.
-HELD, SLICE = 300_000, 1 << 22
+HELD, SLICE = 500_000, 1 << 22
 #: A-Z to lower case, everything else below 128 that isn't a letter to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -49,49 +49,47 @@ def count_terms(df: DataFrame, text_col: str, lang_col: str, source_col: str, le
     """Counts of each task (COUNTED), of three kinds.
 
     Rows with docs have the documents of a term in the task; the counts per source are with them if the documents are
-    fewer than `least`. If not, the term is kept for sure, and its counts come in rows of their own, without docs. So
+    fewer than `least`. If not, the term is kept for sure, and its counts come in a row of their own, without docs. So
     no term gathers more than one short row a task where its documents are added up. Rows without a term name groups.
     """
     group = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"))]
     rows = df.select(*group, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
-    def table(rows: list[tuple[str, bytes | None, int | None, list[tuple[str, int]]]]) -> pa.RecordBatch:
-        langs, words, docs, found = zip(*rows)
-        flat = [x for part in found for x in part]
-        sources = pa.StructArray.from_arrays([pa.array([x for x, _ in flat], pa.string()), pa.array([n for _, n in flat], pa.int64())], ["source", "n"])
-        ends = pa.array(np.concatenate([[0], np.cumsum([len(part) for part in found])]), pa.int32())
-        return pa.record_batch({
-            "lang": pa.array(langs, pa.string()), "term": pa.array(words, pa.binary()).cast(pa.string()), "docs": pa.array(docs, pa.int64()),
-            "sources": pa.ListArray.from_arrays(ends, sources),
+    def table(lang: str, words: pa.Array, docs: pa.Array, ends: np.ndarray, names: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sources = pa.StructArray.from_arrays([names, pa.array(n, pa.int64())], ["source", "n"])
+        out = pa.record_batch({
+            "lang": pa.array([lang], pa.string()).take(pa.array(np.zeros(len(words), dtype=np.int32))), "term": words, "docs": docs,
+            "sources": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), sources),
         })
+        for at in range(0, out.num_rows, 20_000):
+            yield out.slice(at, 20_000)
+
+    def tables(lang: str, docs: Counter, sources: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        place = dict(zip(docs, range(len(docs))))
+        words, names = pa.array(list(docs), pa.binary()).cast(pa.string()), pa.array(list(sources), pa.string())
+        in_docs = np.fromiter(docs.values(), dtype=np.int64, count=len(docs))
+        term = np.concatenate([np.fromiter(map(place.__getitem__, c), dtype=np.int64, count=len(c)) for c in sources.values()])
+        n = np.concatenate([np.fromiter(c.values(), dtype=np.int64, count=len(c)) for c in sources.values()])
+        source = np.repeat(np.arange(len(sources)), [len(c) for c in sources.values()])
+        none = lambda kind, size: pa.nulls(size, kind)
+        yield from table(lang, none(pa.string(), len(names)), none(pa.int64(), len(names)), np.arange(len(names) + 1), names, np.zeros(len(names), dtype=np.int64))
+        order = np.argsort(term, kind="stable")
+        for kept_for_sure in (True, False):
+            which = order[(in_docs[term[order]] >= least) == kept_for_sure]
+            each = np.bincount(term[which], minlength=len(docs))
+            rows = np.flatnonzero(each) if kept_for_sure else np.arange(len(docs))
+            ends = np.concatenate([[0], np.cumsum(each[rows])])
+            own = none(pa.int64(), len(rows)) if kept_for_sure else pa.array(in_docs)
+            yield from table(lang, words.take(pa.array(rows)), own, ends, names.take(pa.array(source[which])), n[which])
 
     def count(batches):
         seen: dict[str, tuple[Counter, dict[str, Counter]]] = {}
         held = 0
 
         def flush():
-            out: list[tuple] = []
             while seen:
                 lang, (docs, sources) = seen.popitem()
-                few: dict[bytes, list[tuple[str, int]]] = {}
-                for source, counts in sources.items():
-                    out.append((lang, None, None, [(source, 0)]))
-                    for term, n in counts.items():
-                        if docs[term] < least:
-                            few.setdefault(term, []).append((source, n))
-                        else:
-                            out.append((lang, term, None, [(source, n)]))
-                    if len(out) > 20_000:
-                        yield table(out)
-                        out = []
-                sources.clear()
-                for term, n in docs.items():
-                    out.append((lang, term, n, few.get(term, [])))
-                    if len(out) > 20_000:
-                        yield table(out)
-                        out = []
-            if out:
-                yield table(out)
+                yield from tables(lang, docs, sources)
 
         for batch in batches:
             for lang, source, text in zip(*map(pa.Array.to_pylist, batch.columns)):
