@@ -26,7 +26,7 @@ from aeroscope.llm.common import map_arrow, saved
 CHARS, COUNT, RATIO = 6, 5, 5
 #: Of so many runs of a document, one loses a letter.
 EVERY = 199
-#: Words of a cell, words that a search compares at once, and words that the trees are made from.
+#: Words of a cell, words that a search compares at once, and about how many words the trees are made from.
 CELL, LEAF, SAMPLE = 4096, 64, 50_000
 #: Entries that a task counts before it hands them on, and characters of a text taken at once.
 HELD, SLICE = 400_000, 1 << 22
@@ -237,20 +237,23 @@ def search(table: pa.Table) -> pa.Table:
 
 
 def trees(words: DataFrame, cell: int, sample: int) -> dict[int, KdTree]:
-    """A tree for each length that has more than `cell` words, from the words with the smallest hashes."""
+    """A tree for each length that has more than `cell` words, from those whose hash is in the first part of about `sample`."""
     sizes = {r["length"]: r["n"] for r in words.groupBy(F.length("word").alias("length")).agg(F.count("*").alias("n")).where(F.col("n") > cell).collect()}
     total = sum(sizes.values())
-    large = words.where(F.length("word").isin(list(sizes)))
-    taken = [r["word"] for r in large.orderBy(F.xxhash64("word"), "word").select("word").limit(sample).collect()] if sizes else []
-    by_length: dict[int, list[str]] = {}
-    for w in taken:
-        by_length.setdefault(len(w), []).append(w)
-    return {n: KdTree(vectors(codes(ws)), cell * len(taken) / total) for n, ws in by_length.items()}
+    if not total:
+        return {}
+    first = F.shiftrightunsigned(F.xxhash64("word"), 1) <= int(min(1.0, sample / total) * ((1 << 63) - 1024))
+    by_length: dict[int, list[str]] = {n: [] for n in sizes}
+    for r in words.where(F.length("word").isin(list(sizes)) & first).select("word").collect():
+        by_length[len(r["word"])].append(r["word"])
+    taken = sum(map(len, by_length.values()))
+    return {n: KdTree(vectors(codes(sorted(ws))), cell * taken / total) for n, ws in by_length.items() if ws}
 
 
 def near_words(words: DataFrame, cell: int = CELL, sample: int = SAMPLE) -> DataFrame:
     """word, n_near, best (struct less, word: minus the occurrences of its most frequent near word, and that word), where any."""
     spark = words.sparkSession
+    words = words.repartition(1 + words.count() // CELL, "word")  # small rows with much work each
     splits = spark.sparkContext.broadcast(trees(words, cell, sample))  # about a node per cell
 
     def leaves(batch: pa.RecordBatch, up_to: int) -> Iterator[tuple[list[str], np.ndarray, int, int, np.ndarray]]:
