@@ -33,6 +33,8 @@ FORMAT = "media_archive"
 UNIT = 192
 #: Bytes after which a task begins another archive, of one read range, and of one batch.
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 256 << 20, 32 << 20, 4 << 20
+#: Members at which an archive ends: the writer and each reader of a range hold its directory in memory.
+ARCHIVE_MEMBERS = 50_000
 ATTEMPTS = 3
 RATE = 8000
 HEADER = 44
@@ -85,7 +87,7 @@ class ArchiveWriter:
         self.members += 1
 
     def full(self) -> bool:
-        return self.zip is not None and self.bytes >= ARCHIVE_BYTES
+        return self.zip is not None and (self.bytes >= ARCHIVE_BYTES or self.members >= ARCHIVE_MEMBERS)
 
     def close(self) -> tuple[str, int] | None:
         """Path and members of the archive that this ends."""

@@ -63,3 +63,15 @@ def test_member_is_retried_by_offset(tmp_path):
     with pytest.raises(zipfile.BadZipFile):
         media.read_member(store, path, second)
     assert media.read_member(store, path, first) == b"one" * 50
+
+
+def test_an_archive_ends_at_its_members(tmp_path, monkeypatch):
+    monkeypatch.setattr(media, "ARCHIVE_MEMBERS", 3)
+    writer = media.ArchiveWriter(f"file://{tmp_path}", 0)
+    found = []
+    for i in range(7):
+        writer.add(f"={i}", "1", b"x")
+        if writer.full():
+            found.append(writer.close())
+    found.append(writer.close())
+    assert [n for _, n in found] == [3, 3, 1] and len({p for p, _ in found}) == 3
