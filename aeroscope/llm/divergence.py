@@ -194,7 +194,8 @@ def compare(table: pa.Table) -> pa.Table:
 
 def probability(n: str | Column, size: str) -> Column:
     """1 + floor(UNIT (n + 2) / (size + 2 kept)), exact for counts of any size."""
-    return F.expr(f"1 + (CAST({UNIT} AS decimal(10,0)) * CAST({n} + 2 AS decimal(20,0))) div CAST({size} + 2 * kept AS decimal(20,0))")
+    wide = f"(CAST({UNIT} AS decimal(10,0)) * CAST({n} + 2 AS decimal(20,0))) div CAST({size} + 2 * kept AS decimal(20,0))"
+    return F.expr(f"1 + CASE WHEN {n} < 9000000000 THEN ({UNIT}L * ({n} + 2)) div ({size} + 2 * kept) ELSE {wide} END")  # 64 bits hold the former
 
 
 def audit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least: int = LEAST, top: int = TOP, tile: int = TILE) -> DataFrame:
@@ -213,8 +214,9 @@ def audit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_
     path = scratch(spark, "divergence-counts")
     count_terms(df, text_col, lang_col, source_col, least).write.parquet(path)
     counted = spark.read.schema(COUNTED).parquet(path)
-    in_all = F.sum("docs").over(Window.partitionBy("lang", "term"))
-    some = counted.where("term IS NOT NULL AND docs IS NOT NULL").withColumn("in_all", in_all).where(F.col("in_all") >= least)
+    in_docs = counted.where("term IS NOT NULL AND docs IS NOT NULL")
+    enough = in_docs.groupBy("lang", "term").agg(F.sum("docs").alias("in_all")).where(F.col("in_all") >= least).select("lang", "term")
+    some = in_docs.where(F.size("sources") > 0).join(enough, ["lang", "term"], "left_semi")
     sure = counted.where("term IS NOT NULL AND docs IS NULL")
     each = some.select("lang", "term", F.inline("sources")).unionByName(sure.select("lang", "term", F.inline("sources")))
     rows = saved(each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "divergence-terms")
