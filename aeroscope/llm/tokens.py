@@ -10,19 +10,18 @@ import gc
 import json
 import os
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 
 #: Words of a generation: when there are more, those not met in the next one are forgotten.
 KNOWN = 500_000
-#: Words that the tokenizer is asked for at once, and bytes from which a text is cut.
-LEARNT, SLICE = 20_000, 16 << 20
+#: Words that the tokenizer is asked for at once.
+LEARNT = 20_000
 #: Last of the Latin, Greek and Cyrillic letters that all versions of Unicode in use have.
 TRUSTED = "\u052f"
 
@@ -98,67 +97,38 @@ def encoder(path: str) -> Callable[[list[str] | pa.Array], list[bytes]]:
             return [word[:-1], word[-1]]
         return pieces(word)
 
-    def known_ids(found: list[str]) -> list[bytes]:
-        """Ids of distinct words."""
-        nonlocal before
-        if len(known) > KNOWN:
-            before = known.copy()
-            known.clear()
-            parts.clear()
-        known[""] = b""
-        out = list(map(known.get, found))
-        places = [k for k, ids in enumerate(out) if ids is None]
-        for k in places:
-            if found[k] in before:
-                known[found[k]] = before[found[k]]
-        new = [w for w in map(found.__getitem__, places) if w not in known]
-        for at in range(0, len(new), LEARNT):
-            learn(new[at : at + LEARNT])
-        for k in places:
-            out[k] = known[found[k]]
-        return out
-
-    def encode_plain(texts: pa.Array) -> list[bytes]:
-        """Of texts without special tokens: words are numbered by Arrow, and only distinct ones are looked up."""
-        lists = pc.utf8_split_whitespace(texts)
-        codes = lists.flatten().dictionary_encode()
-        found = known_ids(codes.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in found], dtype=np.int64) // 4
-        pool = np.frombuffer(b"".join(found), dtype="<u4")
-        word = codes.indices.to_numpy(zero_copy_only=False)
-        size = sizes[word]
-        ends = np.cumsum(size)
-        first = (np.cumsum(sizes) - sizes)[word]
-        raw = pool[np.repeat(first - (ends - size), size) + np.arange(len(size) and ends[-1])].tobytes()
-        bounds = (4 * np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]).tolist()
-        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
-
     def encode(texts: list[str] | pa.Array) -> list[bytes]:
-        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
-        special = np.zeros(len(texts), dtype=bool)
-        for s in whole_only:
-            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-        large = pc.binary_length(texts).to_numpy(zero_copy_only=False) > SLICE
+        texts = texts if isinstance(texts, list) else texts.to_pylist()
         collects = gc.isenabled()
         gc.disable()  # new words are many small lists without cycles
         try:
-            out = encode_plain(pc.if_else(pa.array(special | large), "", texts))
-            for i in np.flatnonzero(special | large).tolist():
-                text = texts[i].as_py()
-                out[i] = to_bytes(whole.encode(text, add_special_tokens=False).ids) if special[i] else b"".join(chain.from_iterable(map(encode_plain, slices(text))))
+            return [ids_of(text) for text in texts]
         finally:
             if collects:
                 gc.enable()
-        return out
-
-    return encode
 
+    def ids_of(text: str) -> bytes:
+        nonlocal before
+        if any(s in text for s in whole_only):
+            return to_bytes(whole.encode(text, add_special_tokens=False).ids)
+        if len(known) > KNOWN:
+            before = known.copy()
+            known.clear()
+            parts.clear()
+        known[""] = b""
+        split = text.split(" ") if text.isascii() and text.isprintable() else text.split()
+        found = list(map(known.get, split))
+        if None in found:
+            places = [k for k, ids in enumerate(found) if ids is None]
+            new = dict.fromkeys([split[k] for k in places])
+            for w in [w for w in new if w in before]:
+                known[w] = before[w]
+                del new[w]
+            new = list(new)
+            for at in range(0, len(new), LEARNT):
+                learn(new[at : at + LEARNT])
+            for k in places:
+                found[k] = known[split[k]]
+        return b"".join(found)
 
-def slices(text: str) -> Iterator[pa.Array]:
-    """A long text, cut at white space."""
-    at = 0
-    while at < len(text):
-        cut = regex.compile(r"\s").search(text, at + SLICE // 4)
-        end = cut.start() if cut else len(text)
-        yield pa.array([text[at:end]])
-        at = end
+    return encode

@@ -92,7 +92,6 @@ def test_ids_of_all_scripts_and_long_texts(monkeypatch):
     expected = [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
     assert tokens.encoder(VOCABULARY)(texts) == expected
     tokens.encoder.cache_clear()
-    monkeypatch.setattr(tokens, "SLICE", 4000)
     monkeypatch.setattr(tokens, "KNOWN", 100)
     monkeypatch.setattr(tokens, "LEARNT", 7)
     assert [x for i in range(0, len(texts), 50) for x in tokens.encoder(VOCABULARY)(texts[i : i + 50])] == expected
