@@ -179,3 +179,12 @@ def test_fallback_and_affected(spark):
     )
     got = {(r["affected"], r["affected_raw"]) for r in alerts.to_alerts(v).collect()}
     assert got == {("A,B", "A,B"), ("A,C", "")}
+
+
+def test_headings_round_half_to_even(spark, tmp_path):
+    from aeroscope.catalog import safety
+
+    rows = [(1, 72.1), (2, 72.3), (3, -0.1), (4, -0.3)]  # 360.5, 361.5, -0.5, -1.5 degrees
+    spark.createDataFrame(rows, "event_id long, value double").withColumn("user_id", F.lit(50)).write.parquet(f"{tmp_path}/events.parquet")
+    found = {r.event_id for r in safety.t5(spark, str(tmp_path)).collect() if r.broken == "heading_range"}
+    assert found == {2, 4}
