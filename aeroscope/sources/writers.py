@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +67,31 @@ def append_wide(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names])
 
 
+def write_bundle(files: DataFrame, path: str) -> None:
+    """Many small text files (name, value) in few large ones; `readers.text_files` reads a path that ends in `.bundle`."""
+    files.select("name", "value").write.parquet(path)
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """One file per row (name, value), written side by side by the tasks; a name may hold folders. Equal names: one stays."""
+
+    def write(batches):
+        store, base = fs.FileSystem.from_uri(path)
+        folders = set()
+        for batch in batches:
+            for name, value in zip(batch.column("name").to_pylist(), batch.column("value").to_pylist()):
+                target = f"{base}/{name}"
+                folder = target.rpartition("/")[0]
+                if folder not in folders:
+                    store.create_dir(folder, recursive=True)
+                    folders.add(folder)
+                with store.open_output_stream(target) as out:
+                    out.write((value or "").encode())
+            yield pa.record_batch([pa.array([len(batch)], pa.int64())], names=["n"])
+
+    files.select("name", "value").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+
+
 def write_results(results: DataFrame, path: str) -> None:
     """JSON results and a one-row header with their number."""
     results.write.mode("overwrite").json(f"{path}/results")

@@ -6,7 +6,7 @@ import glob
 from pyspark.sql import functions as F
 
 from aeroscope.session import scratch
-from aeroscope.sources import writers
+from aeroscope.sources import readers, writers
 
 
 def test_wide_rows_of_many_files(spark):
@@ -31,3 +31,19 @@ def test_wide_rows_of_many_files(spark):
 def test_no_results(spark):
     empty = spark.createDataFrame([], "model string, file string, text string, seq int")
     assert writers.wide_rows(empty).count() == 0
+
+
+def test_bundle_reads_like_its_files(spark, tmp_path):
+    rows = [(f"gt/pagina_{i}_errors.json", f'[{{"type": "t{i}", "chunk_index": {i}}}]') for i in range(50)]
+    files = spark.createDataFrame(rows, "name string, value string").repartition(3)
+    writers.write_bundle(files, f"{tmp_path}/one.bundle")
+    writers.write_files(files, f"{tmp_path}/many")
+    assert len(glob.glob(f"{tmp_path}/one.bundle/part-*")) <= 3 and len(glob.glob(f"{tmp_path}/many/gt/*")) == 50
+    bundled, single = (sorted(tuple(r) for r in readers.read_errors(spark, p).select("run", "page", "type", "chunk_index").collect()) for p in (f"{tmp_path}/one.bundle", f"{tmp_path}/many/gt"))
+    assert bundled == single == sorted(("gt", float(i), f"t{i}", i) for i in range(50))
+
+
+def test_media_of_truth_that_repeats(spark):
+    truth = spark.createDataFrame([("d:10:00:01",), ("d:10:00:01",), ("e:10:00:02",)], "sample_id string")
+    media = spark.createDataFrame([("/m/x_10_00_01_b.wav",), ("/m/x_10_00_01_a.wav",)], "path string")
+    assert [tuple(r) for r in readers.map_media(truth, media, "hour").collect()] == [("d:10:00:01", "/m/x_10_00_01_a.wav")] * 2
