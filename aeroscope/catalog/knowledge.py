@@ -235,7 +235,7 @@ def f2(spark, sf):
 def f3(spark, sf):
     i, r = _vectors(spark, sf)
     tagged = pf.topic_sets(i)
-    out = pf.rank_rules(tagged, pf.keyword_rules(tagged, _generic(spark, sf)), r, 5)
+    out = pf.rank_rules(tagged, pf.keyword_rules(tagged, _generic(spark, sf), ["ord"]), r, 5)
     return out.select("instr_id", "rule_id", F.round("score", 5).alias("score"), "rank")
 
 
