@@ -188,3 +188,24 @@ def test_headings_round_half_to_even(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, value double").withColumn("user_id", F.lit(50)).write.parquet(f"{tmp_path}/events.parquet")
     found = {r.event_id for r in safety.t5(spark, str(tmp_path)).collect() if r.broken == "heading_range"}
     assert found == {2, 4}
+
+
+def test_neighbours_against_all_pairs(spark):
+    """Every pair within the radius, also near a pole, over the date line's numbers and across cells; a target travels once."""
+    import random
+
+    from aeroscope.functions.geo import dist_nm
+
+    rnd = random.Random(5)
+    spots = [(rnd.uniform(*a), rnd.uniform(*o)) for a, o, n in (((39, 42), (-76, -73), 120), ((-1, 1), (-1, 1), 60), ((88, 90), (-180, 180), 60), ((-80, -78), (170, 180), 60)) for _ in range(n)]
+    air = planes(spark, *[(f"A{i}", lat, lon, 30000) for i, (lat, lon) in enumerate(spots)]).cache()
+    for radius in (20.0, 30.0):
+        near = traffic.neighbours(air.select("snapshot_id", "callsign", "lat", "lon"), air, radius)
+        others = air.select("snapshot_id", *[F.col(c).alias(f"o_{c}") for c in ("callsign", "lat", "lon")])
+        pairs = air.join(others, "snapshot_id").where(F.col("callsign") != F.col("o_callsign"))
+        all_pairs = pairs.where(dist_nm(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon")) <= radius)
+        found = sorted((r.callsign, r.o_callsign) for r in near.select("callsign", "o_callsign").collect())
+        assert found == sorted((r.callsign, r.o_callsign) for r in all_pairs.select("callsign", "o_callsign").collect()) and len(found) > 300
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    looking = plan[: plan.index("o_callsign#", plan.index("Join Inner"))]
+    assert "Generate" not in looking.split("Join Inner")[1]
