@@ -224,3 +224,23 @@ def test_altitude_counts_like_the_rows(spark):
     counted = rules.altitude_counts(aim, some)
     assert {r.target_id: r.n for r in counted.collect()} == by_rows
     assert "explanation" not in counted._jdf.queryExecution().analyzed().toString()
+
+
+def test_rule_counts_like_the_rows(spark):
+    air = planes(spark, *[(f"A{i}", 40.0 + i % 7 * 0.03, -74.0, 700 * (i % 9)) for i in range(30)])
+    aim = targets(air).withColumn("msa", F.when(F.col("target_id") % 4 > 0, F.col("msa")).cast("int"))
+    lanes = spark.createDataFrame(
+        [(1, "09L", True, "A1", ["H"] * 3), (1, "27R", False, None, []), (1, "04L", True, None, ["H"] * 4), (1, "04L", True, "A2", ["H"])],
+        "snapshot_id long, runway_id string, occupied boolean, occupied_by string, holding_short array<string>",
+    )
+    kinds = [("MINIMUM", 2000), ("MINIMUM", 2000), ("MINIMUM", None), ("MAXIMUM", 3000), ("MSA_CHECK", None), ("BANK", 1)]
+    rows = [dict(condition_type="ALTITUDE", check_type=c, reference_value=v) for c, v in kinds]
+    rows += [dict(condition_type="SEPARATION", separation_type=c, min_distance=v) for c, v in (("VERTICAL", 1000.0), ("VERTICAL", 300.0), ("HORIZONTAL", 2.5), ("HORIZONTAL", 5.0), ("BOTH", 5.0))]
+    rows += [dict(condition_type="RUNWAY", check_type=c, runway_id=v) for c in ("OCCUPIED", "HOLDING_SHORT_FULL", "EXISTS") for v in ("09L", "04L", "13C", None)]
+    names = [x.split()[0] for x in RULE.split(", ")]
+    some = spark.createDataFrame([tuple({"rule_id": f"R{i // 2}", **r}.get(n) for n in names) for i, r in enumerate(rows)], RULE)
+    by_rows = rules.evaluate(aim, some, air, lanes).groupBy("rule_id", "condition_type").agg(F.count("*").alias("n"))
+    counted = rules.rule_counts(aim, some, air, lanes)
+    assert {tuple(r) for r in counted.collect()} == {tuple(r) for r in by_rows.collect()}
+    assert len({r.condition_type for r in counted.collect()}) == 8
+    assert "explanation" not in counted._jdf.queryExecution().analyzed().toString()
