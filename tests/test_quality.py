@@ -320,3 +320,25 @@ def test_carry_over_blocks(spark):
             for k, p, _ in rows:
                 seen = [v for q, v in sorted((q, v) for key, q, v in rows if key == k and v and (q < p or q == p and not before))]
                 assert got[k, p] == (seen[-1] if seen else None)
+
+
+def test_top_k_by_slices(spark):
+    """Copies of a vector tie and go by seq; ids may be texts; queries may want different numbers; no pair of blocks is held."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(7, 5)).astype(np.float32)
+    vecs = [base[i % 7] if i % 11 else None for i in range(150)]
+    qs = spark.createDataFrame([(g, f"q{i}", i, [float(x) for x in base[i % 7]], i % 4) for g in "ab" for i in range(0, 150, 3)], "grp string, q_id string, q_seq long, q_vec array<float>, want int")
+    its = spark.createDataFrame([(g, f"i{i}", i, None if v is None else [float(x) for x in v]) for g in "ab" for i, v in enumerate(vecs)], "grp string, i_id string, i_seq long, i_vec array<float>")
+    rows = top_k_cosine(qs, its, F.col("want"), before=True, block=16)
+    got = {}
+    for r in rows.collect():
+        got.setdefault((r.grp, r.q_id), []).append((r["rank"], r.i_id))
+    doubles = base.astype(float)
+    cos = {(a, b): float(np.round(doubles[a] @ doubles[b] / np.linalg.norm(doubles[a]) / np.linalg.norm(doubles[b]), 12)) for a in range(7) for b in range(7)}
+    for g in "ab":
+        for i in range(0, 150, 3):
+            order = sorted(range(i), key=lambda j: (1.0 if vecs[j] is None else -cos[i % 7, j % 7], j))
+            assert [x for _, x in sorted(got.get((g, f"q{i}"), []))] == [f"i{j}" for j in order[: i % 4]]
+    assert "collect_list" not in rows._jdf.queryExecution().analyzed().toString()
