@@ -14,12 +14,13 @@ from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeroscope.idioms import running
 from aeroscope.llm import mixing
-from aeroscope.llm.common import map_arrow, rows_out, saved
+from aeroscope.llm.common import map_arrow, quoted, rows_out, saved
 from aeroscope.llm.tokens import encoder
 
 #: Pieces of a length that one rank group holds on average: a length has as many groups as its pieces ask for.
@@ -242,3 +243,35 @@ def pack_mixed(
     rows = mixed.select(F.coalesce(F.floor(F.col("slot") / slots).cast("bigint"), last).alias("range"), "row.doc_id", "row.doc_tokens", F.explode("row.pieces").alias("p"))
     pieces = saved(rows.select("range", "doc_id", "p.start", "p.length", "p.ids_crc32", "doc_tokens"), "pieces")
     return assign_in_ranges(pieces, size)
+
+
+def in_file_order(df: DataFrame, name: str) -> DataFrame:
+    """Adds the place of each row, ascending in the order of part files and rows in which a table was written as Parquet.
+
+    `df` is such a table as read; any other one is written first.
+    """
+    try:
+        df.select("_metadata.row_index").schema
+    except AnalysisException:
+        df = saved(df, "ordered")
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    number = lambda pattern: F.regexp_extract(F.substring_index("file", "/", -1), pattern, 1).try_cast("bigint")
+    ends = df.select(file.alias("file"), row.alias("row")).groupBy("file").agg((F.max("row") + 1).alias("n"))
+    w = Window.orderBy(number(r"^part-(\d+)"), number(r"-c(\d+)"), "file").rowsBetween(Window.unboundedPreceding, -1)
+    begins = ends.select("file", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("begin"))  # a row per file
+    rows = df.select("*", file.alias("file"), row.alias("row"))
+    return rows.join(begins, "file").select(*[quoted(c) for c in df.columns], (F.col("begin") + F.col("row")).alias(name))
+
+
+def pack_ordered(
+    df: DataFrame, vocabulary: str, documents: int, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 1,
+) -> DataFrame:
+    """`pack`, with sequences in the order in which the table lies in its files: every `documents` rows are packed together.
+
+    The order is that of `in_file_order`. Nulls, repeats, the empty table and other columns as in `pack`.
+    """
+    placed = in_file_order(df.select(quoted(id_col), quoted(text_col)), "place")
+    tokens = tokenize_whole(placed, id_col, text_col, "place", vocabulary, size, end_id)
+    rows = tokens.select(F.floor(F.col("source") / documents).cast("bigint").alias("range"), "doc_id", "doc_tokens", F.explode("pieces").alias("p"))
+    pieces = saved(rows.select("range", "doc_id", "p.start", "p.length", "p.ids_crc32", "doc_tokens"), "pieces")
+    return assign_in_ranges(pieces, size)

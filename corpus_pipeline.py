@@ -41,8 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the token ids, each with its place in a sequence; sequences follow the slots of the mix, range by range."""
-    return packing.pack_mixed(docs, MIX_SHARES, MIX_BLOCK, tokens.vocabulary_path())
+    """Pieces of the token ids, each with its place in a sequence; sequences follow the order that `mix_sources` wrote, range by range."""
+    return packing.pack_ordered(docs, tokens.vocabulary_path(), packing.SLOTS * MIX_BLOCK)
 
 
 STAGES = [

@@ -5,6 +5,7 @@ import itertools
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
@@ -171,3 +172,16 @@ def test_packing_follows_the_mix(spark, outputs):
     for k, group in itertools.groupby(sorted(packed.collect(), key=lambda r: r.sequence_id), key=lambda r: slot[r.doc_id] // packing.SLOTS):
         assert k > last
         last = k
+
+
+def test_packing_reads_the_order_of_the_mix(spark, monkeypatch):
+    """Sequences follow the rows as the stage before wrote them, whatever ids and sources say."""
+    monkeypatch.setattr(packing, "SLOTS", 8)
+    many = 8 * MIX_BLOCK
+    docs = spark.createDataFrame([(i, f"text {i} " + "word " * (i * 37 % 90), "en", f"src{i % 3}", 9) for i in range(300)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for order in (F.col("doc_id").desc(), F.md5(F.col("doc_id").cast("string"))):
+        written = saved(docs.repartition(3).orderBy(order), "test-order")
+        place = {r.doc_id: n for n, r in enumerate(docs.orderBy(order).collect())}
+        packed = cp.pack_tokens(spark, written, SF).collect()
+        ranges = [place[r.doc_id] // many for r in sorted(packed, key=lambda r: r.sequence_id)]
+        assert ranges == sorted(ranges) and set(ranges) == set(range(-(-300 // many))) and {r.doc_id for r in packed} == set(place)
