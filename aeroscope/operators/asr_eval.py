@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from aeroscope.functions.fuzzy import word_edits
 from aeroscope.functions.normalize import normalize
-from aeroscope.idioms import salted
+from aeroscope.idioms import join_nulls, once_per_value, salted
+from aeroscope.session import cut
 
 
 def words(text: Column, spoken_form: bool = True) -> Column:
@@ -81,7 +82,14 @@ def pair_samples(
 
 
 def score_asr(truth: DataFrame, transcript: DataFrame, mode: str = "intersection", spoken_form: bool = True) -> DataFrame:
-    return measures(pair_samples(truth, transcript, mode, spoken_form), spoken_form)
+    """Measures of every pair. Texts repeat a lot: each distinct text is split once and each distinct pair scored once."""
+    pairs = pair_samples(truth, transcript, mode)
+    different = cut(pairs.select("ref", "hyp").distinct())
+    texts = different.select(F.col("ref").alias("text")).unionByName(different.select(F.col("hyp").alias("text")))
+    split = once_per_value(texts, "text", {"w": words(F.col("text"), spoken_form)})
+    for side, name in (("ref", "rw"), ("hyp", "hw")):
+        different = join_nulls(different, split.select(F.col("text").alias(side), F.col("w").alias(name)), [side])
+    return join_nulls(pairs, cut(measures(different, spoken_form)), ["ref", "hyp"])
 
 
 def summarise(scores: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:

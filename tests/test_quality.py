@@ -342,3 +342,18 @@ def test_top_k_by_slices(spark):
             order = sorted(range(i), key=lambda j: (1.0 if vecs[j] is None else -cos[i % 7, j % 7], j))
             assert [x for _, x in sorted(got.get((g, f"q{i}"), []))] == [f"i{j}" for j in order[: i % 4]]
     assert "collect_list" not in rows._jdf.queryExecution().analyzed().toString()
+
+
+def test_equal_pairs_are_scored_once(spark):
+    """Scores of copies, nulls and empty texts are those of each pair by itself; texts are normalised before any sample id is there."""
+    from aeroscope.operators import asr_eval as asr
+
+    said = ["climb FL090", "turn left", "", None, "climb FL090"]
+    truth = spark.createDataFrame([(i, said[i % 5]) for i in range(20)], "sample_id long, text string")
+    heard = spark.createDataFrame([(m, i, said[(i + (m == "b") * (i % 3)) % 5]) for m in "ab" for i in range(20)], "model string, sample_id long, text string")
+    for mode in ("intersection", "any_model"):
+        got = asr.score_asr(truth, heard, mode)
+        alone = asr.measures(asr.pair_samples(truth, heard, mode, True))
+        assert got.columns == alone.columns
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, alone.collect())) and got.count() == 40
+        assert "word_edits" not in got._jdf.queryExecution().optimizedPlan().toString()
