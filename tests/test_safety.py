@@ -244,3 +244,13 @@ def test_rule_counts_like_the_rows(spark):
     assert {tuple(r) for r in counted.collect()} == {tuple(r) for r in by_rows.collect()}
     assert len({r.condition_type for r in counted.collect()}) == 8
     assert "explanation" not in counted._jdf.queryExecution().analyzed().toString()
+
+
+def test_nearest_states_without_frames_to_the_end(spark):
+    at = [(s, t, n) for s in "AB" for n, t in enumerate((0, 60, 60, 7300, 7400, 40000)) if (s, n) != ("B", 0)]
+    versions = spark.createDataFrame(at, "sector_id string, at_sec long, seq long")
+    asked = [("A", q, t) for q, t in enumerate((0, 30, 31, 60, 3600, 3700, 7350, 7351, 24000, 50000))] + [("B", 90, 1), ("B", 91, 23700)]
+    found = dec.nearest_states(versions, spark.createDataFrame(asked, "sector_id string, q_id long, t_sec long"))
+    nearest = {(s, q): min((abs(v - t), v, n) for x, v, n in at if x == s)[1:] for s, q, t in asked}
+    assert {(r.sector_id, r.q_id): (r.at_sec, r.seq) for r in found.collect()} == nearest
+    assert "unboundedfollowing" not in found._jdf.queryExecution().analyzed().toString().lower()
