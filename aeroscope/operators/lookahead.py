@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aeroscope.functions.geo import dist_nm
-from aeroscope.operators.traffic import neighbours
+from aeroscope.idioms import let
+from aeroscope.operators.traffic import beside, by_crowd, neighbours, within
 
 # Instruction types that change each field, and feet per minute by type.
 ALTITUDE_TYPES = ("descent", "climb", "maintain_altitude", "expedite_descent", "expedite_climb")
@@ -185,11 +189,15 @@ def project(
 ) -> DataFrame:
     """One row per instruction: error, new values of its aircraft and its minute track."""
     applied = apply_instruction(with_aircraft(instruction, aircraft))
-    path = track(
+    return applied.withColumn("track", F.when(F.col("error").isNull(), path(minutes, clamp)))
+
+
+def path(minutes: int = 10, clamp: bool = False) -> Column:
+    """Minute track of a row of `apply_instruction`."""
+    return track(
         F.col("lat"), F.col("lon"), F.col("old_altitude"), F.col("new_speed"), F.col("new_heading"),
         F.col("vertical_rate"), minutes, F.col("altitude_assigned") if clamp else None,
     )
-    return applied.withColumn("track", F.when(F.col("error").isNull(), path))
 
 
 def track_rows(projected: DataFrame) -> DataFrame:
@@ -201,30 +209,70 @@ def track_rows(projected: DataFrame) -> DataFrame:
     )
 
 
-def separation(projected: DataFrame, aircraft: DataFrame) -> DataFrame:
-    """Per (instruction, other aircraft in range): smallest gaps per axis and the first conflict time.
-
-    The track stays an array in its row, so the minima need no shuffle after the neighbour join.
-    """
-    moving = projected.where(F.col("error").isNull()).select(
-        "instr_id", "snapshot_id", F.col("a_callsign").alias("callsign"), "lat", "lon", "track"
+def clash(way: Column, other: Column) -> Column:
+    """Whether the track ever comes too close; `way` has track, lowest and highest altitude (see `seen_along`)."""
+    return (
+        (other["o_altitude"] > way["low"] - MIN_VERTICAL_FT)
+        & (other["o_altitude"] < way["high"] + MIN_VERTICAL_FT)
+        & F.exists(
+            way["track"],
+            lambda w: (F.abs(w["altitude"] - other["o_altitude"]) < MIN_VERTICAL_FT)
+            & (dist_nm(w["lat"], w["lon"], other["o_lat"], other["o_lon"]) < MIN_HORIZONTAL_NM),
+        )
     )
-    near = neighbours(moving, aircraft, SEARCH_NM)
+
+
+def seen_along(way: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a track and its range of altitudes once."""
+    ends = lambda w: F.struct(w.alias("track"), F.array_min(w["altitude"]).alias("low"), F.array_max(w["altitude"]).alias("high"))
+    return let(way, lambda w: let(ends(w), body))
+
+
+def _gaps(track: Column, other: Column) -> Column:
+    """Smallest gaps per axis along a track, and the first time of a conflict."""
     gaps = F.transform(
-        "track",
+        track,
         lambda w: F.struct(
-            F.abs(w["altitude"] - F.col("o_altitude")).alias("v"),
-            dist_nm(w["lat"], w["lon"], F.col("o_lat"), F.col("o_lon")).alias("h"),
+            F.abs(w["altitude"] - other["o_altitude"]).alias("v"),
+            dist_nm(w["lat"], w["lon"], other["o_lat"], other["o_lon"]).alias("h"),
             (w["minute"] * 60).alias("t"),
         ),
     )
-    hits = F.filter("gaps", lambda g: (g["v"] < MIN_VERTICAL_FT) & (g["h"] < MIN_HORIZONTAL_NM))
-    return near.withColumn("gaps", gaps).select(
-        "instr_id", "snapshot_id", "callsign", "o_callsign", "o_ord",
-        F.array_min("gaps.v").alias("min_vertical_ft"),
-        F.array_min("gaps.h").alias("min_horizontal_nm"),
-        F.array_min(F.transform(hits, lambda g: g["t"])).alias("conflict_sec"),
-    ).withColumn("conflict", F.col("conflict_sec").isNotNull())
+    hits = lambda g: F.filter(g, lambda x: (x["v"] < MIN_VERTICAL_FT) & (x["h"] < MIN_HORIZONTAL_NM))
+    return let(
+        gaps,
+        lambda g: F.struct(
+            other["o_callsign"].alias("o_callsign"), other["o_ord"].alias("o_ord"),
+            F.array_min(g["v"]).alias("min_vertical_ft"), F.array_min(g["h"]).alias("min_horizontal_nm"),
+            F.array_min(F.transform(hits(g), lambda x: x["t"])).alias("conflict_sec"),
+        ),
+    )
+
+
+OTHER = ("o_callsign", "o_ord", "o_lat", "o_lon", "o_altitude")
+
+
+def _moving(rows: DataFrame, minutes: int, clamp: bool) -> tuple[DataFrame, Column]:
+    """Rows without error and their track: the one they have, else one to be computed where it is needed."""
+    moving = rows.where(F.col("error").isNull()).withColumn("callsign", F.col("a_callsign"))
+    return moving, F.col("track") if "track" in rows.columns else path(minutes, clamp)
+
+
+def separation(rows: DataFrame, aircraft: DataFrame, minutes: int = 10, clamp: bool = False) -> DataFrame:
+    """Per (instruction, other aircraft in range): smallest gaps per axis and the first conflict time.
+
+    Takes rows of `apply_instruction` or `project`. Rows without a track get it after they have met the traffic, so that
+    it is never shuffled; in crowded snapshots it travels with its row, and so the minima need no shuffle either.
+    """
+    moving, way = _moving(rows, minutes, clamp)
+    (calm, sparse), *crowd = by_crowd(moving, aircraft)
+    gaps = let(way, lambda w: F.transform(within(SEARCH_NM), lambda o: _gaps(w, o)))
+    parts = [beside(calm, sparse).select("instr_id", "snapshot_id", "callsign", F.inline(gaps))]
+    for busy, dense in crowd:
+        near = neighbours(busy.select("instr_id", "snapshot_id", "callsign", "lat", "lon", way.alias("track")), dense, SEARCH_NM)
+        near = near.withColumn("gaps", _gaps(F.col("track"), F.struct(*OTHER)))
+        parts.append(near.select("instr_id", "snapshot_id", "callsign", "gaps.*"))
+    return reduce(DataFrame.unionByName, parts).withColumn("conflict", F.col("conflict_sec").isNotNull())
 
 
 def conflict_flags(sep: DataFrame) -> DataFrame:
@@ -235,6 +283,21 @@ def conflict_flags(sep: DataFrame) -> DataFrame:
     )
 
 
+def conflicts(rows: DataFrame, aircraft: DataFrame, minutes: int = 10, clamp: bool = False) -> DataFrame:
+    """What `conflict_flags` gives of `separation`, without a row for each pair."""
+    moving, way = _moving(rows, minutes, clamp)
+    (calm, sparse), *crowd = by_crowd(moving, aircraft)
+    met = beside(calm, sparse).withColumn("near", within(SEARCH_NM)).where(F.size("near") > 0)
+    n = seen_along(way, lambda w: F.size(F.filter("near", lambda o: clash(w, o))))
+    counted = met.select("instr_id", n.cast("bigint").alias("n"), F.size("near").cast("bigint").alias("m"))
+    flags = counted.groupBy("instr_id").agg(
+        F.max(F.col("n") > 0).alias("has_conflict"), F.sum("n").alias("n_conflicts"), F.sum("m").alias("n_near")
+    )
+    for busy, dense in crowd:
+        flags = flags.unionByName(conflict_flags(separation(busy, dense, minutes, clamp)))
+    return flags
+
+
 def resulting_snapshot(projected: DataFrame, aircraft: DataFrame) -> DataFrame:
     """Whole snapshot per instruction after it is applied: the addressed row replaced, others kept."""
     own = projected.select(

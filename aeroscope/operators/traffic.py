@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aeroscope.functions.geo import OCCUPANTS, PHASES, RUNWAY_MODES, WAKES, dist_nm, enum_or
 from aeroscope.idioms import latest
+from aeroscope.session import cut
+
+#: Aircraft up to which the traffic of a snapshot is held as one value.
+CROWD = 1000
 
 
 def lookup_aircraft(requests: DataFrame, aircraft: DataFrame) -> DataFrame:
@@ -69,6 +73,41 @@ def neighbours(targets: DataFrame, aircraft: DataFrame, radius_nm: float) -> Dat
     )
 
 
+def by_crowd(targets: DataFrame, aircraft: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """Targets and aircraft of snapshots whose traffic fits into one value, then those of crowded ones if there are any."""
+    counts = aircraft.groupBy("snapshot_id").agg(F.count("*").alias("n"))
+    crowded = cut(counts.where(F.col("n") > CROWD).select("snapshot_id"))
+    if crowded.isEmpty():
+        return [(targets, aircraft)]
+    return [tuple(df.join(crowded, "snapshot_id", how) for df in (targets, aircraft)) for how in ("left_anti", "left_semi")]
+
+
+def beside(targets: DataFrame, aircraft: DataFrame, how: str = "inner") -> DataFrame:
+    """Targets with the aircraft of their snapshot as the array `others`, in table order; for snapshots of a checked size.
+
+    Both sides travel once, as narrow rows, and no row of a pair is made: what is wide, such as a track, is best computed
+    from the columns of the result.
+    """
+    others = aircraft.select(
+        "snapshot_id",
+        F.struct(
+            F.col("ord").alias("o_ord"), F.col("callsign").alias("o_callsign"), F.col("lat").alias("o_lat"),
+            F.col("lon").alias("o_lon"), F.col("altitude").alias("o_altitude"),
+        ).alias("o"),
+    )
+    return targets.join(others.groupBy("snapshot_id").agg(F.sort_array(F.collect_list("o")).alias("others")), "snapshot_id", how)
+
+
+def within(radius_nm: float, callsign: str = "callsign") -> Column:
+    """Those of `others` that `neighbours` would pair with the row; latitude alone rules most of the far ones out."""
+    return F.filter(
+        "others",
+        lambda o: (F.abs(o["o_lat"] - F.col("lat")) * 60 <= radius_nm + 1e-6)
+        & (dist_nm(F.col("lat"), F.col("lon"), o["o_lat"], o["o_lon"]) <= radius_nm)
+        & (F.upper(F.col(callsign)) != F.upper(o["o_callsign"])),
+    )
+
+
 def constraint_breaks(aircraft: DataFrame) -> DataFrame:
     """One row per broken constraint; rows are reported, not dropped."""
     checks = {

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aeroscope.functions.geo import dist_nm
 from aeroscope.operators import alerts, lookahead, rules
-from aeroscope.operators.traffic import neighbours
+from aeroscope.operators.traffic import beside, by_crowd, neighbours, within
 
 
-def gate(projected: DataFrame, flags: DataFrame) -> DataFrame:
+def gate(projected: DataFrame, flags: DataFrame | None = None) -> DataFrame:
     """Per instruction which rule families run: altitude always, separation after a predicted conflict,
-    runway for a take-off or landing clearance with a runway."""
+    runway for a take-off or landing clearance with a runway. Rows of `with_facts` need no flags."""
     ok = F.col("error").isNull()
-    return projected.join(flags, "instr_id", "left").withColumns(
+    rows = projected if flags is None else projected.join(flags, "instr_id", "left")
+    return rows.withColumns(
         {
             "has_conflict": F.coalesce("has_conflict", F.lit(False)),
             "run_altitude": ok,
@@ -78,9 +80,51 @@ def fallback_violations(
     return reduce(DataFrame.unionByName, branches).withColumn("fallback", F.lit(True))
 
 
+def _first_hit(near: Column, close: Callable[[Column, Column], Column]) -> Column:
+    """First of the near aircraft, in table order, that a standard separation check finds; near ones are in that order."""
+    gap = lambda o: F.abs(F.col("new_altitude") - o["o_altitude"])
+    dist = lambda o: dist_nm(F.col("lat"), F.col("lon"), o["o_lat"], o["o_lon"])
+    found = F.filter(near, lambda o: (dist(o) <= rules.SEARCH_NM) & close(gap(o), dist(o)))
+    row = lambda o: F.struct(o["o_ord"].alias("o_ord"), o["o_callsign"].alias("o_callsign"), gap(o).alias("gap_ft"), dist(o).alias("dist_nm"))
+    return F.get(F.transform(F.slice(found, 1, 1), row), 0)
+
+
+def with_facts(applied: DataFrame, aircraft: DataFrame, minutes: int = 10) -> DataFrame:
+    """Rows with what their neighbours mean: predicted conflict (has_conflict) and the first neighbour of each standard
+    separation check (v, h).
+
+    A row meets the traffic of its snapshot and is answered where it is; rows of one instruction, if several aircraft
+    answer to its callsign, share their facts in a window that needs no shuffle of its own.
+    """
+    ok = F.col("error").isNull()
+    (calm, sparse), *crowd = by_crowd(applied, aircraft)
+    near = F.when(ok, within(lookahead.SEARCH_NM, "a_callsign"))
+    met = beside(calm, sparse, "left").withColumn("near", near).drop("others")
+    clash = lookahead.seen_along(lookahead.path(minutes), lambda w: F.exists("near", lambda o: lookahead.clash(w, o)))
+    met = met.withColumns(
+        {
+            "has_conflict": F.when(ok & (F.size("near") > 0), clash),
+            "v": _first_hit(F.col("near"), lambda gap, _: gap < rules.VERTICAL_STD_FT),
+            "h": _first_hit(F.col("near"), lambda _, dist: dist < rules.HORIZONTAL_STD_NM),
+        }
+    ).drop("near")
+    own = Window.partitionBy("snapshot_id", "instr_id")
+    met = met.withColumns(
+        {
+            "has_conflict": F.coalesce(F.max("has_conflict").over(own), F.lit(False)),
+            "v": F.min_by("v", F.col("v.o_ord")).over(own), "h": F.min_by("h", F.col("h.o_ord")).over(own),
+        }
+    )
+    for busy, dense in crowd:
+        facts = _neighbour_facts(busy.withColumn("track", F.when(ok, lookahead.path(minutes))), dense)
+        told = busy.join(facts, "instr_id", "left").withColumn("has_conflict", F.coalesce("has_conflict", F.lit(False)))
+        met = met.unionByName(told)
+    return met
+
+
 def _neighbour_facts(projected: DataFrame, aircraft: DataFrame) -> DataFrame:
-    """Per instruction, from one neighbour join: predicted conflict and the first neighbour of each standard
-    separation check."""
+    """Per instruction of crowded snapshots, from one neighbour join: predicted conflict and the first neighbour of each
+    standard separation check."""
     moving = projected.where(F.col("error").isNull()).select(
         "instr_id", "snapshot_id", F.col("a_callsign").alias("callsign"), "lat", "lon", "new_altitude", "track"
     )
@@ -93,7 +137,7 @@ def _neighbour_facts(projected: DataFrame, aircraft: DataFrame) -> DataFrame:
     close = F.col("dist_nm") <= rules.SEARCH_NM
     facts = near.select(
         "instr_id", clash.alias("clash"),
-        F.struct("o_callsign", F.abs(F.col("new_altitude") - F.col("o_altitude")).alias("gap_ft"), "dist_nm").alias("hit"),
+        F.struct("o_ord", "o_callsign", F.abs(F.col("new_altitude") - F.col("o_altitude")).alias("gap_ft"), "dist_nm").alias("hit"),
         "o_ord", close.alias("close"),
     )
     low = F.col("close") & (F.col("hit.gap_ft") < rules.VERTICAL_STD_FT)
@@ -117,15 +161,13 @@ def assess(aircraft: DataFrame, snapshot: DataFrame, runways: DataFrame, instruc
 
     Runways are few per snapshot and join as one small array; each other input is joined once.
     """
-    projected = lookahead.project(aircraft, instruction, minutes)
-    facts = _neighbour_facts(projected, aircraft)
+    applied = lookahead.apply_instruction(lookahead.with_aircraft(instruction, aircraft))
     held = runways.where(F.col("occupied") & (F.coalesce("occupied_by", F.lit("")) != "")).groupBy("snapshot_id").agg(
         F.sort_array(F.collect_list(F.struct("ord", "runway_id", "occupied_by"))).alias("held")
     )
     rows = (
-        projected.drop("track").join(facts, "instr_id", "left")
+        with_facts(applied, aircraft, minutes)
         .join(snapshot, "snapshot_id", "left").join(held, "snapshot_id", "left")
-        .withColumn("has_conflict", F.coalesce("has_conflict", F.lit(False)))
         .withColumn("callsign", F.coalesce("a_callsign", "callsign"))
         .withColumn("altitude", F.col("new_altitude"))
     )

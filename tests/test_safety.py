@@ -254,3 +254,53 @@ def test_nearest_states_without_frames_to_the_end(spark):
     nearest = {(s, q): min((abs(v - t), v, n) for x, v, n in at if x == s)[1:] for s, q, t in asked}
     assert {(r.sector_id, r.q_id): (r.at_sec, r.seq) for r in found.collect()} == nearest
     assert "unboundedfollowing" not in found._jdf.queryExecution().analyzed().toString().lower()
+
+
+def sky(spark, n=60):
+    import random
+
+    random.seed(11)
+    rows = [
+        (k % 3, k, f"C{k}" if k % 7 else f"c{k - 1}", 40 + random.uniform(0, 1), -74 + random.uniform(0, 1), 1000 * random.randint(2, 12), random.randint(0, 359), 250, "cruise")
+        for k in range(n)
+    ]
+    air = spark.createDataFrame(rows, PLANE)
+    asks = [(r[1], r[0], r[2] if r[1] % 9 else "X1", ("descent", "climb", "heading", "takeoff_clearance")[r[1] % 4], 5000, None, 90, None, "27L", "text", "ATCO") for r in rows]
+    ask = spark.createDataFrame(
+        asks, "instr_id long, snapshot_id long, callsign string, itype string, target_altitude int, flight_level int, heading int, target_speed int, runway string, raw_text string, speaker string"
+    )
+    shot = spark.createDataFrame([(k, "S", 5000) for k in range(3)], "snapshot_id long, sector_id string, msa int")
+    strips = spark.createDataFrame([(k, 0, "27L", True, "C1") for k in range(3)], "snapshot_id long, ord int, runway_id string, occupied boolean, occupied_by string")
+    return air, shot, strips, ask
+
+
+def test_no_track_is_shuffled(spark):
+    """Tracks are computed where a row has met its traffic; only narrow rows travel."""
+    air, shot, strips, ask = sky(spark)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = batch.run(air, shot, strips, ask)["decisions"]._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+    def sent(node):
+        own = [node.output().apply(i).dataType().simpleString() for i in range(node.output().size())] if "Exchange" in node.nodeName() else []
+        return own + [t for i in range(node.children().size()) for t in sent(node.children().apply(i))]
+
+    types = sent(plan)
+    assert types and not [t for t in types if "minute" in t]
+
+
+def test_crowded_snapshots_give_the_same_rows(spark, monkeypatch):
+    air, shot, strips, ask = sky(spark)
+    applied = lookahead.apply_instruction(lookahead.with_aircraft(ask, air))
+
+    def rows():
+        found = [lookahead.separation(applied, air), lookahead.conflicts(applied, air), batch.run(air, shot, strips, ask)["violations"], batch.run(air, shot, strips, ask)["decisions"]]
+        return [sorted(map(str, d.select(*sorted(d.columns)).collect())) for d in found]
+
+    calm = rows()
+    monkeypatch.setattr(traffic, "CROWD", 0)
+    assert rows() == calm and all(calm)
+    pairs = lookahead.separation(applied, air).groupBy("instr_id").count()
+    assert {r["instr_id"]: r["count"] for r in pairs.collect()} == {r["instr_id"]: r["n_near"] for r in lookahead.conflicts(applied, air).collect()}
