@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,6 +124,11 @@ class Side:
             found.setdefault(t, []).append(i)
         self.texts, self.ids = list(found), list(found.values())
         self.taken = [0] * len(found)
+        self.place = dict(zip(found, range(len(found))))
+
+    def free(self) -> list[int]:
+        """Texts that have an id left."""
+        return [k for k, ids in enumerate(self.ids) if self.taken[k] < len(ids)]
 
     def next(self, k: int) -> int | None:
         """Smallest id of text k that is free."""
@@ -149,17 +155,29 @@ def bounds(left: list[str], right: list[str]) -> Iterator[np.ndarray]:
 
 
 def best_first(left: Side, right: Side, threshold: float) -> tuple[list[tuple[int, int, float]], int]:
-    """Greedy pairs (i, j, score) by score desc, then i, then j; and how many text pairs were scored."""
+    """Greedy pairs (i, j, score) by score desc, then i, then j; and how many text pairs were scored.
+
+    Only equal texts score 1, so they are paired first, without bounds or scores; bounds are drawn up for what is left.
+    """
+    out, scored = [], 0
+    for a, text in enumerate(left.texts if threshold <= 1 else ()):
+        b = right.place.get(text)
+        if b is not None:
+            both = list(zip(left.ids[a], right.ids[b]))
+            out += [(i, j, 1.0) for i, j in both]
+            left.taken[a] = right.taken[b] = len(both)
+    rest_a, rest_b = left.free(), np.array(right.free(), dtype=np.int64)
+    if not rest_a or not len(rest_b):
+        return out, scored
     waiting: list[tuple] = []  # (-bound, 0, a, place in a's order) or (-score, 1, i, j, a, b)
-    orders, places = [], {}
-    for a, most in enumerate(bounds(left.texts, right.texts)):
+    orders, places = {}, {}
+    for a, most in zip(rest_a, bounds([left.texts[a] for a in rest_a], [right.texts[b] for b in rest_b])):
         order = np.argsort(-most, kind="stable")
         order = order[: np.count_nonzero(most >= threshold)]
-        orders.append((order.tolist(), most[order].tolist()))
+        orders[a] = rest_b[order].tolist(), most[order].tolist()
         if len(order):
             waiting.append((-orders[a][1][0], 0, a, 0))
     heapq.heapify(waiting)
-    out, scored = [], 0
     while waiting:
         top = heapq.heappop(waiting)
         if top[1]:
@@ -195,20 +213,49 @@ def best_first(left: Side, right: Side, threshold: float) -> tuple[list[tuple[in
     return out, scored
 
 
-def _group_matches(keys: list[str], threshold: float) -> Callable[[pa.Table], pa.Table]:
-    def match(table: pa.Table) -> pa.Table:
-        table = table.drop_null()  # null keys and texts match nothing
-        side, ids, texts = (table.column(c).to_pylist() for c in ("side", "id", "txt"))
-        found = []
-        if any(side) and not all(side):
-            left, right = (Side(*zip(*[(i, t) for s, i, t in zip(side, ids, texts) if s == own])) for own in (True, False))
-            found = best_first(left, right, threshold)[0]
-        i, j, score = zip(*found) if found else ((), (), ())
-        first = pa.array(np.zeros(len(found), dtype=np.int64))
-        columns = [table.column(k).take(first) for k in keys]
-        return pa.table([*columns, pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(score, pa.float64())], names=[*keys, "i", "j", "score"])
+def _changes(column: pa.ChunkedArray) -> np.ndarray:
+    """Where a value differs from the one before it; NaN equals NaN, as in Spark's grouping."""
+    before, now = column.slice(0, len(column) - 1), column.slice(1)
+    same = pc.equal(before, now)
+    if pa.types.is_floating(column.type):
+        same = pc.or_(same, pc.and_(pc.is_nan(before), pc.is_nan(now)))
+    return ~same.to_numpy()
+
+
+def _sorted_matches(keys: list[str], threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Match groups as they come by, sorted by keys: a task takes many small groups in one call and holds one at a time."""
 
-    return match
+    def decide(group: list[tuple]) -> list[tuple]:
+        left, right = ([(i, t) for s, i, t in group if s == own] for own in (True, False))
+        return best_first(Side(*zip(*left)), Side(*zip(*right)), threshold)[0] if left and right else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, name, kinds = [], None, None
+        for batch in batches:
+            kinds = [batch.schema.field(k).type for k in keys]
+            table = pa.Table.from_batches([batch]).drop_null()  # null keys and texts match nothing
+            if not len(table):
+                continue
+            rows = list(zip(*(table.column(c).to_pylist() for c in ("side", "id", "txt"))))
+            names = [table.column(k) for k in keys]
+            starts = np.flatnonzero(np.logical_or.reduce([_changes(c) for c in names])) + 1 if len(rows) > 1 else []
+            out = []
+            for a, b in zip([0, *starts], [*starts, len(rows)]):
+                own = tuple(c[int(a)].as_py() for c in names)
+                if own != name and not (name and all(x == y or (x != x and y != y) for x, y in zip(own, name))):
+                    out += [(*name, *found) for found in decide(held)] if held else []
+                    held, name = [], own
+                held += rows[a:b]
+            if out:
+                yield packed(out, kinds)
+        if held and (out := [(*name, *found) for found in decide(held)]):
+            yield packed(out, kinds)
+
+    def packed(out: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        types = [*kinds, pa.int64(), pa.int64(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [*keys, "i", "j", "score"])
+
+    return run
 
 
 def in_rounds(left: DataFrame, right: DataFrame, keys: list[str], threshold: float) -> DataFrame:
@@ -233,15 +280,16 @@ def greedy_match(left: DataFrame, right: DataFrame, keys: Sequence[str], thresho
     Ids are whole numbers and unique within a group and side. Null keys or texts match nothing.
     """
     keys = list(keys)
-    l, r = left.groupBy(*keys).agg(F.count("*").alias("n")), right.groupBy(*keys).agg(F.count("*").alias("m"))
-    big = cut(l.join(r, keys).where(F.col("n").cast("double") * F.col("m") > held).select(*keys))
-    whole = big.isEmpty()
-    few_l, few_r = (left, right) if whole else (left.join(big, keys, "left_anti"), right.join(big, keys, "left_anti"))
-    rows = few_l.select(*keys, F.lit(True).alias("side"), F.col("i").cast("bigint").alias("id"), "txt").unionByName(
-        few_r.select(*keys, F.lit(False).alias("side"), F.col("j").cast("bigint").alias("id"), "txt")
+    rows = left.select(*keys, F.lit(True).alias("side"), F.col("i").cast("bigint").alias("id"), "txt").unionByName(
+        right.select(*keys, F.lit(False).alias("side"), F.col("j").cast("bigint").alias("id"), "txt")
     )
+    sizes = rows.groupBy(*keys).agg(F.count_if("side").alias("n"), F.count_if(~F.col("side")).alias("m"))
+    big = cut(sizes.where(F.col("n").cast("double") * F.col("m") > held).select(*keys))
+    whole = big.isEmpty()
+    few = rows if whole else rows.join(big, keys, "left_anti")
     kinds = ", ".join(f"{k} {left.schema[k].dataType.simpleString()}" for k in keys)
-    out = rows.groupBy(*keys).applyInArrow(_group_matches(keys, threshold), f"{kinds}, i bigint, j bigint, score double")
+    streams = few.repartition(*keys).sortWithinPartitions(*keys)
+    out = streams.mapInArrow(_sorted_matches(keys, threshold), f"{kinds}, i bigint, j bigint, score double")
     if not whole:
         out = out.unionByName(in_rounds(left.join(big, keys, "left_semi"), right.join(big, keys, "left_semi"), keys, threshold))
     return cut(out)  # a match table is small next to its inputs and read by several metrics

@@ -357,3 +357,34 @@ def test_equal_pairs_are_scored_once(spark):
         assert got.columns == alone.columns
         assert sorted(map(repr, got.collect())) == sorted(map(repr, alone.collect())) and got.count() == 40
         assert "word_edits" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_texts_need_no_bounds(monkeypatch):
+    """Equal texts are paired before any bound is drawn up, copies in the order of their ids."""
+    asked = []
+    own = matching.bounds
+    monkeypatch.setattr(matching, "bounds", lambda left, right: asked.append((len(left), len(right))) or own(left, right))
+    left = [(i, f"text {i % 40}") for i in range(100)] + [(200, "climb to levels")]
+    right = [(j, f"text {j % 40}") for j in range(100)] + [(300, "climb to level")]
+    found, scored = matching.best_first(matching.Side(*zip(*left)), matching.Side(*zip(*right)), 0.7)
+    assert {(i, j) for i, j, _ in found} == {*((i, i) for i in range(100)), (200, 300)} == brute_greedy(left, right, 0.7)
+    assert asked == [(1, 1)] and scored == 1
+
+
+def test_groups_that_run_over_batches(spark):
+    """Sorted groups stream by: they may end anywhere in a batch, be one-sided, or have null or NaN keys."""
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    nan = float("nan")
+    left = [(g, p, i, f"level {i} of {g}") for g in "abc" for p in (0.0, 1.0, nan) for i in range(5)] + [(None, 1.0, 1, "x"), ("d", 1.0, 1, "x"), ("a", 2.0, 1, None)]
+    right = [(g, p, j, f"levels {j} of {g}" if j % 2 else f"level {j} of {g}") for g in "abc" for p in (-0.0, 1.0, nan) for j in range(7)] + [(None, 1.0, 1, "x"), ("a", 2.0, 1, None)]
+    l, r = (spark.createDataFrame(rows, f"g string, p double, {n} long, txt string") for rows, n in ((left, "i"), (right, "j")))
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+        got = matching.greedy_match(l, r, ["g", "p"], 0.6).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    for g in "abc":
+        for p in ("0.0", "1.0", "nan"):
+            want = brute_greedy([(x[2], x[3]) for x in left if x[0] == g and str(x[1]) == p], [(x[2], x[3]) for x in right if x[0] == g and str(abs(x[1])) == p], 0.6)
+            assert {(x["i"], x["j"]) for x in got if x["g"] == g and str(abs(x["p"])) == p} == want and len(want) == 5
+    assert len(got) == 45
