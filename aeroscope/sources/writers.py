@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 from aeroscope.idioms import join_nulls
 
-CSV = {"header": "true", "escape": '"', "quote": '"'}
+#: White space around a text is part of it; null is an empty cell, an empty text a quoted one.
+CSV = {
+    "header": "true", "escape": '"', "quote": '"', "nullValue": "", "emptyValue": '""',
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def wide_results(results: DataFrame, files: Sequence[str] | None = None) -> DataFrame:

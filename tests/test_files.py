@@ -47,3 +47,19 @@ def test_media_of_truth_that_repeats(spark):
     truth = spark.createDataFrame([("d:10:00:01",), ("d:10:00:01",), ("e:10:00:02",)], "sample_id string")
     media = spark.createDataFrame([("/m/x_10_00_01_b.wav",), ("/m/x_10_00_01_a.wav",)], "path string")
     assert [tuple(r) for r in readers.map_media(truth, media, "hour").collect()] == [("d:10:00:01", "/m/x_10_00_01_a.wav")] * 2
+
+
+def test_truth_comes_back_as_it_was_written(spark):
+    texts = [None, "", " ", " a ", "\ta\n", "\n", "\r", "a\rb", "\r\na", "\\", 'a\\"', '"', '""', ' "q" ', '"\x00', "\x00", "a,\x00\n", "#", ",", "\uffff", "\ufeff", "null", "\u2028", "\x85a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "sample_id bigint, text string")
+    path = scratch(spark, "truth-test")
+    writers.write_truth(rows.repartition(3), path)
+    found = {int(r.sample_id): r.text for r in readers.read_truth(spark, path, "csv").collect()}
+    assert found == dict(enumerate(texts))
+
+
+def test_split_truth_keeps_white_space(spark):
+    rows = spark.createDataFrame([("1", " a\t", "test"), ("2", " ", "test"), ("3", None, "test")], "audio_id string, transcription string, split string")
+    path = scratch(spark, "split-test")
+    rows.write.options(**writers.CSV).csv(path)
+    assert [tuple(r) for r in readers.read_split_truth(spark, path, "test").collect()] == [("1", " a\t", "test")]
